@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, langid, mixing, packing, quality, simhash, storage, token_counts, token_files
+from quire.llm import chat, exact_dedup, langid, line_dedup, mixing, packing, quality, simhash, storage, token_counts, token_files
 
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
 MIX_SHARE = 1.5
@@ -38,6 +38,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return rest.select("doc_id", "n_lines", "n_deleted", exact_dedup.sha256_hex(F.col("text")).alias("text_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_tokens(documents(spark, sf_dir), PACK_TOKENS)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -50,6 +55,38 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), prototypes).drop("text")
 
 
+#: The tool that the conversations' derived calls use.
+CHAT_TOOLS = {
+    "lookup": {
+        "type": "object",
+        "properties": {"query": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0, "maximum": 6}},
+        "required": ["query", "turn"],
+        "additionalProperties": False,
+    }
+}
+
+
+def tool_traffic(messages: DataFrame) -> DataFrame:
+    """Messages of a table without tool calls, with such calls made of them.
+
+    Every assistant message becomes a message with one call, whose query is its
+    text; every user message after the first turn also is a tool message that
+    answers the call of the turn before, so calls of last turns have no result.
+    """
+    name = F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    before = F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
+    call = F.struct(name.alias("id"), F.lit("lookup").alias("name"), F.struct(F.col("turn"), F.col("text").alias("query")).alias("arguments"))
+    asking = F.to_json(F.struct(F.lit("").alias("content"), F.array(call).alias("tool_calls")))
+    answer = F.to_json(F.struct(before.alias("tool_call_id"), F.col("text").alias("content")))
+    made = messages.withColumn("text", F.when(F.col("role") == "assistant", asking).otherwise(F.col("text")))
+    results = messages.filter("role = 'user' AND turn > 0").select("conv_id", "turn", F.lit("tool").alias("role"), answer.alias("text"))
+    return made.select("conv_id", "turn", "role", "text").unionByName(results)
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(tool_traffic(spark.read.parquet(f"{sf_dir}/conversations.parquet")), CHAT_TOOLS)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), MIX_WEIGHTS, MIX_SHARE)
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -62,7 +99,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_simhash, op2_exact_dedup, op3_token_counts, op4_quality, op6_packing, op7_language_id, op9_mixing, op10_token_files)
+    made = (op1_simhash, op2_exact_dedup, op3_token_counts, op4_quality, op5_line_dedup, op6_packing, op7_language_id, op8_chat_format, op9_mixing, op10_token_files)
     return {f.__name__: f for f in made}
 
 

@@ -59,44 +59,36 @@ def source_targets(totals: DataFrame, weights: list[float], share: float, most:
     return final.select("source", "source_size", F.coalesce(F.least(F.col("__cap"), F.col("__final") * F.col("__w")), F.col("__cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[float], share: float, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, copies) for every row of ``docs``.
+def _hash(id_col: str, text_col: str) -> F.Column:
+    return F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))), 64 - HASH_BITS)
+
 
-    ``copies`` is how often the mix takes the document: ``floor(target /
-    source_size)`` times at least, and once more when its hash lies below its
-    source's threshold. The threshold is the end of the last single hash value
-    that fits, or the next one where that comes nearer the target.
+def thresholds(sizes: DataFrame, weights: list[float], share: float, most: int = 2) -> DataFrame:
+    """(source, source_size, target, full, threshold) for ``sizes`` (source, size, hash).
 
-    A null or blank text has size 0, so it adds nothing at either choice; a null
-    source is a source of its own; rows alike in id and text have one hash and
-    are taken together. An empty table gives an empty result. Only the three
-    named columns are read, so other columns cannot clash.
+    Every document of a source is taken ``full`` times, and once more when its
+    hash lies below ``threshold``: the end of the last single hash value that
+    fits the target, or of the next where that comes nearer.
     """
-    hashed = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))), 64 - HASH_BITS)
-    sizes = materialize(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("hash")),
-        "mix-sizes",
-    )
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(totals, weights, share, most), "mix-targets")
-    # what the whole passes over a source leave of its target
+    targets = materialize(source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    state = targets.withColumn("full", full).select(  # one row per source
+    state = targets.withColumn("full", full).select(
         "source", "source_size", "target", "full", (F.col("target") - F.col("full") * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("prefix")
     )
     within = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for level in range(1, LEVELS + 1):
         shift = HASH_BITS - level * LEVEL_BITS
-        bucket = F.shiftrightunsigned("hash", shift)
-        open_rows = lookup_join(sizes, state.select("source", "prefix"), "source", "inner").filter(
+        # level 1 has all rows of a source in its only bucket so far; later levels only the boundary bucket's
+        rows = sizes if level == 1 else lookup_join(sizes, state.select("source", "prefix"), "source", "inner").filter(
             F.shiftrightunsigned("hash", shift + LEVEL_BITS) == F.col("prefix")
         )
-        histogram = open_rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(within))
+        histogram = rows.groupBy("source", F.shiftrightunsigned("hash", shift).alias("bucket")).agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(within))
         joined = histogram.join(state.drop("n"), histogram["source"].eqNullSafe(state["source"]), "right").drop(histogram["source"])
         # the first bucket that the budget does not cover; if there is none, the last
-        boundary = joined.groupBy("source", "source_size", "target", "full", "left").agg(
-            F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("below"), "n"), F.struct((F.col("upto") <= F.col("left")).alias("fits"), F.when(F.col("upto") <= F.col("left"), -F.col("bucket")).otherwise(F.col("bucket")).alias("at"))).alias("cut")
-        )
+        fits = F.col("upto") <= F.col("left")
+        at = F.when(fits, -F.col("bucket")).otherwise(F.col("bucket"))
+        cut = F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("below"), "n"), F.struct(fits.alias("fits"), at.alias("at")))
+        boundary = joined.groupBy("source", "source_size", "target", "full", "left").agg(cut.alias("cut"))
         state = materialize(
             boundary.select(
                 "source", "source_size", "target", "full",
@@ -107,6 +99,40 @@ def mix(docs: DataFrame, weights: list[float], share: float, most: int = 2, id_c
             "mix-level",
         )
     # the last bucket is one hash value: in when that is nearer to the target than out
-    final = state.select("source", "source_size", "target", "full", (F.col("prefix") + F.when(2 * F.col("left") >= F.col("n"), 1).otherwise(0)).alias("threshold"))
-    copies = F.col("full") + F.when(F.col("full") >= most, 0).when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    return lookup_join(sizes, final, "source").select("id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    end = F.col("prefix") + F.when(2 * F.col("left") >= F.col("n"), 1).otherwise(0)
+    return state.select("source", "source_size", "target", "full", end.alias("threshold"))
+
+
+def _copies(most: int) -> F.Column:
+    more = F.when((F.col("full") < most) & (F.col("hash") < F.col("threshold")), 1).otherwise(0)
+    return (F.col("full") + more).cast("long")
+
+
+def mix(docs: DataFrame, weights: list[float], share: float, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size, source_size, target, copies) for every row of ``docs``.
+
+    ``size`` is the number of words and ``copies`` how often the mix takes the
+    document. A null or blank text has size 0, so it adds nothing at either
+    choice; a null source is a source of its own; rows alike in id and text have
+    one hash and are taken together. An empty table gives an empty result. Only
+    the three named columns are read, so other columns cannot clash.
+    """
+    sizes = materialize(
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), _hash(id_col, text_col).alias("hash")),
+        "mix-sizes",
+    )
+    found = lookup_join(sizes, thresholds(sizes, weights, share, most), "source")
+    return found.select("id", "source", "size", "source_size", "target", _copies(most).alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, weights: list[float], share: float, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it does; see ``mix``.
+
+    A row without words is taken as its hash has it, although it adds no words.
+    """
+    named = F.col(source_col).cast("string").alias("source")
+    sizes = materialize(docs.select(named, word_count(F.col(text_col)).alias("size"), _hash(id_col, text_col).alias("hash")), "mix-sizes")
+    chosen = thresholds(sizes, weights, share, most).select(F.col("source").alias("__source"), "full", "threshold")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(source_col).cast("string").alias("__source"), _hash(id_col, text_col).alias("hash"))
+    taken = lookup_join(rows, chosen, "__source").select("__row", F.explode(F.array_repeat(F.lit(0), _copies(most).cast("int"))))
+    return taken.select("__row.*")

@@ -99,21 +99,72 @@ def links(table: DataFrame, distance: int = 4) -> DataFrame:
     return matched.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(fp, shingles) for ``docs`` (fp, text): the different shingles' hashes."""
+
+    def hashed(batches):
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sets = []
+            for text in batch.column(1):
+                words = (text.as_py() or b"").lower().split()
+                n = max(1, len(words) - width + 1) if words else 0
+                sets.append(list({xxh64_intdigest(b" ".join(words[i : i + width]), 42) - (1 << 63) for i in range(n)}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    return docs.select("fp", F.col("text").cast("binary").alias("text")).mapInArrow(hashed, "fp long, shingles array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
+    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("__x"))
+    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("__y"))
+    joined = pairs.join(left, "a").join(right, "b").withColumn("__both", F.size(F.array_intersect("__x", "__y")))
+    return joined.filter(F.col("__both") >= similarity * (F.size("__x") + F.size("__y") - F.col("__both"))).select("a", "b")
+
+
+def verified_links(found: DataFrame, docs: DataFrame, table: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Links that join the same fingerprints as those of ``found`` with enough similarity do.
+
+    First every fingerprint is compared with its component's smallest one, which
+    takes one comparison each. Of the links, only those between classes that this
+    leaves apart are compared then: links inside a class can't change it. So a
+    dense group of near copies costs about its size.
+    """
+    found = materialize(found, "simhash-links")
+    roots = materialize(components(found), "link-roots")
+    ends = roots.select(F.col("node").alias("fp"))
+    reps = table.join(ends, "fp", "left_semi").select("fp", F.col("rep").alias(id_col))
+    texts = docs.select(id_col, F.col(text_col).alias("text")).join(reps, id_col).dropDuplicates(["fp"])
+    sets = materialize(shingle_sets(texts, width), "shingle-sets")
+    stars = materialize(_similar(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), sets, similarity), "stars")
+    of_a = stars.select(F.col("b").alias("a"), F.col("a").alias("__a"))
+    of_b = stars.select("b", F.col("a").alias("__b"))
+    apart = found.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
+    return stars.unionByName(_similar(apart, sets, similarity))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``.
 
-    Rows are linked when their fingerprints differ in at most ``distance`` bits;
-    ``component_id`` is the smallest id that links reach, the row's own included.
-    Rows without a word (null, empty or blank texts) have fingerprint 0 and are
-    linked like any other. Rows with one fingerprint are one point of the search,
-    so copies cost nothing and never pair up; repeated rows are copies. A null id
-    is nobody's smallest; a component without other ids has a null
-    ``component_id``. An empty table gives an empty result. Only the two named
-    columns are read.
+    Rows are linked when their fingerprints differ in at most ``distance`` bits
+    and, if ``similarity`` is given, their sets of shingles have at least that
+    Jaccard similarity; ``component_id`` is the smallest id that links reach, the
+    row's own included. Rows without a word (null, empty or blank texts) have
+    fingerprint 0 and are linked like any other. Rows with one fingerprint are
+    one point of the search, so copies cost nothing and never pair up; repeated
+    rows are copies. A null id is nobody's smallest; a component without other
+    ids has a null ``component_id``. An empty table gives an empty result. Only
+    the two named columns are read.
     """
     rows = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
     table = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-table")
-    roots = materialize(components(links(table.select("fp"), distance)), "roots")
+    found = links(table.select("fp"), distance)
+    if similarity is not None:
+        found = verified_links(found, docs, table, width, similarity, id_col, text_col)
+    roots = materialize(components(found), "roots")
     reached = table.join(roots, table["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = reached.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = materialize(reached.join(least, "root").select("fp", "component_id"), "classes")

@@ -75,26 +75,26 @@ def reachable_keys(edges: DataFrame, root: int = 1, max_depth: int = MAX_DEPTH)
     """(doc_id, keys, max_level, too_deep): keys met on a walk from ``root`` (F2).
 
     ``edges`` is (doc_id, parent, child, key, is_indirect). A node already on the
-    walk's path is not entered again, so cycles end. A walk that would pass
+    walk's path is not entered again, so cycles end; the key that leads to it counts. A walk that would pass
     ``max_depth`` is flagged instead of followed.
     """
     edges.createOrReplaceTempView("quire_object_edges")
     walk = edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(doc_id, node, key, level, path) MAX RECURSION LEVEL {max_depth + 3} AS (
-            SELECT doc_id, child, key, 1, array(child) FROM quire_object_edges WHERE child = {root}
+        WITH RECURSIVE walk(doc_id, node, key, level, path, seen) MAX RECURSION LEVEL {max_depth + 3} AS (
+            SELECT doc_id, child, key, 1, array(child), false FROM quire_object_edges WHERE child = {root}
             UNION ALL
-            SELECT e.doc_id, e.child, e.key, w.level + 1, array_append(w.path, e.child)
+            SELECT e.doc_id, e.child, e.key, w.level + 1, array_append(w.path, e.child), array_contains(w.path, e.child)
             FROM walk w JOIN quire_object_edges e ON e.doc_id = w.doc_id AND e.parent = w.node
-            WHERE w.level <= {max_depth} AND NOT array_contains(w.path, e.child)
+            WHERE w.level <= {max_depth} AND NOT w.seen
         )
         SELECT * FROM walk
     """)
     inside = F.col("level") <= max_depth
     return walk.groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.when(inside, F.col("key")))).alias("keys"),
-        F.count(F.when(inside, 1)).alias("nodes"),
+        F.count(F.when(inside & ~F.col("seen"), 1)).alias("nodes"),
         F.max(F.when(inside, F.col("level"))).alias("max_level"),
-        F.bool_or(~inside).alias("too_deep"),
+        F.bool_or(~inside & ~F.col("seen")).alias("too_deep"),
     )
 
 

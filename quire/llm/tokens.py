@@ -9,10 +9,13 @@ Batches are cut by bytes, not rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once, and pieces remembered from batch to batch.
 BATCH_BYTES = 8 << 20
-MEMORY_PIECES = 150_000
+MEMORY_PIECES = 300_000
 
 #: Unicode White_Space, as the pre-tokenizers' \s has it.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -44,28 +47,94 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Letters and numbers among the first 256 code points.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+#: Characters whose handling no normal form or Unicode version changes.
+_PLAIN = re.compile(r"[\n !-~¡-¬®-ÿ]+")
+#: Pre-tokens of the two kinds of tokenizer, for texts of such characters.
+_LED_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+_WORD_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+#: The word tokenizer's pattern as its file has it.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte: its own where that prints, else the next from 256 on."""
+    printing = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printing]
+    return {b: chr(b) for b in printing} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Merged(dict):
+    """The library's merges of a pre-token, remembered up to a bound."""
+
+    def __init__(self, model, lengths_only: bool):
+        self.model, self.lengths_only, self.letters = model, lengths_only, byte_characters()
+
+    def __missing__(self, token: str):
+        found = self.model.tokenize(token if token.isascii() and token.isalnum() else "".join([self.letters[b] for b in token.encode()]))
+        value = len(found) if self.lengths_only else array("I", [t.id for t in found]).tobytes()
+        if len(self) < MEMORY_PIECES:
+            self[token] = value
+        return value
+
+
 class PieceEncoder:
-    """Ids of pieces, remembering those of earlier batches up to a bound."""
+    """Ids of pieces, remembering the first ones met, up to a bound.
+
+    A piece of plain characters is cut to pre-tokens here, and the library's model
+    merges each different one once; any other piece, and any piece of a tokenizer
+    that isn't one of the two known kinds, is encoded by the library whole.
+    """
 
     def __init__(self, path: str, lengths_only: bool = False):
-        self.encode = load_tokenizer(path).encode_batch_fast
+        tokenizer = load_tokenizer(path)
+        self.encode = tokenizer.encode_batch_fast
         self.lengths_only = lengths_only
         self.known: dict = {}
+        self.merged = _Merged(tokenizer.model, lengths_only)
+        self.cut, self.lower = self._kind(json.loads(tokenizer.to_str()))
+        self.special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+
+    @staticmethod
+    def _kind(definition: dict):
+        """(pattern of pre-tokens, whether they are lower-cased), or none for an unknown kind."""
+        before, normal, model = definition["pre_tokenizer"] or {}, definition["normalizer"] or {}, definition["model"]
+        if model["type"] != "BPE" or model.get("dropout") or any(t["normalized"] for t in definition["added_tokens"]):
+            return None, False
+        if before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not normal:
+            return _LED_TOKENS.findall, False
+        steps = [x["type"] for x in normal.get("normalizers", [])]
+        parts = before.get("pretokenizers", [{}])
+        if steps == ["NFC", "Replace", "Lowercase"] and parts[0].get("pattern") == {"Regex": _WORD_PATTERN} and parts[0]["invert"] and len(parts) == 2 and parts[1]["type"] == "ByteLevel":
+            return _WORD_TOKENS.findall, True
+        return None, False
+
+    def _plain(self, piece: str):
+        """A piece's value from its pre-tokens' values; None where the library has to encode it whole."""
+        if self.cut is None or not _PLAIN.fullmatch(piece) or self.special.search(piece):
+            return None
+        values = [self.merged[t] for t in self.cut(piece.lower() if self.lower else piece)]
+        return sum(values) if self.lengths_only else b"".join(values)
 
     def __call__(self, pieces: list[str]) -> list:
         """For each piece its number of tokens, or its ids as uint32 bytes."""
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        found = {}
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
+        known, found, whole = self.known, {}, []
+        for piece in pieces:
+            if piece not in known:
+                value = self._plain(piece) if piece else (0 if self.lengths_only else b"")
+                if value is None:
+                    whole.append(piece)
+                else:
+                    found[piece] = value
+        for start in range(0, len(whole), 1024):
+            some = whole[start : start + 1024]
             for piece, e in zip(some, self.encode(some, add_special_tokens=False), strict=True):
-                found[piece] = len(e) if self.lengths_only else np.array(e.ids, "<u4").tobytes()
+                found[piece] = len(e) if self.lengths_only else array("I", e.ids).tobytes()
         out = [known[p] if p in known else found[p] for p in pieces]
-        if len(known) + len(found) > MEMORY_PIECES:
-            known.clear()
-        if len(found) <= MEMORY_PIECES:
-            known.update(found)
+        room = MEMORY_PIECES - len(known)
+        if room > 0:
+            known.update(islice(found.items(), room))
         return out
 
 
@@ -101,14 +170,14 @@ def encode_words(texts: pa.Array, encoder: PieceEncoder) -> tuple[np.ndarray, np
     white space is a boundary, so pieces are the runs between.
     """
     offsets, codes, pieces = _words(texts)
-    ids = [np.frombuffer(x, "<u4") for x in encoder(pieces)]
+    ids = encoder(pieces)
     if not len(codes):
         return np.zeros(len(texts) + 1, np.int64), np.zeros(0, "<u4")
-    lengths = np.array([len(x) for x in ids], np.int64)
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     each = lengths[codes]
     ends = np.cumsum(each)
-    flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+    flat = np.frombuffer(b"".join(ids), "<u4")
     at = np.repeat(begins[codes] - (ends - each), each) + np.arange(int(ends[-1]))
     return np.concatenate([[0], ends])[offsets], flat[at]
 

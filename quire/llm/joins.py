@@ -1,8 +1,8 @@
-"""Joins of a large table with a small one that hold up under skewed keys."""
+"""Joins that hold up under skewed keys, and columns that are computed once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of at most a few dozen bytes: some tens of megabytes at the bound.
@@ -21,6 +21,16 @@ def lookup_join(large: DataFrame, small: DataFrame, key: str, how: str = "left",
     if small.limit(bound + 1).count() <= bound:
         return large.join(F.broadcast(other), large[key].eqNullSafe(other["__key"]), how).drop("__key")
     salted = large.withColumn("__salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)))
-    spread = other.withColumn("__with", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    spread = other.withColumn("__with", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     on = salted[key].eqNullSafe(spread["__key"]) & (salted["__salt"] == spread["__with"])
     return salted.join(spread, on, how).drop("__key", "__salt", "__with")
+
+
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with more columns, each computed once a row.
+
+    Plain projections may be merged into whatever uses them, so that a later
+    filter would compute an array again for every element of a lambda that reads
+    it. What a generator returns can't be.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

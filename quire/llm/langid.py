@@ -50,45 +50,39 @@ def ngram_vectors(codes):
     return out.astype(np.float32)
 
 
-def ngrams(text: str):
-    """Packed n-grams of the lower-cased text, runs of other characters being one blank."""
+def _packed(points):
+    """Packed n-grams of a sequence of code points."""
     import numpy as np
 
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    letter = _letters()[points]
-    points = np.where(letter, points, 0)
-    points = points[letter | np.concatenate([[True], letter[:-1]])]
-    if len(points) < NGRAM:
-        return np.zeros(0, np.int64)
-    codes = np.zeros(len(points) - NGRAM + 1, np.int64)
-    for place in range(NGRAM):
-        codes |= points[place : len(points) - NGRAM + 1 + place] << (21 * place)
+    codes = np.zeros(max(0, len(points) - NGRAM + 1), np.int64)
+    for place in range(NGRAM if len(codes) else 0):
+        codes |= points[place : place + len(codes)] << (21 * place)
     return codes
 
 
-def gram_counts(text: str | None):
-    """(codes, counts) of a text, built from parts so that a long one needs little memory."""
+def gram_counts(text: str | None, step: int = BLOCK_CHARS):
+    """(codes, counts) of the n-grams of the lower-cased text, runs of other characters being one blank.
+
+    The text is taken ``step`` characters at a time, each part after the last
+    points of the one before, so that a long text needs little memory.
+    """
     import numpy as np
 
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # cut at blanks only, which are n-gram ends on both sides
-    step, parts = BLOCK_CHARS, []
-    if len(text) <= step:
-        return np.unique(ngrams(text), return_counts=True)
-    words = iter(text.split(" "))
-    part: list[str] = []
-    size = 0
-    for word in words:
-        part.append(word)
-        size += len(word) + 1
-        if size >= step:
-            parts.append(np.unique(ngrams(" ".join(part)), return_counts=True))
-            part, size = [], 0
-    if part:
-        parts.append(np.unique(ngrams(" ".join(part)), return_counts=True))
+    letters, parts, points = _letters(), [], np.zeros(1, np.int64)
+    for start in range(0, len(text), step):
+        last = start + step >= len(text)
+        part = text[start : start + step].lower() + " " * last
+        new = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        points = np.concatenate([points, np.where(letters[new], new, 0)])
+        points = points[(points != 0) | np.concatenate([[True], points[:-1] != 0])]
+        parts.append(np.unique(_packed(points), return_counts=True))
+        points = points[1 - NGRAM :]
+    if len(parts) == 1:
+        return parts[0]
     codes, which = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return codes, np.bincount(which, np.concatenate([n for _, n in parts])).astype(np.int64)
+    return codes, np.bincount(which, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
 def profile_blocks(texts: list[str | None]) -> Iterator[tuple]:

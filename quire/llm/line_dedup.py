@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.joins import staged
 from quire.llm.mixing import word_count
 from quire.llm.storage import materialize
 
@@ -129,13 +130,15 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     deleted = materialize(deleted_lines(docs, min_words, id_col, text_col), "deleted-lines")
     rows = docs.drop("n_lines", "n_deleted").withColumn("__key", _document_key(id_col, text_col))
     joined = rows.join(deleted.select(F.col("key").alias("__key"), F.col("lines").alias("__gone")), "__key", "left")
-    lines = F.split(F.col(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    parted = joined.withColumn("__lines", lines)
+    parted = staged(joined, {"__lines": F.split(F.col(text_col), "\n")})
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     rest = F.array_join(F.transform(left, lambda k: F.get("__lines", k)), "\n")
-    return (
-        parted.withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
-        .withColumn("n_deleted", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest))
-        .select(*[c for c in rows.columns if c != "__key"], "n_lines", "n_deleted")
+    done = staged(
+        parted,
+        {
+            "n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"),
+            "n_deleted": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
+            "__rest": F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest),
+        },
     )
+    return done.withColumn(text_col, F.col("__rest")).select(*[c for c in rows.columns if c != "__key"], "n_lines", "n_deleted")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.joins import staged
 from quire.llm.mixing import SPACES
 
 #: Characters that count as symbols.
@@ -68,27 +69,29 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     repeated = F.filter(ranked, lambda x, k: (x["g"] == F.get(ranked, k - 1)["g"]) | (x["g"] == F.get(ranked, k + 1)["g"]))
     covered = F.array_distinct(F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     step = docs.drop("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
-    step = step.withColumn("__q_flat", flat)
-    step = step.withColumns(
+    step = staged(step, {"__q_flat": flat})
+    step = staged(
+        step,
         {
             "__q_words": F.array_remove(F.split("__q_flat", " "), ""),
             "__q_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
             "word_chars": F.length(letters).cast("long"),
             "n_symbols": (F.length(text) - F.length(plain)).cast("long"),
-        }
+        },
     )
-    step = step.withColumns(
+    step = staged(
+        step,
         {
             "__q_grams": windows,
             "n_words": F.size(words).cast("long"),
             "n_lines": F.size("__q_lines").cast("long"),
             "n_dup_lines": (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long"),
             "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
-        }
+        },
     )
     # windows that are all different, the usual case, need no sort
     ordered = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    step = step.withColumn("__q_ranked", F.when(F.size(F.array_distinct(grams)) < F.size(grams), ordered))
+    step = staged(step, {"__q_ranked": F.when(F.size(F.array_distinct(grams)) < F.size(grams), ordered)})
     step = step.withColumn("n_repeat_words", F.when(ranked.isNull(), 0).otherwise(F.size(covered)).cast("long"))
     return step.drop("__q_flat", "__q_words", "__q_lines", "__q_grams", "__q_ranked")
 

@@ -7,30 +7,25 @@ from pyspark.sql import functions as F
 
 from quire.functions import naming
 
-#: Documents with more pages than this go through the streaming fold.
-FOLD_PAGES = 100_000
+#: Documents with more pages than this go through the streaming fold: an array grows by copying.
+FOLD_PAGES = 1_000
 
 
 def assign_chunks(pages: DataFrame, max_bytes: int, fold_pages: int = FOLD_PAGES) -> DataFrame:
     """``pages`` (doc_id, page_index, cost) with chunk_no from 1.
 
-    A document within the cap, or of one page, is one chunk. Otherwise pages are
-    taken in order and a new chunk begins when the next one would pass the cap, so
-    a page over the cap stands alone. Each step depends on the one before, so a
-    document is one fold: in the JVM, or for a document of more than
-    ``fold_pages`` pages row by row over its sorted rows, without an array.
+    Pages are taken in order and a new chunk begins when the next one would pass
+    the cap, so a document within the cap or of one page is one chunk, and a page
+    over the cap stands alone. Each step depends on the one before, so a document
+    is one fold: in the JVM over an array, or for a document of more than
+    ``fold_pages`` pages over its sorted rows, with a few numbers of state.
     """
     if max_bytes <= 0:
         raise ValueError("max_bytes must be above 0")
-    sizes = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__pages"), F.sum("cost").alias("__total"))
-    marked = pages.join(sizes, "doc_id")
-    whole = marked.filter((F.col("__total") <= max_bytes) | (F.col("__pages") <= 1))
-    folded = marked.filter((F.col("__total") > max_bytes) & (F.col("__pages") > 1))
-    small = folded.filter(F.col("__pages") <= fold_pages)
-    large = folded.filter(F.col("__pages") > fold_pages)
-    columns = ["doc_id", "page_index", "cost"]
-    one = whole.select(*columns, F.lit(1).alias("chunk_no"))
-    return one.unionByName(_fold_arrays(small, max_bytes)).unionByName(_fold_rows(large, max_bytes))
+    own = pages.select("doc_id", F.col("page_index").cast("int").alias("page_index"), F.col("cost").cast("long").alias("cost"))
+    counted = own.withColumn("__pages", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    small, large = counted.filter(F.col("__pages") <= fold_pages), counted.filter(F.col("__pages") > fold_pages)
+    return _fold_arrays(small, max_bytes).unionByName(_fold_rows(large, max_bytes))
 
 
 def _fold_arrays(pages: DataFrame, max_bytes: int) -> DataFrame:
@@ -44,7 +39,7 @@ def _fold_arrays(pages: DataFrame, max_bytes: int) -> DataFrame:
         made = F.struct(page["page_index"].alias("page_index"), page["cost"].alias("cost"), chunk.alias("chunk_no"))
         return F.struct(size.alias("size"), chunk.alias("chunk"), F.array_append(state["out"], made).alias("out"))
 
-    listed = F.array_sort(F.collect_list(F.struct(F.col("page_index").cast("int").alias("page_index"), F.col("cost").cast("long").alias("cost"))))
+    listed = F.array_sort(F.collect_list(F.struct("page_index", "cost")))
     rows = pages.groupBy("doc_id").agg(listed.alias("__list"))
     return rows.select("doc_id", F.inline(F.aggregate("__list", start, step, lambda s: s["out"])))
 
@@ -68,7 +63,7 @@ def _fold_rows(pages: DataFrame, max_bytes: int) -> DataFrame:
                 out.append(chunk)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], ["doc_id", "page_index", "cost", "chunk_no"])
 
-    typed = pages.select("doc_id", F.col("page_index").cast("int").alias("page_index"), F.col("cost").cast("long").alias("cost"))
+    typed = pages.select("doc_id", "page_index", "cost")
     ordered = typed.repartition("doc_id").sortWithinPartitions("doc_id", "page_index")
     id_type = typed.schema["doc_id"].dataType.simpleString()
     return ordered.mapInArrow(fold, f"doc_id {id_type}, page_index int, cost bigint, chunk_no int")

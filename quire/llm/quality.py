@@ -38,9 +38,9 @@ class Rule:
 #: shouted words and repeated lines do not.
 RULES = (
     Rule("mean_word_chars", least=2.0, most=15.0),
-    Rule("symbol_ratio", most=0.10),
-    Rule("stop_ratio", least=0.04),
-    Rule("dup_line_ratio", most=0.30),
+    Rule("symbol_ratio", most=0.05),
+    Rule("stop_ratio", least=0.08),
+    Rule("dup_line_ratio", most=0.50),
 )
 
 

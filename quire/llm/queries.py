@@ -119,7 +119,7 @@ _QUALITY_SQL = f"""
         FROM w LEFT JOIN k ON k.r = w.r),
     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(greatest(n_words, 1) AS DOUBLE) AS n FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND word_chars / n BETWEEN 2.0 AND 15.0 AND n_symbols / CAST(greatest(word_chars, 1) AS DOUBLE) <= 0.10 AND n_stop / n >= 0.04 AND n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE) <= 0.30 AS kept
+           NOT base_failed AND word_chars / n BETWEEN 2.0 AND 15.0 AND n_symbols / CAST(greatest(word_chars, 1) AS DOUBLE) <= 0.05 AND n_stop / n >= 0.08 AND n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE) <= 0.50 AS kept
     FROM b
 """
 

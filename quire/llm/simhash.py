@@ -72,30 +72,35 @@ def segments(count: int, distance: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _around(segment: F.Column, key: F.Column, masks: F.Column) -> F.Column:
+    """The key with each mask's bits turned over, under the segment's number."""
+    return F.transform(masks, lambda x: segment.cast("bigint").bitwiseOR(key.bitwiseXOR(x)))
+
+
 def links(table: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b), a < b: pairs of the fingerprints in ``table`` (fp, each once) within ``distance`` bits.
 
-    For each segment the table is keyed by the segment's value, and every
-    fingerprint probes the values in the Hamming ball around its own. Matches are
-    verified on all bits. Both sides are plainly shuffled on (segment, value), so
-    a value that many fingerprints share is split by adaptive execution.
+    Two values of a segment differ in at most r bits when the Hamming ball of
+    radius r / 2 (rounded up) around one meets that of radius r / 2 (rounded down)
+    around the other. So for each segment the table holds every fingerprint under
+    the values of the smaller ball, and every fingerprint probes those of the
+    larger. Matches are verified on all bits. Both sides are plainly shuffled on
+    (segment, value), so a value that many fingerprints share is split by
+    adaptive execution.
     """
     plan = segments(table.count(), distance)
 
-    def ball_around(i: int, key: F.Column, masks: F.Column) -> F.Column:
-        return F.transform(masks, lambda x: F.struct(F.lit(i).cast("byte").alias("segment"), key.bitwiseXOR(x).alias("key")))
-
-    stored, probing = [], []
-    for i, (shift, width, radius) in enumerate(plan):
-        key = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-        stored.append(F.struct(F.lit(i).cast("byte").alias("segment"), key.alias("key")))
-        ball = [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
-        masks = F.array(*[F.lit(x) for x in ball]).cast("array<bigint>")
-        probing.append(ball_around(i, key, masks))
-    held = table.select(F.col("fp").alias("b"), F.inline(F.array(*stored)))
-    probes = table.select(F.col("fp").alias("a"), F.inline(F.concat(*probing)))
+    def keyed(name: str, extra: int) -> DataFrame:
+        parts = []
+        for i, (shift, width, radius) in enumerate(plan):
+            key = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+            ball = [sum(1 << b for b in bits) for k in range((radius + extra) // 2 + 1) for bits in combinations(range(width), k)]
+            parts.append(_around(F.lit(i << 32), key, F.array(*[F.lit(x) for x in ball]).cast("array<bigint>")))
+        return table.select(F.col("fp").alias(name), F.explode(F.concat(*parts)).alias("key"))
+
+    held, probes = keyed("b", 0), keyed("a", 1)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    matched = held.hint("merge").join(probes.hint("merge"), (held["segment"] == probes["segment"]) & (held["key"] == probes["key"]) & (F.col("a") < F.col("b")) & near)
+    matched = held.hint("merge").join(probes.hint("merge"), (held["key"] == probes["key"]) & (F.col("a") < F.col("b")) & near)
     return matched.select("a", "b").distinct()
 
 

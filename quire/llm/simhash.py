@@ -105,21 +105,24 @@ def links(table: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(fp, shingles) for ``docs`` (fp, text): the different shingles' hashes."""
+    """(id, fp, shingles) for ``docs`` (id, text): the fingerprint and the different shingles' hashes."""
 
     def hashed(batches):
+        import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            sets = []
+            sets, fps = [], []
             for text in batch.column(1):
                 words = (text.as_py() or b"").lower().split()
                 n = max(1, len(words) - width + 1) if words else 0
                 sets.append(list({xxh64_intdigest(b" ".join(words[i : i + width]), 42) - (1 << 63) for i in range(n)}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+                fps.append(simhash(text.as_py(), width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["id", "fp", "shingles"])
 
-    return docs.select("fp", F.col("text").cast("binary").alias("text")).mapInArrow(hashed, "fp long, shingles array<long>")
+    source = docs.select("id", F.col("text").cast("binary").alias("text"))
+    return source.mapInArrow(hashed, f"id {source.schema['id'].dataType.simpleString()}, fp long, shingles array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -130,21 +133,24 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.filter(F.col("__both") >= similarity * (F.size("__x") + F.size("__y") - F.col("__both"))).select("a", "b")
 
 
-def verified_links(found: DataFrame, docs: DataFrame, table: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def verified_links(found: DataFrame, docs: DataFrame, table: DataFrame, width: int, distance: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Links that join the same fingerprints as those of ``found`` with enough similarity do.
 
-    First every fingerprint is compared with its component's smallest one, which
-    takes one comparison each. Of the links, only those between classes that this
+    First every fingerprint linked to its component's smallest one is compared with
+    it, which takes one comparison each. Of the links, only those between classes that this
     leaves apart are compared then: links inside a class can't change it. So a
     dense group of near copies costs about its size.
     """
     found = materialize(found, "simhash-links")
     roots = materialize(components(found), "link-roots")
-    ends = roots.select(F.col("node").alias("fp"))
-    reps = table.join(ends, "fp", "left_semi").select("fp", F.col("rep").alias(id_col))
-    texts = docs.select(id_col, F.col(text_col).alias("text")).join(reps, id_col).dropDuplicates(["fp"])
-    sets = materialize(shingle_sets(texts, width), "shingle-sets")
-    stars = materialize(_similar(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), sets, similarity), "stars")
+    ends = table.join(roots, table["fp"] == roots["node"], "left_semi").select("fp", F.col("rep").alias("__rep"))
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = named.join(ends, named["id"].eqNullSafe(ends["__rep"]), "left_semi")
+    # rows may share an id, so the fingerprint says whose text it is; one text a fingerprint is enough
+    one = F.min_by("shingles", F.struct("id", F.size("shingles"), F.xxhash64("shingles"))).alias("shingles")
+    sets = materialize(shingle_sets(texts, width).join(ends, "fp", "left_semi").groupBy("fp").agg(one), "shingle-sets")
+    linked = (F.col("node") != F.col("root")) & (F.bit_count(F.col("node").bitwiseXOR(F.col("root"))) <= distance)
+    stars = materialize(_similar(roots.filter(linked).select(F.col("root").alias("a"), F.col("node").alias("b")), sets, similarity), "stars")
     of_a = stars.select(F.col("b").alias("a"), F.col("a").alias("__a"))
     of_b = stars.select("b", F.col("a").alias("__b"))
     apart = found.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
@@ -168,7 +174,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 4, similari
     table = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-table")
     found = links(table.select("fp"), distance)
     if similarity is not None:
-        found = verified_links(found, docs, table, width, similarity, id_col, text_col)
+        found = verified_links(found, docs, table, width, distance, similarity, id_col, text_col)
     roots = materialize(components(found), "roots")
     reached = table.join(roots, table["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = reached.groupBy("root").agg(F.min("rep").alias("component_id"))

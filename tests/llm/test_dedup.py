@@ -88,6 +88,16 @@ def test_simhash_verified(docs, rows):
     assert sorted_rows(got) == sorted_rows((i, c) for (i, _), c in zip(items, plain_classes(items, alike), strict=True))
 
 
+def test_verified_with_shared_and_missing_ids(spark, rows):
+    """Different texts under one id, and near copies without any id."""
+    text = " ".join(f"w{i}" for i in range(400))
+    near = text.replace("w200 ", "changed ")
+    other = " ".join(f"v{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, text), (1, other), (2, near), (None, text + " end"), (3, other + " end"), (None, "alone")], "doc_id long, text string")
+    got = simhash.near_duplicates(docs, 5, 11, 0.8).collect()
+    assert sorted_rows((r.id, r.component_id) for r in got) == sorted_rows([(1, 1), (1, 1), (2, 1), (None, 1), (3, 1), (None, None)])
+
+
 def test_simhash_empty(none):
     assert simhash.near_duplicates(none).count() == simhash.near_duplicates(none, similarity=0.8).count() == 0
 

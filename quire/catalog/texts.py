@@ -10,9 +10,6 @@ from quire.operators import report, strategy, words
 from quire.options import Options
 from quire.sources import bindings as B
 
-#: Characters compared by the edit-distance queries; the second engine counts bytes, so texts are folded to ASCII.
-COMPARED = 300
-
 TEXTS = """
     texts AS (
         SELECT source AS doc, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS page_index, doc_id, text AS input_text,
@@ -26,8 +23,8 @@ NUMBERS = "list_sort(list_transform(regexp_extract_all({}, '\\d+(?:[.,]\\d+)?(?:
 
 
 def _folded(spark, sf_dir):
-    part = lambda c: T.fold_ascii(F.substr(c, F.lit(1), F.lit(COMPARED)))
-    return B.page_texts(spark, sf_dir).withColumns({"a": part("input_text"), "b": part("output_text")})
+    """Whole texts; the second engine counts bytes, so they are folded to ASCII."""
+    return B.page_texts(spark, sf_dir).withColumns({"a": T.fold_ascii(F.col("input_text")), "b": T.fold_ascii(F.col("output_text"))})
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,10 +52,50 @@ def is_decent(joined: Column) -> Column:
     return quality_label(joined).isin("sparse", "ok")
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance of whole texts, a column of the table per step as bits of one integer (Myers, Hyyrö)."""
+    if a == b:
+        return 0
+    if len(a) > len(b):
+        a, b = b, a
+    start, least = 0, len(a)
+    while start < least and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : least - end], b[start : len(b) - end]
+    if not a:
+        return len(b)
+    places: dict[str, bytearray] = {}
+    for i, ch in enumerate(a):
+        places.setdefault(ch, bytearray(len(a) // 8 + 1))[i >> 3] |= 1 << (i & 7)
+    equal = {ch: int.from_bytes(bits, "little") for ch, bits in places.items()}
+    mask, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = mask, 0
+    for ch in b:
+        same = equal.get(ch, 0)
+        across = (((same & up) + up) ^ up) | same
+        right, left = down | (mask & ~(across | up)), up & across
+        distance += bool(right & last) - bool(left & last)
+        right, left, same = (right << 1 | 1) & mask, left << 1 & mask, same | down
+        up, down = left | (mask & ~(same | right)), right & same
+    return distance
+
+
+def _edit_distances(a: Column, b: Column) -> Column:
+    @F.arrow_udf("long")
+    def distances(x: pa.Array, y: pa.Array) -> pa.Array:
+        pairs = ((p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True))
+        return pa.array([None if p is None or q is None else edit_distance(p, q) for p, q in pairs], pa.int64())
+
+    return distances(a, b)
+
+
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """Edit distance over the longer length; 0 for two empty texts."""
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 0.0).otherwise(F.levenshtein(a, b) / F.greatest(longer, F.lit(1)))
+    return F.when(longer == 0, 0.0).otherwise(_edit_distances(a, b) / F.greatest(longer, F.lit(1)))
 
 
 def levenshtein_within(a: Column, b: Column, ceiling: float) -> Column:

@@ -76,8 +76,10 @@ def reachable_keys(edges: DataFrame, root: int = 1, max_depth: int = MAX_DEPTH)
 
     ``edges`` is (doc_id, parent, child, key, is_indirect). A node already on the
     walk's path is not entered again, so cycles end; the key that leads to it counts. A walk that would pass
-    ``max_depth`` is flagged instead of followed.
+    ``max_depth`` is flagged instead of followed. Spark ends a recursion at a million rows unless told otherwise,
+    so the session's limit is lifted.
     """
+    edges.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     edges.createOrReplaceTempView("quire_object_edges")
     walk = edges.sparkSession.sql(f"""
         WITH RECURSIVE walk(doc_id, node, key, level, path, seen) MAX RECURSION LEVEL {max_depth + 3} AS (

@@ -66,10 +66,10 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def object_edges(spark: SparkSession, sf_dir: str, users: int = 20) -> DataFrame:
+def object_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as a heap: node n hangs below n div 2."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").filter(F.col("user_id") < users).select(F.col("user_id").alias("doc_id"), n.alias("child"), F.col("event_type").alias("key"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), n.alias("child"), F.col("event_type").alias("key"))
     return rows.select("doc_id", F.floor(F.col("child") / 2).alias("parent"), F.col("child").cast("long").alias("child"), "key", F.lit(True).alias("is_indirect"))
 
 

@@ -52,3 +52,15 @@ def test_whole_texts(name, spark, duck, sf_dir):
     whole = sql.replace("substr(input_text, 1, 300)", "input_text").replace("substr(output_text, 1, 300)", "output_text")
     assert whole.count("300") == sql.count("300") - 2
     assert rows(catalog.QUERIES[name](spark, sf_dir).toPandas()) == rows(duck.sql(whole).df())
+
+
+def test_every_user(spark, sf_dir):
+    """sf0.01 has users beyond 20; more rows than the session's limit for recursion are walked too."""
+    larger = sf_dir.replace("0.001", "0.01")
+    sql = catalog.ORACLE_SQL["tree_keys"].replace(" WHERE user_id < 20", "").replace("FROM events", f"FROM '{larger}/events.parquet'")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "500")
+    try:
+        got = catalog.QUERIES["tree_keys"](spark, larger).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert rows(got) == rows(duckdb.sql(sql).df()) and got.nodes.sum() == spark.read.parquet(f"{larger}/events.parquet").count()

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quire.catalog import query
 from quire.catalog.pages import OPTIONS, PAGES
 from quire.operators import gate, report
-from quire.options import worker_memory_cap
 from quire.sources import bindings as B
 
 RUNS = """
@@ -134,11 +133,11 @@ def correlation_join(spark, sf_dir):
            || '","status":' || coalesce('"' || status || '"', 'null') || '}', ',' ORDER BY doc_id), '') || ']}' AS sidecar FROM e
 """)
 def correlation_sidecar(spark, sf_dir):
-    """The record of one run: the orders of customer 1."""
+    """The record of each run: a customer's orders."""
     key = F.col("o_orderkey")
     text = key.cast("string").cast("binary")
-    reports = B.table(spark, sf_dir, "orders").filter("o_custkey = 1").select(key.alias("doc_id"), F.md5(text).alias("correlation_id"), F.sha2(text, 256).alias("input_sha256"), F.when(key % 40 != 0, "ok").alias("status"))
-    return report.sidecar(reports, "run-1", "2026-01-01T00:00:00Z", {"version": "0.1.0", "git_sha": "?"})
+    reports = B.table(spark, sf_dir, "orders").select(F.concat(F.lit("run-"), F.col("o_custkey").cast("string")).alias("run"), key.alias("doc_id"), F.md5(text).alias("correlation_id"), F.sha2(text, 256).alias("input_sha256"), F.when(key % 40 != 0, "ok").alias("status"))
+    return report.sidecar(reports, "run", "2026-01-01T00:00:00Z", {"version": "0.1.0", "git_sha": "?"})
 
 
 @query("""
@@ -157,7 +156,6 @@ def warning_counts(spark, sf_dir):
     FROM (SELECT CAST(p_partkey * 10000000 AS BIGINT) AS bytes, CAST(p_size % 9 AS BIGINT) AS workers, CASE p_partkey % 3 WHEN 0 THEN CAST(NULL AS BIGINT) WHEN 1 THEN CAST(0 AS BIGINT) ELSE CAST(512 AS BIGINT) END AS setting FROM part WHERE p_partkey <= 100)
 """)
 def mem_cap(spark, sf_dir):
-    """The formula runs on the driver; its cases are the first hundred parts."""
-    parts = B.table(spark, sf_dir, "part").filter("p_partkey <= 100").select("p_partkey", "p_size").collect()
-    cases = [(p.p_partkey * 10_000_000, p.p_size % 9, (None, 0, 512)[p.p_partkey % 3]) for p in parts]
-    return spark.createDataFrame([(b, w, worker_memory_cap(b, w, 32 << 30, s)) for b, w, s in cases], "bytes long, workers long, cap long")
+    size, key = (F.col("p_partkey") * 10_000_000).cast("long"), F.col("p_partkey") % 3
+    parts = B.table(spark, sf_dir, "part").select(size.alias("bytes"), (F.col("p_size") % 9).cast("long").alias("workers"), F.when(key == 1, 0).when(key == 2, 512).alias("setting"))
+    return parts.select("bytes", "workers", report.worker_memory_cap(F.col("bytes"), F.col("workers"), 32 << 30, F.col("setting")).alias("cap"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.options import Options
+from quire.options import HOST_SHARE, MEBIBYTE, MEMORY_CEILING, MEMORY_FACTOR, MEMORY_FLOOR, Options
 
 
 def ratio(input_bytes: Column, output_bytes: Column) -> Column:
@@ -82,8 +82,16 @@ def as_json(fields: list[str]) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def sidecar(reports: DataFrame, run_id: str, started_at: str, build: dict[str, str]) -> DataFrame:
-    """One row: the run's record with an entry for each report, by id.
+def worker_memory_cap(input_bytes: Column, workers: Column, available: int, setting_mb: Column) -> Column:
+    """Bytes for each worker, as ``options.worker_memory_cap`` has them; 0 switches the cap off."""
+    # the factor comes after the ceiling, so that it can't overflow
+    scaled = F.greatest(F.lit(MEMORY_FLOOR), F.least(input_bytes, F.lit(MEMORY_CEILING // MEMORY_FACTOR)) * MEMORY_FACTOR)
+    share = F.floor(F.lit(int(available * HOST_SHARE)) / F.greatest(F.lit(1), workers))
+    return F.when(setting_mb == 0, F.lit(0).cast("long")).otherwise(F.least(F.coalesce(setting_mb.cast("long") * MEBIBYTE, scaled), share))
+
+
+def sidecar(reports: DataFrame, by: str, started_at: str, build: dict[str, str]) -> DataFrame:
+    """A row for each run in ``by``: the run's record with an entry for each report, by id.
 
     A run's record is one document by definition; runs of many reports write the
     entries as lines instead (``write_reports``).
@@ -91,7 +99,7 @@ def sidecar(reports: DataFrame, run_id: str, started_at: str, build: dict[str, s
     entry = F.struct("doc_id", "correlation_id", "input_sha256", "status")
     entries = F.array_sort(F.collect_list(entry)).alias("entries")
     info = F.struct(*[F.lit(v).alias(k) for k, v in build.items()]).alias("build_info")
-    rows = reports.agg(entries).select(F.lit(run_id).alias("run_id"), F.lit(started_at).alias("started_at"), info, "entries")
+    rows = reports.groupBy(F.col(by).alias("run_id")).agg(entries).select("run_id", F.lit(started_at).alias("started_at"), info, "entries")
     return rows.select(F.to_json(F.struct("run_id", "started_at", "build_info", "entries"), {"ignoreNullFields": "false"}).alias("sidecar"))
 
 

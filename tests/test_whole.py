@@ -1,5 +1,6 @@
 """Queries do the whole job: rows, ids and characters that the registered SQL leaves out count too."""
 
+import json
 import random
 
 import duckdb
@@ -9,6 +10,7 @@ from test_oracle import TABLES, rows
 
 from quire import catalog
 from quire.functions import text as T
+from quire.options import worker_memory_cap
 
 catalog.load()
 
@@ -64,3 +66,20 @@ def test_every_user(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
     assert rows(got) == rows(duckdb.sql(sql).df()) and got.nodes.sum() == spark.read.parquet(f"{larger}/events.parquet").count()
+
+
+def test_every_part(spark, duck, sf_dir):
+    sql = catalog.ORACLE_SQL["mem_cap"].replace(" WHERE p_partkey <= 100", "")
+    got = catalog.QUERIES["mem_cap"](spark, sf_dir).toPandas()
+    assert rows(got) == rows(duck.sql(sql).df()) and len(got) > 100
+    for r in got.itertuples():
+        assert r.cap == worker_memory_cap(r.bytes, r.workers, 32 << 30, (None, 0, 512)[r.bytes // 10_000_000 % 3])
+
+
+def test_every_order_has_its_record(spark, duck, sf_dir):
+    got = [r.sidecar for r in catalog.QUERIES["correlation_sidecar"](spark, sf_dir).collect()]
+    sql = catalog.ORACLE_SQL["correlation_sidecar"]
+    customers = [c for (c,) in duck.sql("SELECT DISTINCT o_custkey FROM orders").fetchall()]
+    wanted = [duck.sql(sql.replace("o_custkey = 1", f"o_custkey = {c}").replace("run-1", f"run-{c}")).fetchall()[0][0] for c in customers]
+    assert sorted(got) == sorted(wanted)
+    assert sum(len(json.loads(x)["entries"]) for x in got) == spark.read.parquet(f"{sf_dir}/orders.parquet").count()

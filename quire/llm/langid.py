@@ -18,9 +18,18 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1024
 NGRAM = 3
 SEED = 20_011
-#: Characters bundled at once, and documents multiplied at once.
+#: Characters cut to n-grams at once, documents and characters of a block, and n-grams whose vectors exist at once.
 BLOCK_CHARS = 1 << 20
 BLOCK_DOCS = 64
+SLICE_GRAMS = 8192
+#: Languages that can be learned: the driver and every worker hold a vector of each.
+MAX_LANGUAGES = 2000
+#: A text that shares no n-gram with a prototype has a cosine of either sign by
+#: chance, with a standard deviation of 1 / sqrt(DIMENSIONS); three of them, of a
+#: text of so many letters, are needed to be in a language at all. Shorter texts
+#: have too few n-grams to say.
+FLOOR = 3 / DIMENSIONS**0.5
+FLOOR_LETTERS = 30
 
 
 @lru_cache(maxsize=1)
@@ -85,17 +94,48 @@ def gram_counts(text: str | None, step: int = BLOCK_CHARS):
     return codes, np.bincount(which, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
-def profile_blocks(texts: list[str | None]) -> Iterator[tuple]:
-    """(index of first text, counts matrix, n-gram vectors) of blocks of texts."""
+def profiles(rows, codes, counts, n_rows: int):
+    """(n_rows, DIMENSIONS) float64: each row's bundle of its n-grams' vectors.
+
+    The three arrays say that row ``rows[i]`` has n-gram ``codes[i]``, ``counts[i]``
+    times. Vectors are made for ``SLICE_GRAMS`` n-grams at a time, so the memory
+    does not depend on how many there are; sums are of integers, and exact.
+    """
+    import numpy as np
+
+    out = np.zeros((n_rows, DIMENSIONS))
+    order = np.argsort(codes, kind="stable")
+    rows, codes, counts = rows[order], codes[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    bounds = np.append(starts[::SLICE_GRAMS], len(codes))
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        own = starts[k * SLICE_GRAMS : (k + 1) * SLICE_GRAMS]
+        which = np.searchsorted(own, np.arange(low, high), side="right") - 1
+        small = counts[low:high].sum() < 1 << 24
+        matrix = np.zeros((n_rows, len(own)), np.float32 if small else np.float64)
+        np.add.at(matrix, (rows[low:high], which), counts[low:high])
+        out += matrix @ ngram_vectors(codes[own]).astype(matrix.dtype, copy=False)
+    return out
+
+
+def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts: ``BLOCK_DOCS`` of them, or fewer that hold ``BLOCK_CHARS`` characters."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and (i - first == BLOCK_DOCS or held + len(text or "") > BLOCK_CHARS):
+            yield first, i
+            first, held = i, 0
+        held += len(text or "")
+    if texts:
+        yield first, len(texts)
+
+
+def counted(texts: list[str | None], rows: list[int]):
+    """(rows, codes, counts) of the texts' n-grams, the i-th text's under ``rows[i]``."""
     import numpy as np
 
-    for first in range(0, len(texts), BLOCK_DOCS):
-        found = [gram_counts(t) for t in texts[first : first + BLOCK_DOCS]]
-        codes, which = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-        matrix = np.zeros((len(found), len(codes)), np.float32)
-        rows = np.repeat(np.arange(len(found)), [len(c) for c, _ in found])
-        matrix[rows, which] = np.concatenate([n for _, n in found])
-        yield first, matrix, ngram_vectors(codes)
+    found = [gram_counts(t) for t in texts]
+    return np.repeat(np.array(rows, np.int64), [len(c) for c, _ in found]), np.concatenate([c for c, _ in found]), np.concatenate([n for _, n in found])
 
 
 def held_out(id_column: Column) -> Column:
@@ -108,8 +148,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
 
     Every task bundles its own rows and returns one vector a language; the sums
     are integers, so the result does not depend on the partitions. Rows without
-    text or language teach nothing. What reaches the driver is one vector for
-    each language, however large the table.
+    text or language teach nothing; repeated rows count as often as they stand;
+    an empty table teaches nothing. What reaches the driver is one vector for
+    each language, of which there may be ``MAX_LANGUAGES``; more raise a
+    ValueError before any text is read.
     """
 
     def bundle(batches):
@@ -119,22 +161,30 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, matrix, vectors in profile_blocks(texts):
-                block = langs[first : first + len(matrix)]
-                for lang in set(block):
-                    total = matrix[[x == lang for x in block]].sum(0, dtype=np.float64)
-                    own = total @ vectors.astype(np.float64)
-                    sums[lang] = sums.get(lang, 0) + np.rint(own).astype(np.int64)
+            for first, last in _blocks(texts):
+                names = sorted(set(langs[first:last]))
+                place = {name: i for i, name in enumerate(names)}
+                own = np.rint(profiles(*counted(texts[first:last], [place[x] for x in langs[first:last]]), len(names))).astype(np.int64)
+                for name, row in zip(names, own, strict=True):
+                    sums[name] = sums.get(name, 0) + row
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "profile"])
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} different values")
     partial = rows.mapInArrow(bundle, "lang string, profile array<long>")
     total = partial.select("lang", F.posexplode("profile").alias("at", "value")).groupBy("lang", "at").agg(F.sum("value").alias("value"))
-    profiles: dict[str, list[int]] = {}
+    prototypes: dict[str, list[int]] = {}
     for row in total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("profile")).collect():
-        profiles[row["lang"]] = [x["value"] for x in row["profile"]]
-    return dict(sorted(profiles.items()))
+        prototypes[row["lang"]] = [x["value"] for x in row["profile"]]
+    return dict(sorted(prototypes.items()))
+
+
+def in_a_language(text: Column) -> Column:
+    """Whether a text judged by ``identify`` is in one of the languages, as ``FLOOR`` says; false for ``und``."""
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    return (F.col("lang_pred") != "und") & ((F.col("score") >= FLOOR) | (letters < FLOOR_LETTERS))
 
 
 def identify(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str = "text") -> DataFrame:
@@ -142,8 +192,9 @@ def identify(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str =
 
     A null text, or one without a letter, is ``und`` with score 0, as is every
     text when there are no prototypes. Equal cosines go to the language that
-    sorts first. Each row is judged by its text alone; other columns pass
-    through, and columns with the added names are replaced.
+    sorts first. Each row is judged by its whole text alone, so repeated rows
+    agree and an empty table gives an empty result; other columns pass through,
+    and columns with the added names are replaced.
     """
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, StringType, StructType
@@ -161,14 +212,14 @@ def identify(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str =
         for batch in batches:
             texts = batch.column(at).to_pylist()
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-            if names:
-                for first, matrix, vectors in profile_blocks(texts):
-                    profiles = (matrix @ vectors).astype(np.float64)
-                    norms = np.linalg.norm(profiles, axis=1)
-                    cosines = profiles @ table.T / np.maximum(norms, 1e-12)[:, None]
-                    best = cosines.argmax(1)
-                    for i in np.flatnonzero(matrix.any(1)).tolist():
-                        langs[first + i], scores[first + i] = names[best[i]], min(1.0, max(0.0, float(cosines[i, best[i]])))
+            for first, last in _blocks(texts) if names else ():
+                rows, codes, counts = counted(texts[first:last], list(range(last - first)))
+                own = profiles(rows, codes, counts, last - first)
+                norms = np.linalg.norm(own, axis=1)
+                cosines = own @ table.T / np.maximum(norms, 1e-12)[:, None]
+                best = cosines.argmax(1)
+                for i in np.unique(rows).tolist():
+                    langs[first + i], scores[first + i] = names[best[i]], min(1.0, max(0.0, float(cosines[i, best[i]])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
 
     return rest.mapInArrow(judge, schema)

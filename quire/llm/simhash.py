@@ -1,18 +1,67 @@
-"""SimHash near-duplicates by multi-index hashing."""
+"""SimHash near-duplicates by multi-index hashing.
+
+Two searches share one way to link. ``near_duplicates`` links 64-bit fingerprints
+within a Hamming distance and finds every such pair. ``similar_documents`` links
+texts whose shingle sets have a Jaccard similarity; its 192-bit fingerprints bring
+up candidates, which are then compared exactly.
+
+Both cut a fingerprint into segments and list each fingerprint under the values of
+a small Hamming ball around each segment; fingerprints listed under one value meet,
+and all their bits are compared. How many values a fingerprint is listed under is
+fixed by its length and the distance, not by the table.
+"""
 
 from __future__ import annotations
 
-from itertools import combinations
+import re
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
 from quire.llm.storage import materialize
 
 BITS = 64
-#: Shingles hashed and summed at once, so that a text of any length needs little memory.
+#: Shingles hashed and summed at once, and bytes cut to words at once, so that a text of any length needs little memory.
 BLOCK = 1 << 16
+TEXT_BLOCK = 1 << 20
+
+#: Fingerprints of similar documents: lanes of 64 bits, cut to segments, and the
+#: bits of a segment that its ball turns over, those that hung by the least.
+LANES = 3
+SEGMENTS = 8
+SEGMENT_BITS = BITS * LANES // SEGMENTS
+SOFT_BITS = 5
+#: Differing bits of 192 up to which two texts are compared.
+DISTANCE = 34
+
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_blocks(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, the words of about ``TEXT_BLOCK`` bytes at a time."""
+    start = 0
+    while start < len(text):
+        found = _SPACE.search(text, start + TEXT_BLOCK) if start + TEXT_BLOCK < len(text) else None
+        stop = found.start() if found else len(text)
+        yield text[start:stop].lower().split()
+        start = stop
+
+
+def _shingle_blocks(text: bytes, width: int) -> Iterator[list[bytes]]:
+    """Lists of words whose windows of ``width`` are the text's shingles, each window in one list."""
+    tail: list[bytes] = []
+    fresh = False
+    for words in word_blocks(text):
+        for first in range(0, len(words), BLOCK):
+            tail = tail + words[first : first + BLOCK]
+            fresh = True
+            if len(tail) >= width:
+                yield tail
+                tail, fresh = tail[len(tail) - width + 1 :], False
+    if fresh:
+        yield tail
 
 
 def simhash(text: bytes | None, width: int) -> int:
@@ -25,15 +74,13 @@ def simhash(text: bytes | None, width: int) -> int:
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    n, ones = max(1, len(words) - width + 1), np.zeros(BITS, np.int64)
-    for start in range(0, n, BLOCK):
-        stop = min(n, start + BLOCK)
-        hashes = np.fromiter((xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(start, stop)), ">u8", stop - start)
+    total, ones = 0, np.zeros(BITS, np.int64)
+    for words in _shingle_blocks(text or b"", width):
+        n = max(1, len(words) - width + 1)
+        hashes = np.fromiter((xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(n)), ">u8", n)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+        total += n
+    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,137 +98,259 @@ def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_c
     return source.mapInArrow(hashed, f"id {source.schema['id'].dataType.simpleString()}, fp long")
 
 
-def segments(count: int, distance: int) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of each segment for a table of ``count`` fingerprints.
+def segments(distance: int) -> list[tuple[int, int]]:
+    """(shift, width) of the segments that find every pair of 64-bit fingerprints within ``distance``.
 
-    Segments are about as wide as log2(count), so that a bucket holds a few
-    fingerprints at any size. With m segments and distance = m * q + r, two
-    fingerprints within the distance agree up to q bits in one of the first r + 1
-    segments, or up to q - 1 in one of the others; those with no radius left need
-    no probe.
+    Two fingerprints are listed under a common value of a segment when they differ
+    in at most two of its bits, as balls of radius one meet. With m segments, a pair that
+    differs in three bits or more of each differs in 3 m at least, so m is
+    distance // 3 + 1. A fingerprint is listed 64 + m times, at any size.
     """
-    m = max(2, min(4, round(BITS / max(16, count.bit_length() + 1))))
-    q, r = divmod(distance, m)
+    m = max(2, distance // 3 + 1)
     out, shift = [], BITS
     for i in range(m):
         width = BITS // m + (i < BITS % m)
         shift -= width
-        radius = q if i <= r else q - 1
-        if radius >= 0:
-            out.append((shift, width, radius))
+        out.append((shift, width))
     return out
 
 
-def _around(segment: F.Column, key: F.Column, masks: F.Column) -> F.Column:
-    """The key with each mask's bits turned over, under the segment's number."""
-    return F.transform(masks, lambda x: segment.cast("bigint").bitwiseOR(key.bitwiseXOR(x)))
+def ball_keys(fp: Column, distance: int) -> tuple[Column, Column]:
+    """(values, balls): arrays of the segments' values, and of those with each bit turned over besides."""
+    values, balls = [], []
+    for i, (shift, width) in enumerate(segments(distance)):
+        value = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
+        key = F.lit(i << 32).cast("bigint").bitwiseOR(value)
+        values.append(key)
+        balls += [key.bitwiseXOR(F.lit(1 << b).cast("bigint")) for b in range(width)]
+    return F.array(*values), F.array(*values, *balls)
 
 
-def links(table: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b), a < b: pairs of the fingerprints in ``table`` (fp, each once) within ``distance`` bits.
+def connect(nodes: DataFrame, payload: list[str], near: Callable[[Callable, Callable], Column], verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root): components of the links between ``nodes``, for every linked node.
 
-    Two values of a segment differ in at most r bits when the Hamming ball of
-    radius r / 2 (rounded up) around one meets that of radius r / 2 (rounded down)
-    around the other. So for each segment the table holds every fingerprint under
-    the values of the smaller ball, and every fingerprint probes those of the
-    larger. Matches are verified on all bits. Both sides are plainly shuffled on
-    (segment, value), so a value that many fingerprints share is split by
-    adaptive execution.
-    """
-    plan = segments(table.count(), distance)
+    ``nodes`` has node (long, each once), the ``payload`` columns, ``base`` (the
+    segments' own values) and ``keys`` (all values it is listed under). Two nodes
+    with a common key are linked when ``near`` holds, a condition that is given both nodes'
+    columns by name, and ``verify`` keeps their pair (a, b). The components are those of
+    all links, but not every link is made, so that a crowd of g nodes close to
+    one another costs about g rows and not g squared:
 
-    def keyed(name: str, extra: int) -> DataFrame:
-        parts = []
-        for i, (shift, width, radius) in enumerate(plan):
-            key = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-            ball = [sum(1 << b for b in bits) for k in range((radius + extra) // 2 + 1) for bits in combinations(range(width), k)]
-            parts.append(_around(F.lit(i << 32), key, F.array(*[F.lit(x) for x in ball]).cast("array<bigint>")))
-        return table.select(F.col("fp").alias(name), F.explode(F.concat(*parts)).alias("key"))
+    1. Stars. Under each segment value the smallest and the largest node are
+       compared with all others, two comparisons for each node and value, and the
+       links found make first classes.
+    2. Rest. Links inside a class can't change it, so keys that only one class
+       uses leave, and under the others only nodes of different classes meet.
 
-    held, probes = keyed("b", 0), keyed("a", 1)
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    matched = held.hint("merge").join(probes.hint("merge"), (held["key"] == probes["key"]) & (F.col("a") < F.col("b")) & near)
-    return matched.select("a", "b").distinct()
+    Minima are combined before their shuffle; both sides of a join by key are
+    plainly shuffled, so nothing is gathered or broadcast.
+    """
 
+    def side(name: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(name), *[F.col(p).alias(f"{name}_{p}") for p in payload])
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, fp, shingles) for ``docs`` (id, text): the fingerprint and the different shingles' hashes."""
+    def of(name: str) -> Callable[[str], Column]:
+        return lambda column: F.col(name if column == "node" else f"{name}_{column}")
 
-    def hashed(batches):
-        import numpy as np
-        import pyarrow as pa
-        from xxhash import xxh64_intdigest
+    close = near(of("a"), of("b"))
+    checked = verify or (lambda pairs: pairs)
+    base = nodes.select("node", F.explode("base").alias("key"))
+    ends = base.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    spokes = base.hint("merge").join(ends.hint("merge"), "key").select(F.explode(F.array("lo", "hi")).alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+    if payload:
+        spokes = spokes.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    stars = components(checked(spokes.filter(close).select("a", "b")))
+    first = materialize(stars.withColumnRenamed("root", "class"), "star-classes")
 
-        for batch in batches:
-            sets, fps = [], []
-            for text in batch.column(1):
-                words = (text.as_py() or b"").lower().split()
-                n = max(1, len(words) - width + 1) if words else 0
-                sets.append(list({xxh64_intdigest(b" ".join(words[i : i + width]), 42) - (1 << 63) for i in range(n)}))
-                fps.append(simhash(text.as_py(), width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["id", "fp", "shingles"])
-
-    source = docs.select("id", F.col("text").cast("binary").alias("text"))
-    return source.mapInArrow(hashed, f"id {source.schema['id'].dataType.simpleString()}, fp long, shingles array<long>")
+    tagged = nodes.hint("merge").join(first, "node", "left").select("node", F.coalesce("class", "node").alias("class"), *payload, "keys")
+    keyed = tagged.select("node", "class", *payload, F.explode("keys").alias("key"))
+    mixed = keyed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
+    meeting = keyed.hint("merge").join(mixed.hint("merge"), "key", "left_semi")
 
+    def listed(name: str) -> DataFrame:
+        return meeting.select(F.col("key").alias(f"{name}_key"), F.col("node").alias(name), F.col("class").alias(f"{name}_class"), *[F.col(p).alias(f"{name}_{p}") for p in payload])
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
-    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("__x"))
-    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("__y"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("__both", F.size(F.array_intersect("__x", "__y")))
-    return joined.filter(F.col("__both") >= similarity * (F.size("__x") + F.size("__y") - F.col("__both"))).select("a", "b")
+    apart = (F.col("a_key") == F.col("b_key")) & (F.col("a_class") < F.col("b_class")) & close
+    pairs = listed("a").hint("merge").join(listed("b").hint("merge"), apart).select("a", "b", "a_class", "b_class").distinct()
+    across = components(checked(pairs).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")))
+    merged = materialize(across.select(F.col("node").alias("class"), F.col("root").alias("top")), "merged-classes")
+    lone = merged.join(first.select("class").distinct(), "class", "left_anti").select(F.col("class").alias("node"), F.col("top").alias("root"))
+    return first.join(merged, "class", "left").select("node", F.coalesce("top", "class").alias("root")).unionByName(lone)
 
 
-def verified_links(found: DataFrame, docs: DataFrame, table: DataFrame, width: int, distance: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Links that join the same fingerprints as those of ``found`` with enough similarity do.
-
-    First every fingerprint linked to its component's smallest one is compared with
-    it, which takes one comparison each. Of the links, only those between classes that this
-    leaves apart are compared then: links inside a class can't change it. So a
-    dense group of near copies costs about its size.
-    """
-    found = materialize(found, "simhash-links")
-    roots = materialize(components(found), "link-roots")
-    ends = table.join(roots, table["fp"] == roots["node"], "left_semi").select("fp", F.col("rep").alias("__rep"))
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = named.join(ends, named["id"].eqNullSafe(ends["__rep"]), "left_semi")
-    # rows may share an id, so the fingerprint says whose text it is; one text a fingerprint is enough
-    one = F.min_by("shingles", F.struct("id", F.size("shingles"), F.xxhash64("shingles"))).alias("shingles")
-    sets = materialize(shingle_sets(texts, width).join(ends, "fp", "left_semi").groupBy("fp").agg(one), "shingle-sets")
-    linked = (F.col("node") != F.col("root")) & (F.bit_count(F.col("node").bitwiseXOR(F.col("root"))) <= distance)
-    stars = materialize(_similar(roots.filter(linked).select(F.col("root").alias("a"), F.col("node").alias("b")), sets, similarity), "stars")
-    of_a = stars.select(F.col("b").alias("a"), F.col("a").alias("__a"))
-    of_b = stars.select("b", F.col("a").alias("__b"))
-    apart = found.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
-    return stars.unionByName(_similar(apart, sets, similarity))
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``.
 
-    Rows are linked when their fingerprints differ in at most ``distance`` bits
-    and, if ``similarity`` is given, their sets of shingles have at least that
-    Jaccard similarity; ``component_id`` is the smallest id that links reach, the
-    row's own included. Rows without a word (null, empty or blank texts) have
-    fingerprint 0 and are linked like any other. Rows with one fingerprint are
-    one point of the search, so copies cost nothing and never pair up; repeated
-    rows are copies. A null id is nobody's smallest; a component without other
-    ids has a null ``component_id``. An empty table gives an empty result. Only
-    the two named columns are read.
+    Rows are linked when their fingerprints differ in at most ``distance`` bits;
+    ``component_id`` is the smallest id that links reach, the row's own included.
+    Rows without a word (null, empty or blank texts) have fingerprint 0 and are
+    linked like any other. Rows with one fingerprint are one point of the search,
+    so copies cost nothing and never pair up; repeated rows are copies. A null id
+    is nobody's smallest; a component without other ids has a null
+    ``component_id``. An empty table gives an empty result. Only the two named
+    columns are read.
     """
     rows = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
     table = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-table")
-    found = links(table.select("fp"), distance)
-    if similarity is not None:
-        found = verified_links(found, docs, table, width, distance, similarity, id_col, text_col)
-    roots = materialize(components(found), "roots")
+    base, keys = ball_keys(F.col("fp"), distance)
+    nodes = table.select(F.col("fp").alias("node"), base.alias("base"), keys.alias("keys"))
+    near = lambda a, b: F.bit_count(a("node").bitwiseXOR(b("node"))) <= distance
+    roots = materialize(connect(nodes, [], near), "roots")
     reached = table.join(roots, table["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = reached.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = materialize(reached.join(least, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select("id", "fp", "component_id")
 
 
+def _mixed(x):
+    """Every bit of 64-bit integers spread over all of them."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _WordHashes(dict):
+    """Hashes of words; short ones are remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        value = xxh64_intdigest(word)
+        if len(word) <= 32 and len(self) < 1 << 18:
+            self[word] = value
+        return value
+
+
+def shingle_hashes(text: bytes | None, width: int, known: dict[bytes, int]):
+    """Sorted hashes of the different shingles of ``width`` words; none for a text without a word."""
+    import numpy as np
+
+    parts = []
+    for words in _shingle_blocks(text or b"", width):
+        codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        n = max(1, len(codes) - width + 1)
+        x = codes[:n]
+        for k in range(1, min(width, len(codes))):
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+        parts.append(np.unique(_mixed(x)))
+    if not parts:
+        return np.zeros(0, np.uint64)
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def margins(hashes):
+    """For each bit of ``LANES`` lanes the votes for it less those against."""
+    import numpy as np
+
+    ones = np.zeros((LANES, BITS), np.int64)
+    for lane in range(LANES):
+        seed = np.uint64(0x9E3779B97F4A7C15 * (lane + 1) & (1 << 64) - 1)
+        for start in range(0, len(hashes), BLOCK):
+            voted = _mixed(hashes[start : start + BLOCK] + seed)
+            ones[lane] += np.unpackbits(voted.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return (2 * ones - len(hashes)).reshape(-1)
+
+
+def segment_keys(votes):
+    """The segments' values, then those with one of the softest bits turned over: int32 with the segment's number above."""
+    import numpy as np
+
+    power = 1 << np.arange(SEGMENT_BITS)
+    cut = votes.reshape(SEGMENTS, SEGMENT_BITS)
+    values = (cut > 0) @ power
+    soft = np.argsort(np.abs(cut), axis=1, kind="stable")[:, :SOFT_BITS]
+    number = np.arange(SEGMENTS) << SEGMENT_BITS
+    return np.concatenate([values | number, ((values[:, None] ^ power[soft]) | number[:, None]).reshape(-1)]).astype(np.int32)
+
+
+def sketches(rows: DataFrame, width: int) -> DataFrame:
+    """(digest, f0, f1, f2, keys) of ``rows`` (digest, text as binary): fingerprint and listed values."""
+
+    def made(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known = _WordHashes()
+        for batch in batches:
+            lanes, keys = np.zeros((batch.num_rows, LANES), np.int64), np.zeros((batch.num_rows, SEGMENTS * (SOFT_BITS + 1)), np.int32)
+            for i, text in enumerate(batch.column(1)):
+                votes = margins(shingle_hashes(text.as_py(), width, known))
+                lanes[i] = np.packbits(votes > 0).view(">i8")
+                keys[i] = segment_keys(votes)
+            offsets = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(lanes[:, k])) for k in range(LANES)), lists], ["digest", *_FP, "keys"])
+
+    return rows.select("digest", "text").mapInArrow(made, f"digest binary, {', '.join(f'{c} long' for c in _FP)}, keys array<int>")
+
+
+_FP = [f"f{k}" for k in range(LANES)]
+
+
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the text as 32 bytes; a null text counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of ``texts`` (node, text as binary): the different shingles' hashes."""
+
+    def hashed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known = _WordHashes()
+        for batch in batches:
+            for i, text in enumerate(batch.column(1)):
+                own = shingle_hashes(text.as_py(), width, known).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), lists], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(hashed, "node long, shingles array<long>")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest, n_rows, class): each different pair of id and text, with its class of near-duplicates.
+
+    Texts are linked when their sets of ``width``-word shingles (A-Z lower-cased)
+    have at least the Jaccard ``similarity``; ``class`` is a number that linked
+    texts share. Links are searched among texts that meet under a segment value and
+    whose 192-bit fingerprints differ in at most ``distance`` bits; each is then
+    compared by its whole sets, so no other texts are linked. Of the pairs with a
+    similarity of 0.8 or more, over 0.9 are found (see the README for figures).
+
+    Nodes of the search are different texts, told apart by ``digest`` (SHA-256):
+    copies cost nothing, and an equal fingerprint alone links nothing. Null and empty
+    texts are one text; texts without a word are linked with each other. ``n_rows``
+    counts the rows with this id and text; null ids are kept. An empty table gives
+    an empty result. Only the two named columns are read.
+    """
+    source = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    made = sketches(source, width).groupBy("digest").agg(*[F.first(c).alias(c) for c in (*_FP, "keys")])
+    table = materialize(made.withColumn("node", F.monotonically_increasing_id()), "sketches")
+    nodes = table.select("node", *_FP, F.slice("keys", 1, SEGMENTS).alias("base"), "keys")
+
+    def near(a, b) -> Column:
+        return sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in _FP[1:]), F.bit_count(a(_FP[0]).bitwiseXOR(b(_FP[0])))) <= distance
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "candidates")
+        both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+        named = materialize(table.join(both, table["node"] == both["a"], "left_semi").select("node", "digest"), "candidate-texts")
+        texts = source.select("digest", "text").join(named, "digest").dropDuplicates(["node"])
+        sets = materialize(_shingle_sets(texts, width), "shingle-sets")
+        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+        return joined.filter(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both"))).select(*pairs.columns)
+
+    roots = materialize(connect(nodes, _FP, near, verify), "roots")
+    classes = table.select("node", "digest").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class"))
+    return source.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n_rows")).join(classes, "digest").select("id", "digest", "n_rows", "class")
+
+
 def hex_fingerprint(fp: F.Column) -> F.Column:
     """16 lower-case hexadecimal digits of a signed 64-bit fingerprint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

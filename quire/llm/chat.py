@@ -8,14 +8,20 @@ Anything else is plain text.
 
 from __future__ import annotations
 
+import heapq
 import json
+import math
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.storage import materialize
+
 #: JSON Schema types and the Python types of parsed values.
 TYPES = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None)}
+#: Nesting beyond this is no usable JSON.
+MAX_DEPTH = 100
 
 
 def canonical(value: Any) -> str:
@@ -31,6 +37,26 @@ def canonical(value: Any) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def writable(value: Any) -> bool:
+    """Whether a parsed value can be written again: finite numbers, whole characters, bounded nesting."""
+    left = [(value, 0)]
+    while left:
+        x, depth = left.pop()
+        if isinstance(x, float) and not math.isfinite(x):
+            return False
+        if isinstance(x, str) and not x.isascii() and any("\ud800" <= c <= "\udfff" for c in x):
+            return False
+        if isinstance(x, dict | list):
+            if depth == MAX_DEPTH:
+                return False
+            if isinstance(x, dict):
+                left += [(k, depth) for k in x]
+                left += [(v, depth + 1) for v in x.values()]
+            else:
+                left += [(v, depth + 1) for v in x]
+    return True
+
+
 def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
     """Where ``value`` breaks ``schema``: type, enum, bounds, lengths, items, properties, required, additionalProperties."""
     kind = schema.get("type")
@@ -39,7 +65,8 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
         if not fits and not (kind == "integer" and isinstance(value, float) and value.is_integer()):
             return [f"{at}: not {kind}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    # True and 1 are equal in Python, but not in JSON
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: not in enum")
     if isinstance(value, int | float) and not isinstance(value, bool):
         if value < schema.get("minimum", value):
@@ -65,44 +92,58 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
 def call_order(calls: list[dict]) -> tuple[list[int], bool]:
     """Indexes of ``calls`` so that each stands after those it names; earlier listed ones first.
 
-    The second value is False when names form a cycle; the calls in it then keep
-    their listed order at the end.
+    An id that several calls have means the first of them; names that no call has
+    don't matter. The second value is False when names form a cycle; the calls
+    that wait for it then keep their listed order at the end. Takes about as many steps as
+    there are calls and names.
     """
-    place = {c.get("id"): i for i, c in reversed(list(enumerate(calls)))}
-    needs = []
-    for c in calls:
+    place: dict[str, int] = {}
+    for i, c in enumerate(calls):
+        if isinstance(c.get("id"), str):
+            place.setdefault(c["id"], i)
+    missing, waiting = [0] * len(calls), [[] for _ in calls]
+    for i, c in enumerate(calls):
         after = c.get("after") if isinstance(c.get("after"), list) else []
-        needs.append({place[x] for x in after if isinstance(x, str) and x in place})
+        for needed in {place[x] for x in after if isinstance(x, str) and x in place}:
+            missing[i] += 1
+            waiting[needed].append(i)
+    ready = [i for i, n in enumerate(missing) if not n]
     order: list[int] = []
-    left, done = list(range(len(calls))), set()
-    while left:
-        ready = next((i for i in left if needs[i] <= done), None)
-        if ready is None:
-            return order + left, False
-        left.remove(ready)
-        done.add(ready)
-        order.append(ready)
-    return order, True
+    while ready:
+        i = heapq.heappop(ready)
+        order.append(i)
+        for k in waiting[i]:
+            missing[k] -= 1
+            if not missing[k]:
+                heapq.heappush(ready, k)
+    rest = [i for i, n in enumerate(missing) if n]
+    return order + rest, not rest
+
 
+def _no_constant(name: str) -> Any:
+    raise ValueError(f"{name} is no JSON")
 
-def _parsed(text: str | None) -> Any:
+
+def parsed(text: str | None) -> dict | None:
+    """The JSON object of a text; none where it isn't one that can be written again."""
     if not text or not text.lstrip().startswith("{"):
         return None
     try:
-        return json.loads(text, parse_constant=lambda x: x)
+        value = json.loads(text, parse_constant=_no_constant)
     except (ValueError, RecursionError):
         return None
+    return value if isinstance(value, dict) and writable(value) else None
 
 
 def parse_message(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
     """(slot, kind, call_id, status, json) of a message, then of its calls in order."""
-    body = _parsed(text)
+    body = parsed(text) if role in ("tool", "assistant") else None
     if role == "tool":
-        if not isinstance(body, dict) or not isinstance(body.get("tool_call_id"), str):
+        if body is None or not isinstance(body.get("tool_call_id"), str):
             return [(0, "result", None, "bad_json", canonical({"content": text, "role": role}))]
         made = {"content": body.get("content"), "role": role, "tool_call_id": body["tool_call_id"]}
         return [(0, "result", body["tool_call_id"], "ok", canonical(made))]
-    calls = body.get("tool_calls") if role == "assistant" and isinstance(body, dict) else None
+    calls = body.get("tool_calls") if body is not None else None
     if not isinstance(calls, list) or not all(isinstance(c, dict) for c in calls):
         return [(0, "message", None, "ok", canonical({"content": text, "role": role}))]
     order, acyclic = call_order(calls)
@@ -112,7 +153,8 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
         call = calls[i]
         ident, name, arguments = call.get("id"), call.get("name"), call.get("arguments")
         if isinstance(arguments, str):
-            arguments = _parsed(arguments)
+            arguments = parsed(arguments)
+        written = canonical({"arguments": arguments, "id": ident, "name": name})
         if not isinstance(ident, str):
             ident, status = None, "bad_json"
         elif not acyclic:
@@ -122,7 +164,7 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
         else:
             wrong = violations(arguments, schemas[name])
             status = "bad_arguments " + "; ".join(wrong) if wrong else "ok"
-        out.append((slot, "call", ident, status, canonical({"arguments": arguments, "id": ident, "name": name})))
+        out.append((slot, "call", ident, status, written))
     return out
 
 
@@ -132,19 +174,28 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     ``messages`` has conv_id, turn, role and text. Ordered by (anchor_turn,
     anchor_slot, kind, turn) a conversation's rows are topologically sorted: a
     call stands after its message and the calls it names, a result directly after
-    its call, wherever it stood. Calls and results are joined by (conv_id,
-    call_id); minima are combined before that shuffle and plain joins follow, so
-    a conversation of any size is spread, and none is gathered in a task.
+    its call, wherever it stood. Messages are parsed once, into a written table.
+    The places of each (conv_id, call_id) are found by minima combined before
+    their shuffle, and hash-joined to the rows; so a conversation of any size is
+    spread, and none is gathered in a task.
 
     ``status``: ``ok``, ``bad_json`` (no usable id), ``cycle``, ``unknown_tool``,
     ``bad_arguments`` with the places, ``duplicate_call`` and ``duplicate_result``
     (an earlier one has the id), ``no_result`` (a valid call without any),
     ``orphan_result`` (a result without a call, which stays at its own turn).
 
+    No text stops the job. JSON that can't be written again (numbers beyond the
+    double range, NaN, halves of surrogate pairs, nesting deeper than
+    ``MAX_DEPTH``, numbers of thousands of digits) counts as no JSON: a tool
+    message is ``bad_json``, an assistant's is plain text, arguments given as such a
+    string are null. An id that is no string makes its call ``bad_json``. Calls of a
+    message are ordered in steps about as many as the calls and the names in them.
+
     Null or empty texts are plain messages with that content; a null role or turn
     is kept, a null turn coming first. Conversations are told apart by conv_id, null being
     one of them. Rows that agree in all four columns are rows of their own, but
-    calls in them have one place and so count as one call. Only the four columns are read.
+    calls in them have one place and so count as one call. Only the four columns
+    are read. An empty table gives an empty result.
     """
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     conv_type = rows.schema["conv_id"].dataType.simpleString()
@@ -163,12 +214,13 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             columns = [pa.array(slot, pa.int32()), *(pa.array(x, pa.string()) for x in (kind, call_id, status, body))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), *columns], ["conv_id", "turn", "slot", "kind", "call_id", "status", "json"])
 
-    parsed = rows.mapInArrow(parse, f"conv_id {conv_type}, turn long, slot int, kind string, call_id string, status string, json string")
+    made = rows.mapInArrow(parse, f"conv_id {conv_type}, turn long, slot int, kind string, call_id string, status string, json string")
+    known = materialize(made, "chat-rows")
     place = F.struct("turn", "slot")
-    first = parsed.filter("call_id IS NOT NULL").groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("k")).agg(
+    first = known.filter("call_id IS NOT NULL").groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("k")).agg(
         F.min(F.when(F.col("kind") == "call", place)).alias("call_at"), F.min(F.when(F.col("kind") == "result", place)).alias("result_at")
     )
-    linked = parsed.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("k")), "left")
+    linked = known.join(first.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("k")), "left")
     is_result, usable = (F.col("kind") == "result"), F.col("call_id").isNotNull()
     moved = is_result & usable & F.col("call_at").isNotNull()
     status = (

@@ -70,7 +70,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = rows.join(single, "digest")
     shared = by_digest.filter("__texts > 1").select("digest")
     if not shared.isEmpty():
-        texts = groups.join(shared, "digest", "left_semi").withColumnRenamed("text", "__text")
-        same = (rows["digest"] == texts["digest"]) & (F.coalesce(rows[text_col], F.lit("")) == texts["__text"])
-        out = out.unionByName(rows.join(texts, same).drop(texts["digest"]).drop("__text").select(*out.columns))
+        texts = groups.join(shared, "digest", "left_semi")
+        same = (rows["digest"] == texts["digest"]) & (F.coalesce(rows[text_col], F.lit("")) == texts["text"])
+        own = [rows["digest"] if c == "digest" else rows[c] if c in rows.columns else texts[c] for c in out.columns]
+        out = out.unionByName(rows.join(texts, same).select(*own))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))

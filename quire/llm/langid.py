@@ -15,13 +15,15 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.tokens import byte_batches
+
 DIMENSIONS = 1024
 NGRAM = 3
 SEED = 20_011
 #: Characters cut to n-grams at once, documents and characters of a block, and n-grams whose vectors exist at once.
 BLOCK_CHARS = 1 << 20
 BLOCK_DOCS = 64
-SLICE_GRAMS = 8192
+SLICE_GRAMS = 2048
 #: Languages that can be learned: the driver and every worker hold a vector of each.
 MAX_LANGUAGES = 2000
 #: A text that shares no n-gram with a prototype has a cosine of either sign by
@@ -111,10 +113,9 @@ def profiles(rows, codes, counts, n_rows: int):
     for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
         own = starts[k * SLICE_GRAMS : (k + 1) * SLICE_GRAMS]
         which = np.searchsorted(own, np.arange(low, high), side="right") - 1
-        small = counts[low:high].sum() < 1 << 24
-        matrix = np.zeros((n_rows, len(own)), np.float32 if small else np.float64)
-        np.add.at(matrix, (rows[low:high], which), counts[low:high])
-        out += matrix @ ngram_vectors(codes[own]).astype(matrix.dtype, copy=False)
+        matrix = np.bincount(rows[low:high] * len(own) + which, counts[low:high], n_rows * len(own)).reshape(n_rows, len(own))
+        kind = np.float32 if matrix.sum() < 1 << 24 else np.float64
+        out += matrix.astype(kind) @ ngram_vectors(codes[own]).astype(kind, copy=False)
     return out
 
 
@@ -159,7 +160,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         import pyarrow as pa
 
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (some for whole in batches for some in byte_batches(whole, 0)):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, last in _blocks(texts):
                 names = sorted(set(langs[first:last]))
@@ -209,7 +210,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str =
 
         table = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), DIMENSIONS)
         table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12)
-        for batch in batches:
+        for batch in (some for whole in batches for some in byte_batches(whole, at)):
             texts = batch.column(at).to_pylist()
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
             for first, last in _blocks(texts) if names else ():

@@ -75,8 +75,9 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[Pattern]:
 def cut_tokens(docs: DataFrame, capacity: int, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids): the documents' ids, cut into pieces of ``capacity``.
 
-    A document is its text's ids, then ``end_id``; a null text has only that.
-    Only longer documents are cut, and only their last piece may be shorter.
+    A document is its text's ids, then ``end_id``; a null or empty text has only
+    that. Repeated rows and null ids are documents of their own, an empty table
+    has no pieces, and only the two named columns are read. Only longer documents are cut, and only their last piece may be shorter.
     ``ids`` are little-endian unsigned 32-bit integers, as binary.
     """
     path = tokenizer or tokenizer_path("word_bpe_49k.json")

@@ -34,7 +34,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.quality(documents(spark, sf_dir).select("doc_id", "text"))
+    judged = quality.quality(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -105,35 +105,55 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WORD = "[^\\x20\\x09-\\x0D]"
 
+def _rule_sql() -> str:
+    """The rule table as a condition on the measures of ``_QUALITY_SQL``."""
+    ratio = {
+        "mean_word_chars": "word_chars / n", "symbol_ratio": "n_symbols / CAST(greatest(word_chars, 1) AS DOUBLE)",
+        "stop_ratio": "n_stop / n", "dup_line_ratio": "n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE)",
+    }
+    parts = []
+    for rule in quality.RULES:
+        bounds = [f"{ratio[rule.measure]} {sign} {bound}" for sign, bound in ((">=", rule.least), ("<=", rule.most)) if bound is not None]
+        held = " AND ".join(bounds)
+        parts.append(f"({held})" if rule.languages is None else f"(lang IS NULL OR lang NOT IN ({', '.join(repr(x) for x in rule.languages)}) OR {held})")
+    return " AND ".join(parts)
+
+
+_STOPS = " ".join(f"WHEN '{lang}' THEN len(list_filter(ws, lambda x: lower(x) IN ({', '.join(repr(w) for w in words)})))" for lang, words in quality.STOP_WORDS.items())
+
 _QUALITY_SQL = f"""
-    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
     w AS (SELECT *, regexp_extract_all(t, '{_WORD}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
     g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
     c AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g),
     p AS (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS at FROM c WHERE n > 1),
     k AS (SELECT r, count(*) AS n FROM p GROUP BY r),
     m AS (
-        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        SELECT doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
                CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-               coalesce(k.n, 0) AS n_repeat_words, len(list_filter(ws, lambda x: lower(x) IN ({", ".join(f"'{w}'" for w in quality.STOP_WORDS)}))) AS n_stop
+               coalesce(k.n, 0) AS n_repeat_words, CASE lang {_STOPS} END AS n_stop
         FROM w LEFT JOIN k ON k.r = w.r),
     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(greatest(n_words, 1) AS DOUBLE) AS n FROM m)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND word_chars / n BETWEEN 2.0 AND 15.0 AND n_symbols / CAST(greatest(word_chars, 1) AS DOUBLE) <= 0.05 AND n_stop / n >= 0.08 AND n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE) <= 0.50 AS kept
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_rule_sql()} AS kept
     FROM b
 """
 
 _LINES_SQL = f"""
-    WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS place, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-    s AS (SELECT *, len(regexp_extract_all(line, '{_WORD}+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i FROM l WHERE regexp_matches(line, '{_WORD}')),
-    c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM s),
-    e AS (SELECT a.doc_id, a.i, b.i AS j FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + {line_dedup.MIN_WORDS - 1} AND b.upto - a.upto + a.w >= {line_dedup.MIN_WORDS}),
-    n AS (SELECT doc_id, i, min(j) AS j FROM e GROUP BY doc_id, i UNION SELECT doc_id, max(i), j FROM e GROUP BY doc_id, j),
-    r AS (SELECT n.doc_id, n.i, n.j, list(line ORDER BY c.i) AS run FROM n JOIN c ON c.doc_id = n.doc_id AND c.i BETWEEN n.i AND n.j GROUP BY n.doc_id, n.i, n.j),
-    k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM r),
-    g AS (SELECT DISTINCT c.doc_id, c.place FROM k JOIN c ON c.doc_id = k.doc_id AND c.i BETWEEN k.i AND k.j WHERE k > 1)
-    SELECT l.doc_id, count(*) AS n_lines, count(g.place) AS n_deleted, sha256(coalesce(string_agg(line, chr(10) ORDER BY l.place) FILTER (g.place IS NULL), '')) AS text_sha256
-    FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.place = l.place GROUP BY l.doc_id
+    WITH d AS (
+        SELECT DISTINCT doc_id, coalesce(text, '') AS t, substr(sha256(coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')), 1, 32) AS key FROM documents),
+    l AS (SELECT key, doc_id, unnest(range(1, len(ls) + 1)) AS place, unnest(ls) AS line FROM (SELECT key, doc_id, string_split(t, chr(10)) AS ls FROM d)),
+    s AS (SELECT *, len(regexp_extract_all(line, '{_WORD}+')) AS w, row_number() OVER (PARTITION BY key ORDER BY place) AS i FROM l WHERE regexp_matches(line, '{_WORD}')),
+    c AS (SELECT *, sum(w) OVER (PARTITION BY key ORDER BY i) AS upto FROM s),
+    e AS (SELECT a.key, a.doc_id, a.i, b.i AS j FROM c a JOIN c b ON b.key = a.key AND b.i BETWEEN a.i AND a.i + {line_dedup.MIN_WORDS - 1} AND b.upto - a.upto + a.w >= {line_dedup.MIN_WORDS}),
+    n AS (SELECT key, doc_id, i, min(j) AS j FROM e GROUP BY key, doc_id, i UNION SELECT key, doc_id, max(i), j FROM e GROUP BY key, doc_id, j),
+    r AS (SELECT n.key, n.doc_id, n.i, n.j, list(line ORDER BY c.i) AS run FROM n JOIN c ON c.key = n.key AND c.i BETWEEN n.i AND n.j GROUP BY n.key, n.doc_id, n.i, n.j),
+    k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, key, i) AS k FROM r),
+    g AS (SELECT DISTINCT c.key, c.place FROM k JOIN c ON c.key = k.key AND c.i BETWEEN k.i AND k.j WHERE k > 1),
+    done AS (
+        SELECT l.key, count(*) AS n_lines, count(g.place) AS n_deleted, sha256(coalesce(string_agg(line, chr(10) ORDER BY l.place) FILTER (g.place IS NULL), '')) AS text_sha256
+        FROM l LEFT JOIN g ON g.key = l.key AND g.place = l.place GROUP BY l.key)
+    SELECT documents.doc_id, CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_deleted, CASE WHEN text IS NOT NULL THEN text_sha256 END AS text_sha256
+    FROM documents JOIN d ON d.doc_id IS NOT DISTINCT FROM documents.doc_id AND d.t = coalesce(text, '') JOIN done ON done.key = d.key
 """
 
 

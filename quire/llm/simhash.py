@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.storage import materialize
+from quire.llm.storage import drop_table, materialize
+from quire.llm.tokens import byte_batches
 
 BITS = 64
 #: Shingles hashed and summed at once, and bytes cut to words at once, so that a text of any length needs little memory.
@@ -214,55 +216,105 @@ def _mixed(x):
 class _WordHashes(dict):
     """Hashes of words; short ones are remembered up to a bound."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __init__(self):
         from xxhash import xxh64_intdigest
 
-        value = xxh64_intdigest(word)
-        if len(word) <= 32 and len(self) < 1 << 18:
+        self.digest = xxh64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        value = self.digest(word)
+        if len(word) <= 32 and len(self) < 1 << 17:
             self[word] = value
         return value
 
 
-def shingle_hashes(text: bytes | None, width: int, known: dict[bytes, int]):
-    """Sorted hashes of the different shingles of ``width`` words; none for a text without a word."""
+def _of_windows(codes, first, lengths, width: int):
+    """Hashes of the windows of ``width`` codes that begin at ``first``, of fewer where ``lengths`` ends a text before."""
     import numpy as np
 
-    parts = []
-    for words in _shingle_blocks(text or b"", width):
+    x = codes[first]
+    for k in range(1, width):
+        further = codes[np.minimum(first + k, len(codes) - 1)]
+        x = np.where(k < lengths, (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + further, x)
+    return _mixed(x)
+
+
+def _long_shingles(text: bytes, width: int, known: dict[bytes, int]):
+    """Sorted hashes of one text's different shingles, its words taken block by block."""
+    import numpy as np
+
+    parts = [np.zeros(0, np.uint64)]
+    for words in _shingle_blocks(text, width):
         codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(codes) - width + 1)
-        x = codes[:n]
-        for k in range(1, min(width, len(codes))):
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
-        parts.append(np.unique(_mixed(x)))
-    if not parts:
-        return np.zeros(0, np.uint64)
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+        parts.append(np.unique(_of_windows(codes, np.arange(n), np.full(n, len(codes)), width)))
+    return np.unique(np.concatenate(parts))
+
 
+def shingle_hashes(texts: list[bytes], width: int, known: dict[bytes, int]):
+    """(row, hash): the different shingles of ``width`` words of each text, sorted; none for a text without a word."""
+    import numpy as np
 
-def margins(hashes):
-    """For each bit of ``LANES`` lanes the votes for it less those against."""
+    if len(texts) == 1 and len(texts[0]) > TEXT_BLOCK:
+        own = _long_shingles(texts[0], width, known)
+        return np.zeros(len(own), np.int64), own
+    words = [t.lower().split() for t in texts]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, int(lengths.sum()))
+    windows = np.where(lengths > 0, np.maximum(1, lengths - width + 1), 0)
+    rows = np.repeat(np.arange(len(texts)), windows)
+    inside = np.arange(len(rows)) - np.repeat(np.cumsum(windows) - windows, windows)
+    hashes = _of_windows(codes, (np.cumsum(lengths) - lengths)[rows] + inside, lengths[rows], width) if len(rows) else codes
+    order = np.lexsort((hashes, rows))
+    rows, hashes = rows[order], hashes[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    return rows[new], hashes[new]
+
+
+def text_groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``BLOCK`` * 4 bytes; one beyond ``TEXT_BLOCK`` stands alone."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and (held + len(text) > BLOCK * 4):
+            yield first, i
+            first, held = i, 0
+        held += len(text)
+    if texts:
+        yield first, len(texts)
+
+
+def margins(rows, hashes, n_rows: int):
+    """(n_rows, LANES * BITS): for each bit the votes of a row's hashes for it less those against."""
     import numpy as np
 
-    ones = np.zeros((LANES, BITS), np.int64)
-    for lane in range(LANES):
-        seed = np.uint64(0x9E3779B97F4A7C15 * (lane + 1) & (1 << 64) - 1)
-        for start in range(0, len(hashes), BLOCK):
-            voted = _mixed(hashes[start : start + BLOCK] + seed)
-            ones[lane] += np.unpackbits(voted.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return (2 * ones - len(hashes)).reshape(-1)
+    ones = np.zeros((n_rows, LANES, BITS), np.int64)
+    for start in range(0, len(hashes), BLOCK):
+        own, part = rows[start : start + BLOCK], hashes[start : start + BLOCK]
+        begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        # a bit a byte, eight bytes added as one integer: 255 rows at most before a byte runs over
+        inside = np.arange(len(own)) - np.repeat(begins, np.diff(np.append(begins, len(own))))
+        pieces = np.flatnonzero(inside % 255 == 0)
+        rejoin = np.searchsorted(pieces, begins)
+        for lane in range(LANES):
+            voted = _mixed(part + np.uint64(0x9E3779B97F4A7C15 * (lane + 1) & (1 << 64) - 1))
+            bits = np.unpackbits(voted.view(np.uint8)).view(np.uint64).reshape(-1, 8)
+            sums = np.add.reduceat(bits, pieces, axis=0).view(np.uint8).astype(np.int64)
+            ones[own[begins], lane] += np.add.reduceat(sums, rejoin, axis=0)
+    return (2 * ones - np.bincount(rows, minlength=n_rows)[:, None, None]).reshape(n_rows, -1)
 
 
 def segment_keys(votes):
-    """The segments' values, then those with one of the softest bits turned over: int32 with the segment's number above."""
+    """Rows' segment values, then those with one of the softest bits turned over: int32 with the segment's number above."""
     import numpy as np
 
     power = 1 << np.arange(SEGMENT_BITS)
-    cut = votes.reshape(SEGMENTS, SEGMENT_BITS)
+    cut = votes.reshape(-1, SEGMENTS, SEGMENT_BITS)
     values = (cut > 0) @ power
-    soft = np.argsort(np.abs(cut), axis=1, kind="stable")[:, :SOFT_BITS]
+    soft = np.argsort(np.abs(cut), axis=2, kind="stable")[:, :, :SOFT_BITS]
     number = np.arange(SEGMENTS) << SEGMENT_BITS
-    return np.concatenate([values | number, ((values[:, None] ^ power[soft]) | number[:, None]).reshape(-1)]).astype(np.int32)
+    turned = (values[:, :, None] ^ power[soft]) | number[:, None]
+    return np.concatenate([values | number, turned.reshape(len(cut), -1)], axis=1).astype(np.int32)
 
 
 def sketches(rows: DataFrame, width: int) -> DataFrame:
@@ -274,14 +326,14 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
 
         known = _WordHashes()
         for batch in batches:
-            lanes, keys = np.zeros((batch.num_rows, LANES), np.int64), np.zeros((batch.num_rows, SEGMENTS * (SOFT_BITS + 1)), np.int32)
-            for i, text in enumerate(batch.column(1)):
-                votes = margins(shingle_hashes(text.as_py(), width, known))
-                lanes[i] = np.packbits(votes > 0).view(">i8")
-                keys[i] = segment_keys(votes)
-            offsets = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(lanes[:, k])) for k in range(LANES)), lists], ["digest", *_FP, "keys"])
+            for some in byte_batches(batch, 1):
+                texts = some.column(1).to_pylist()
+                votes = [margins(*shingle_hashes(texts[a:b], width, known), b - a) for a, b in text_groups(texts)]
+                keys = np.concatenate([segment_keys(v) for v in votes])
+                lanes = np.concatenate([np.packbits(v > 0, axis=1).view(">i8") for v in votes]).astype(np.int64)
+                offsets = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(np.ascontiguousarray(lanes[:, k])) for k in range(LANES)), lists], ["digest", *_FP, "keys"])
 
     return rows.select("digest", "text").mapInArrow(made, f"digest binary, {', '.join(f'{c} long' for c in _FP)}, keys array<int>")
 
@@ -303,14 +355,46 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
         known = _WordHashes()
         for batch in batches:
-            for i, text in enumerate(batch.column(1)):
-                own = shingle_hashes(text.as_py(), width, known).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), lists], ["node", "shingles"])
+            for some in byte_batches(batch, 1):
+                texts = some.column(1).to_pylist()
+                for a, b in text_groups(texts):
+                    rows, hashes = shingle_hashes(texts[a:b], width, known)
+                    offsets = np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([some.column(0).slice(a, b - a), lists], ["node", "shingles"])
 
     return texts.select("node", "text").mapInArrow(hashed, "node long, shingles array<long>")
 
 
+class _Comparison:
+    """Keeps the pairs (a, b) of nodes whose texts have similar enough sets of shingles."""
+
+    def __init__(self, source: DataFrame, table: DataFrame, width: int, similarity: float):
+        self.source, self.table, self.width, self.similarity = source, table, width, similarity
+        self.used: list[DataFrame] = []
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        self.used.append(materialize(df, name))
+        return self.used[-1]
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        pairs = self._kept(pairs, "candidates")
+        both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+        named = self._kept(self.table.join(both, self.table["node"] == both["a"], "left_semi").select("node", "digest"), "candidate-texts")
+        texts = self.source.select("digest", "text").join(named, "digest").dropDuplicates(["node"])
+        sets = self._kept(_shingle_sets(texts, self.width), "shingle-sets")
+        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+        return joined.filter(F.col("both") >= self.similarity * (F.size("x") + F.size("y") - F.col("both"))).select(*pairs.columns)
+
+    def clear(self) -> None:
+        """Delete the tables behind pairs that have been used."""
+        for df in self.used:
+            drop_table(df)
+        self.used.clear()
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, n_rows, class): each different pair of id and text, with its class of near-duplicates.
 
@@ -335,18 +419,9 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     def near(a, b) -> Column:
         return sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in _FP[1:]), F.bit_count(a(_FP[0]).bitwiseXOR(b(_FP[0])))) <= distance
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "candidates")
-        both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-        named = materialize(table.join(both, table["node"] == both["a"], "left_semi").select("node", "digest"), "candidate-texts")
-        texts = source.select("digest", "text").join(named, "digest").dropDuplicates(["node"])
-        sets = materialize(_shingle_sets(texts, width), "shingle-sets")
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-        return joined.filter(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both"))).select(*pairs.columns)
-
-    roots = materialize(connect(nodes, _FP, near, verify), "roots")
+    compare = _Comparison(source, table, width, similarity)
+    roots = materialize(connect(nodes, _FP, near, compare), "roots")
+    compare.clear()
     classes = table.select("node", "digest").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class"))
     return source.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n_rows")).join(classes, "digest").select("id", "digest", "n_rows", "class")
 

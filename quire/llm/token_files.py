@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.tokens import PieceEncoder, byte_batches, encode_words, tokenizer_path
 
-#: Bytes of a row group and of a page.
+#: Bytes of text of a partition, and of a row group and a page of a file.
+PARTITION_BYTES = 128 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
@@ -41,17 +42,25 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     return source.mapInArrow(encode, f"doc_id {id_type}, ids array<int>")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, partitions: int | None = None) -> None:
-    """Write the documents' ids to ``path`` in ascending doc_id order.
+def partition_count(docs: DataFrame, id_col: str, text_col: str) -> int:
+    """Partitions of about ``PARTITION_BYTES`` of text, and as many as shuffles have at least."""
+    size = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES), 1)
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the documents' ids to ``path`` in ascending order of their ids.
 
     File k holds smaller ids than file k + 1, and each file is sorted. Texts are
-    dealt by range of doc_id before they are encoded, so every text is encoded
-    once. Rows that share a doc_id stand by text; a null id comes first.
+    dealt by range of id before they are encoded, so every text is encoded
+    once. Rows that share an id stand by text and repeated rows all stay; a null id comes first, and a
+    null or empty text has only the end id. An empty table gives a table without rows. Texts of
+    any length are cut at safe boundaries; a row is one list, so it must fit in memory.
     """
-    spark = docs.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = partitions or partition_count(docs, id_col, text_col)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, *by).sortWithinPartitions(*by, "text")
+    ordered = named.repartitionByRange(n, *by).sortWithinPartitions(*by, "text")
     encoded = encode_documents(ordered, tokenizer, end_id)
     (
         encoded.select("doc_id", F.spark_partition_id().alias("file"), F.monotonically_increasing_id().alias("place"), F.size("ids").cast("long").alias("n_tokens"), "ids")
@@ -104,7 +113,10 @@ def with_starts(rows: DataFrame, path: str) -> DataFrame:
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
-    """(doc_id, ids) of the documents with low <= doc_id <= high, by page index."""
+    """(doc_id, ids) of the documents with low <= doc_id <= high, by page index.
+
+    Null ids are read only without bounds. Rows repeat as they were written, in no order.
+    """
     rows = spark.read.parquet(path).select("doc_id", "ids")
     if low is not None:
         rows = rows.filter(F.col("doc_id") >= low)
@@ -112,5 +124,5 @@ def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: in
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files at ``path``."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files at ``path``, repeated rows and null ids too."""
     return with_starts(read_digests(spark, path), path).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -21,9 +21,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once, and pieces remembered from batch to batch.
+#: Bytes of text handled at once; pieces remembered from batch to batch, and the characters of the longest.
 BATCH_BYTES = 8 << 20
-MEMORY_PIECES = 300_000
+MEMORY_PIECES = 200_000
+MEMORY_CHARS = 64
+#: Longer pieces are cut between a mark and a letter of scripts that write without blanks.
+LONG_CHARS = 1 << 14
+_MARKED = re.compile("(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3])")
 
 #: Unicode White_Space, as the pre-tokenizers' \s has it.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,13 +78,13 @@ class _Merged(dict):
     def __missing__(self, token: str):
         found = self.model.tokenize(token if token.isascii() and token.isalnum() else "".join([self.letters[b] for b in token.encode()]))
         value = len(found) if self.lengths_only else array("I", [t.id for t in found]).tobytes()
-        if len(self) < MEMORY_PIECES:
+        if len(token) <= MEMORY_CHARS and len(self) < MEMORY_PIECES:
             self[token] = value
         return value
 
 
 class PieceEncoder:
-    """Ids of pieces, remembering the first ones met, up to a bound.
+    """Ids of pieces, remembering the first short ones met, up to a bound.
 
     A piece of plain characters is cut to pre-tokens here, and the library's model
     merges each different one once; any other piece, and any piece of a tokenizer
@@ -127,14 +131,21 @@ class PieceEncoder:
                     whole.append(piece)
                 else:
                     found[piece] = value
-        for start in range(0, len(whole), 1024):
-            some = whole[start : start + 1024]
-            for piece, e in zip(some, self.encode(some, add_special_tokens=False), strict=True):
-                found[piece] = len(e) if self.lengths_only else array("I", e.ids).tobytes()
+        # a mark and a letter are never in one pre-token, so a long piece can be cut between them
+        parts = [_MARKED.split(piece) if len(piece) > LONG_CHARS else [piece] for piece in whole]
+        flat = [part for some in parts for part in some]
+        values: list = []
+        for start in range(0, len(flat), 1024):
+            encoded = self.encode(flat[start : start + 1024], add_special_tokens=False)
+            values += [len(e) for e in encoded] if self.lengths_only else [array("I", e.ids).tobytes() for e in encoded]
+        at = 0
+        for piece, some in zip(whole, parts, strict=True):
+            own = values[at : at + len(some)]
+            found[piece], at = sum(own) if self.lengths_only else b"".join(own), at + len(some)
         out = [known[p] if p in known else found[p] for p in pieces]
         room = MEMORY_PIECES - len(known)
         if room > 0:
-            known.update(islice(found.items(), room))
+            known.update(islice(((p, v) for p, v in found.items() if len(p) <= MEMORY_CHARS), room))
         return out
 
 

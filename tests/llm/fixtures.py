@@ -91,5 +91,47 @@ def plain_line_dedup(rows, least):
     return out
 
 
+def plain_profile(text):
+    """A text's vector by the definition: bound and bundled n-grams of letters, other runs one blank."""
+    import numpy as np
+
+    from quire.llm import langid
+
+    letters, last = [0], 0
+    for c in (text or "").lower() + " ":
+        point = ord(c) if c.isalpha() else 0
+        if point or last:
+            letters.append(point)
+        last = point
+    grams = collections.Counter(zip(*[letters[k:] for k in range(langid.NGRAM)], strict=False))
+    out = np.zeros(langid.DIMENSIONS, np.int64)
+    for gram, n in grams.items():
+        vector = np.ones(langid.DIMENSIONS, np.int64)
+        for k, point in enumerate(gram):
+            vector *= np.roll(langid._letter_vector(point), k)
+        out += n * vector
+    return out
+
+
+def plain_languages(learned, texts):
+    """(language, score) of each text from profiles of (text, language) pairs."""
+    import numpy as np
+
+    prototypes = {}
+    for text, lang in learned:
+        if text is not None and lang is not None:
+            prototypes[lang] = prototypes.get(lang, 0) + plain_profile(text)
+    out = []
+    for text in texts:
+        own = plain_profile(text)
+        if not prototypes or not any(c.isalpha() for c in (text or "").lower()):
+            out.append(("und", 0.0))
+            continue
+        cosine = {lang: own @ p / max(np.linalg.norm(own.astype(float)) * np.linalg.norm(p.astype(float)), 1e-12) for lang, p in prototypes.items()}
+        best = min(cosine, key=lambda lang: (-cosine[lang], lang))
+        out.append((best, min(1.0, max(0.0, float(cosine[best])))))
+    return out
+
+
 def held_out(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1

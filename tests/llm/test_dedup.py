@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quire.llm import components, exact_dedup, line_dedup, simhash
+from quire.llm import components, exact_dedup, joins, line_dedup, simhash
 
 
 def sorted_rows(found):
@@ -70,56 +70,125 @@ def plain_classes(items, linked):
 @pytest.mark.parametrize(("width", "distance"), [(4, 4), (5, 11)])
 def test_simhash(docs, rows, width, distance):
     got = simhash.near_duplicates(docs, width, distance).select("id", simhash.hex_fingerprint(F.col("fp")), "component_id").collect()
-    items = [(r[0], plain_simhash(r[1], width) if r[1] is None or len(r[1]) < 40_000 else simhash.simhash(r[1].encode(), width)) for r in rows]
+    items = [(r[0], plain_simhash(r[1], width)) for r in rows]
     wanted = [(i, f"{fp:016x}", c) for (i, fp), c in zip(items, plain_classes(items, lambda a, b: (a ^ b).bit_count() <= distance), strict=True)]
     assert sorted_rows(got) == sorted_rows(wanted)
 
 
-def test_simhash_verified(docs, rows):
-    """Links also need similar shingles; rows of one fingerprint are one point."""
-    got = simhash.near_duplicates(docs, 5, 11, 0.8).select("id", "component_id").collect()
-
-    def shingles(text):
-        words = (text or "").encode().lower().split()
-        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
-
-    items = [(r[0], (simhash.simhash((r[1] or "").encode(), 5), shingles(r[1]))) for r in rows]
-    alike = lambda a, b: a[0] == b[0] or (a[0] ^ b[0]).bit_count() <= 11 and len(a[1] & b[1]) >= 0.8 * len(a[1] | b[1])
-    assert sorted_rows(got) == sorted_rows((i, c) for (i, _), c in zip(items, plain_classes(items, alike), strict=True))
-
-
-def test_verified_with_shared_and_missing_ids(spark, rows):
-    """Different texts under one id, and near copies without any id."""
-    text = " ".join(f"w{i}" for i in range(400))
-    near = text.replace("w200 ", "changed ")
-    other = " ".join(f"v{i}" for i in range(400))
-    docs = spark.createDataFrame([(1, text), (1, other), (2, near), (None, text + " end"), (3, other + " end"), (None, "alone")], "doc_id long, text string")
-    got = simhash.near_duplicates(docs, 5, 11, 0.8).collect()
-    assert sorted_rows((r.id, r.component_id) for r in got) == sorted_rows([(1, 1), (1, 1), (2, 1), (None, 1), (3, 1), (None, None)])
+def test_simhash_in_blocks(monkeypatch):
+    """Blocks of words and of bytes change nothing, wherever they end."""
+    text = (" ".join(f"W{i % 50}" for i in range(400)) + "  \t\nend").encode()
+    whole = [simhash.simhash(text, w) for w in (1, 4, 500)]
+    assert whole == [plain_simhash(text.decode(), w) for w in (1, 4, 500)]
+    for block, size in ((1, 10), (3, 1), (7, 64), (64, 33)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "TEXT_BLOCK", size)
+        assert [simhash.simhash(text, w) for w in (1, 4, 500)] == whole
 
 
 def test_simhash_empty(none):
-    assert simhash.near_duplicates(none).count() == simhash.near_duplicates(none, similarity=0.8).count() == 0
+    assert simhash.near_duplicates(none).count() == simhash.similar_documents(none).count() == 0
 
 
-@given(st.integers(1, 1 << 40), st.integers(0, 12))
+@given(st.integers(0, 60), st.data())
 @settings(max_examples=200, deadline=None)
-def test_segments_miss_nothing(count, distance):
-    """By pigeonhole the radii cover every way to spread the differing bits."""
-    m = len(simhash.segments(1 << 30, distance))
-    plan = simhash.segments(count, distance)
-    total = 64 // plan[0][1]
-    assert m >= 1 and sum(r + 1 for *_, r in plan) > distance and total >= 2
+def test_segments_miss_nothing(distance, data):
+    """However the differing bits lie, some segment has two of them at most."""
+    plan = simhash.segments(distance)
+    assert sum(w for _, w in plan) == 64 and plan[-1][0] == 0 and len(plan) >= 2
+    flipped = sum(1 << b for b in data.draw(st.sets(st.integers(0, 63), max_size=distance)))
+    assert any((flipped >> shift & (1 << width) - 1).bit_count() <= 2 for shift, width in plan)
+
+
+def by_bits(distance):
+    return lambda a, b: F.bit_count(a("node").bitwiseXOR(b("node"))) <= distance
 
 
-def test_links_in_a_crowd(spark):
-    """Fingerprints that share every segment's value but one."""
+@pytest.mark.parametrize("distance", [4, 11])
+def test_connect_in_a_crowd(spark, distance):
+    """Fingerprints that share every segment's value but one, chains of them, and strangers."""
     rng = np.random.default_rng(3)
     base = int(rng.integers(0, 1 << 62))
-    values = {base ^ int(x) for x in rng.integers(0, 1 << 14, 300)} | {int(x) for x in rng.integers(0, 1 << 62, 300)} | {-1, -2, 0}
-    table = spark.createDataFrame([(v,) for v in values], "fp long")
-    wanted = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
-    assert {tuple(r) for r in simhash.links(table, 4).collect()} == wanted
+    values = {base ^ int(x) for x in rng.integers(0, 1 << 14, 300)} | {int(x) for x in rng.integers(0, 1 << 62, 300)} | {-1, -2, 0, 1, 31, 1023}
+    table = spark.createDataFrame([(v,) for v in values], "node long")
+    own, keys = simhash.ball_keys(F.col("node"), distance)
+    nodes = table.select("node", own.alias("base"), keys.alias("keys"))
+    assert {len(r["keys"]) for r in nodes.collect()} == {64 + distance // 3 + 1}
+    got = {r.node: r.root for r in simhash.connect(nodes, [], by_bits(distance)).collect()}
+    items = [(v, v) for v in sorted(values)]
+    wanted = dict(zip([v for v, _ in items], plain_classes(items, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= distance), strict=True))
+    classes = {}
+    for v in values:
+        classes.setdefault(got.get(v, v), set()).add(v)
+    expected = {}
+    for v, root in wanted.items():
+        expected.setdefault(root, set()).add(v)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, expected.values()))
+
+
+def plain_shingles(text, width=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited_copies(seed=5):
+    """Texts with copies in which some words are changed, moved or cut, at similarities from 0.5 to 1."""
+    import random
+
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
+    out = []
+    for _ in range(150):
+        words = [word() for _ in range(r.choice([30, 80, 200, 600]))]
+        out.append(" ".join(words))
+        for _ in range(4):
+            new, edits = list(words), r.randint(0, max(1, len(words) // 70))
+            for _ in range(edits):
+                new[r.randrange(len(new))] = word()
+            if r.random() < 0.3:
+                new = new[: int(len(new) * r.uniform(0.8, 1))]
+            out.append(" ".join(new))
+    return out
+
+
+def test_similar_documents_recall(spark):
+    """Every class holds only what links of 0.8 or more connect, and over 0.9 of these pairs are found."""
+    texts = sorted(set(edited_copies()))
+    got = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r.id: r["class"] for r in got}
+    sets = [plain_shingles(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] & sets[b] and jaccard(sets[a], sets[b]) >= 0.8]
+    near = [(a, b) for a, b in pairs if jaccard(sets[a], sets[b]) < 0.85]
+    exact = dict(zip(range(len(texts)), plain_classes(list(enumerate(range(len(texts)))), lambda a, b, linked=set(pairs): (a, b) in linked), strict=True))
+    assert all(len({exact[i] for i in own}) == 1 for c in set(found.values()) for own in [[i for i in found if found[i] == c]])
+    assert len(pairs) > 500 and len(near) > 100
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.95 * len(pairs)
+    assert sum(found[a] == found[b] for a, b in near) >= 0.9 * len(near)
+
+
+def test_similar_documents(docs, rows):
+    """All awkward rows; texts of one 64-bit fingerprint, or full of one shingle, aren't alike for that."""
+    got = simhash.similar_documents(docs).collect()
+    assert sum(r.n_rows for r in got) == len(rows) and len(got) == len({(r[0], r[1] or "") for r in rows})
+    text_of = {hashlib.sha256((r[1] or "").encode()).digest(): r[1] or "" for r in rows}
+    found = {text_of[bytes(r.digest)]: r["class"] for r in got}
+    texts = sorted(found)
+    sets = {t: plain_shingles(t) for t in texts}
+    items = [(i, t) for i, t in enumerate(texts)]
+    exact = plain_classes(items, lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    assert len(set(exact)) <= len(set(found.values())) <= len(set(exact)) + 2
+    assert all(len({exact[i] for i, t in items if found[t] == c}) == 1 for c in set(found.values()))
+
+
+def test_filler_links_nothing(spark):
+    rows = [(i, "0 0 0 0 0 0 0 0 0 0 0 0 " * 40 + " ".join(f"{chr(97 + i)}{k}" for k in range(60))) for i in range(6)]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["class"] for r in got}) == 6
+    assert len({plain_simhash(t, 5) for _, t in rows}) == 1
 
 
 def test_components(spark):
@@ -139,11 +208,87 @@ def test_lines(spark, rows, schema, least):
     assert sorted_rows((r[0], r[1]) for r in got) == sorted_rows(wanted)
 
 
+def run_documents(seed):
+    """Documents of few different lines, so that runs overlap, with long shared runs and whole copies."""
+    import random
+
+    r = random.Random(seed)
+    vocabulary = [" ".join(f"{chr(97 + k)}{j}" for j in range(r.randint(1, 6))) for k in range(12)]
+    long = [f"long line {k} of the shared run" for k in range(50)]
+    texts = ["\n".join(r.choice(vocabulary) for _ in range(r.randint(1, 25))) for _ in range(25)]
+    texts += ["\n".join([f"own {i}", *long[r.randint(0, 3) : r.randint(40, 50)], r.choice(vocabulary)]) for i in range(8)]
+    texts += [texts[3], texts[27], texts[27], "\n".join(long), "\n\n".join(long)]
+    return list(enumerate(texts))
+
+
+def plain_runs(docs, least):
+    """Maximal runs by trying every earlier place; whole copies apart."""
+    import itertools
+
+    copies, originals, first = [], [], {}
+    for doc_id, text in docs:
+        lines = [x for x in text.split("\n") if x.split()]
+        if text in first:
+            copies.append((doc_id, 0, len(lines), sum(len(x.split()) for x in lines), first[text], 0))
+        else:
+            first[text] = doc_id
+            originals.append((doc_id, lines))
+    lines_of = dict(originals)
+    places = [(d, i) for d, own in originals for i in range(len(own))]
+
+    def common(a, b):
+        x, y = lines_of[a[0]][a[1] :], lines_of[b[0]][b[1] :]
+        return sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(x, y, strict=False)))
+
+    by_line = {}
+    for p in places:
+        by_line.setdefault(lines_of[p[0]][p[1]], []).append(p)
+    partner = {}
+    for p in places:
+        shared = [(common(p, q), q) for q in by_line[lines_of[p[0]][p[1]]] if q < p]
+        if shared:
+            top = max(n for n, _ in shared).bit_length() - 1
+            n, q = next((n, q) for n, q in sorted(shared, key=lambda x: x[1]) if n >= 1 << top)
+            partner[p] = (q, n)
+    out = []
+    for (d, i), (q, n) in partner.items():
+        before = partner.get((d, i - 1))
+        words = sum(len(x.split()) for x in lines_of[d][i : i + n])
+        if (before is None or before[0] != (q[0], q[1] - 1)) and words >= least:
+            out.append((d, i, n, words, *q))
+    return out + [c for c in copies if c[3] >= least]
+
+
+@pytest.mark.parametrize(("seed", "least"), [(1, 1), (2, 10), (3, 20)])
+def test_maximal_runs(spark, seed, least):
+    docs = run_documents(seed)
+    got = line_dedup.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), least).collect()
+    wanted = plain_runs(docs, least)
+    assert sorted_rows(got) == sorted_rows(wanted)
+    assert max(r.n_lines for r in got) >= 40
+    left = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), least).collect()
+    plain = plain_line_dedup([(d, t) for d, t in docs], least)
+    assert {r.doc_id: r.text for r in left} == {d: plain[k] for k, (d, _) in enumerate(docs)}
+
+
+def test_runs_of_a_hot_line(spark, monkeypatch):
+    """Common classes are broadcast and the rest shuffled; both give the same."""
+    docs = run_documents(4) + [(1000 + i, f"hot line of ten words or so that all have {'x ' * 5}\nown {i}") for i in range(60)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = {d: plain_line_dedup(docs, 10)[k] for k, (d, _) in enumerate(docs)}
+    for share in (1, 10, 10**9):
+        monkeypatch.setattr(line_dedup, "counted_join", lambda large, classes, on, share=share: joins.counted_join(large, classes, on, share))
+        assert {r.doc_id: r.text for r in line_dedup.line_dedup(table).collect()} == plain
+
+
 def test_lines_columns(docs, rows, none):
     got = line_dedup.line_dedup(docs)
     assert set(got.columns) == {*docs.columns, "n_deleted"} and got.count() == len(rows)
     assert got.filter("text IS NULL").count() == 2 and got.filter("doc_id = 5").count() == 2
-    assert line_dedup.line_dedup(none).count() == 0
+    assert line_dedup.line_dedup(none).count() == line_dedup.repeated_runs(none).count() == 0
+    clash = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in ("__lines", "__key", "__gone", "text_", "rest", "all", "left", "whole", "first", "total")])
+    again = line_dedup.line_dedup(clash)
+    assert set(again.columns) == {*clash.columns, "n_deleted"} and {tuple(r) for r in again.select("__lines", "__key", "__gone", "rest", "whole").collect()} == {("own __lines", "own __key", "own __gone", "own rest", "own whole")}
 
 
 def test_long_passage_across_documents(spark):

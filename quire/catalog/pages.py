@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.catalog import query
 from quire.functions import geometry, naming
 from quire.functions import text as T
-from quire.operators import chunking, gate, triage, words
-from quire.options import EXIT_CODES, Options, parse_pages
+from quire.operators import chunking, gate, images, triage, words
+from quire.operators import pages as page_ops
+from quire.options import EXIT_CODES, WARNING_CODES, Options, parse_pages
 from quire.sources import bindings as B
+from quire.storage import new_path
 
 PAGES = """
     streams AS (
@@ -197,11 +200,24 @@ def policy_exit_code(spark, sf_dir):
     return decided.groupBy("decision", "exit_code").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{code}', {number}, '{label}')" for code, (number, label) in EXIT_CODES.items()) + ") t(code, exit_code, label)")
+@query("""
+    SELECT * FROM (VALUES ('OK', 0, 'ok'), ('NOOP-PASSTHROUGH', 2, 'passed through'), ('E-INPUT-ENCRYPTED', 10, 'encrypted without password'), ('E-INPUT-SIGNED', 11, 'signed'), ('E-INPUT-OVERSIZE', 12, 'oversize'),
+        ('E-INPUT-CORRUPT', 13, 'corrupt'), ('E-INPUT-NOT-PDF', 13, 'no such format'), ('E-INPUT-MALICIOUS', 14, 'malicious'), ('E-INPUT-CERTIFIED', 15, 'certifying signature'), ('E-INPUT-DECOMPRESSION-BOMB', 16, 'decompression bomb'),
+        ('E-ENV-MISSING', 17, 'environment'), ('E-MEM-CAP', 18, 'memory cap'), ('E-HOST-RESOURCE', 19, 'host resource'), ('E-VERIFIER-FAIL', 20, 'content drift'), ('E-ENGINE-ERROR', 30, 'engine error'),
+        ('E-OCR-TIMEOUT', 30, 'recognition timeout'), ('E-TIMEOUT-PER-PAGE', 30, 'page timeout'), ('E-TIMEOUT-TOTAL', 30, 'total timeout'), ('E-USAGE', 40, 'usage')) t(code, exit_code, label)
+""")
 def exit_codes(spark, sf_dir):
     return spark.createDataFrame([(code, number, label) for code, (number, label) in EXIT_CODES.items()], "code string, exit_code int, label string")
 
 
+@query("""
+    SELECT unnest(['W-MAX-OUTPUT-MB-IMAGE-MODE', 'W-MAX-OUTPUT-MB-STDOUT', 'W-OUTPUT-FORMAT-EXTENSION-OVERRIDE', 'W-CHUNKS-EXCEED-CAP', 'W-STALE-CHUNK-FILES', 'W-SINGLE-CHUNK-OVERSIZE', 'W-VERIFIER-SKIPPED', 'W-VERIFIER-FAILED',
+        'W-IMAGE-EXPORT-PARTIAL-FAILURE', 'W-CHUNK-WRITE-PARTIAL-FAILURE', 'W-PASSTHROUGH-SIGNED', 'W-MEM-RSS-WATCHDOG', 'W-CAPS-UNAVAILABLE', 'W-CAPS-FAILED', 'W-WATCHDOG-DIED']) AS code
+""")
+def warning_codes(spark, sf_dir):
+    return spark.createDataFrame([(code,) for code in WARNING_CODES], "code string")
+
+
 @query("""
     WITH f AS (
         SELECT c_custkey AS doc_id, c_custkey % 17 = 0 AS enc, c_custkey % 34 = 0 AS password_ok, c_custkey % 29 <> 0 AS parse_ok, c_custkey % 5 = 1 AS bit, c_custkey % 19 = 0 AS mdp,
@@ -243,7 +259,7 @@ def stream_filters(spark, sf_dir):
 
 @query("""
     WITH RECURSIVE e AS (
-        SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS child, event_type AS key FROM events WHERE user_id < 20),
+        SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS child, event_type AS key FROM events),
     walk AS (
         SELECT doc_id, child AS node, key, 1 AS level FROM e WHERE child = 1
         UNION ALL
@@ -338,3 +354,92 @@ def box_pixels(spark, sf_dir):
     right, top = left + F.col("p_partkey") % 7, bottom + F.col("p_partkey") % 5 * 0.5
     box = geometry.box_to_pixels(left, bottom, right, top, F.lit(2.5), F.lit(2.5), F.lit(792.0))
     return B.table(spark, sf_dir, "part").select("p_partkey", box.alias("b")).select("p_partkey", "b.x", "b.y", "b.w", "b.h")
+
+
+FILE_CAP = 2_000_000
+FILES = CHUNKS.replace(str(CHUNK_CAP), str(FILE_CAP))
+
+
+@query(f"""
+    WITH RECURSIVE {PAGES}, {FILES}, firsts AS (SELECT doc_id, chunk_no, min(page_index) AS first_page FROM fold GROUP BY doc_id, chunk_no)
+    SELECT 'doc' || doc_id || '_' || lpad(CAST(chunk_no AS VARCHAR), CAST(greatest(3, length(CAST(chunks AS VARCHAR))) AS INTEGER), '0') || '.pdf' AS name, doc_id, chunk_no, first_page, pages, bytes, CAST(1 AS BIGINT) AS files
+    FROM chunks JOIN firsts USING (doc_id, chunk_no)
+""")
+def chunk_files(spark, sf_dir):
+    """Chunks written as files of their names and read back."""
+    path = new_path(spark, "chunk-files")
+    chunking.write_chunks(chunking.assign_chunks(_costs(spark, sf_dir), FILE_CAP), path, FILE_CAP)
+    rows = chunking.read_chunks(spark, path)
+    return rows.groupBy("name", "doc_id", "chunk_no").agg(
+        F.min("page_index").alias("first_page"), F.count(F.lit(1)).alias("pages"), F.sum("cost").alias("bytes"), F.count_distinct("file").alias("files")
+    )
+
+
+@query("""
+    WITH p AS (SELECT o_custkey AS doc_id, o_orderkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS page_index FROM orders),
+    a AS (SELECT *, CASE WHEN k % 3 = 0 THEN CAST(greatest(k % 20000, 500) AS DOUBLE) WHEN k % 7 = 0 OR k % 11 = 0 THEN NULL WHEN k % 101 = 0 THEN 14500.5 ELSE 792.0 END AS axis FROM p)
+    SELECT doc_id, max(axis) AS axis_pt, min(page_index) FILTER (axis > 14400) + 1 AS first_bomb FROM a GROUP BY doc_id
+""")
+def page_axis_cap(spark, sf_dir):
+    """Orders as pages with crop boxes, media boxes and malformed ones."""
+    k = F.col("o_orderkey")
+    index = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    box = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    crop = F.when(k % 3 == 0, box("0", "0", (k % 20_000).cast("string"), "500")).when(k % 3 == 1, F.array().cast("array<string>"))
+    media = F.when(k % 7 == 0, box("a", "0", "612", "792")).when(k % 11 == 0, box("0", "0", "612")).when(k % 101 == 0, box("14400.5", "0", "-100", "792")).otherwise(box("0", "0", "612", "792"))
+    pages = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), index.alias("page_index"), crop.alias("crop"), media.alias("media"))
+    return triage.page_axes(pages)
+
+
+SPLIT_SPEC = "1-2,4"
+SPLIT = """
+    numbered AS (SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INTEGER) AS page_index, text AS body FROM conversations),
+    picked AS (SELECT *, CAST(strlen(body) AS BIGINT) AS input_bytes FROM numbered WHERE page_index + 1 IN (1, 2, 4))
+"""
+
+
+def _conversation_pages(spark, sf_dir):
+    """Conversations as documents, a message a page."""
+    listed = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return B.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.transform(listed, lambda x: x["text"]).alias("pages"))
+
+
+@query(f"WITH {SPLIT} SELECT doc_id, page_index, body, input_bytes FROM picked")
+def page_split(spark, sf_dir):
+    return page_ops.split_pages(_conversation_pages(spark, sf_dir), parse_pages(SPLIT_SPEC))
+
+
+@query(f"""
+    WITH {SPLIT}, got AS (SELECT * FROM picked WHERE NOT (doc_id % 5 = 0 AND page_index = 1)),
+    c AS (SELECT doc_id, count(*) AS wanted FROM picked GROUP BY doc_id),
+    g AS (SELECT doc_id, count(*) AS page_count, string_agg(body, chr(12) ORDER BY page_index) AS merged FROM got GROUP BY doc_id)
+    SELECT doc_id, page_count, CASE WHEN page_count <> wanted THEN 'E-ENGINE-ERROR' END AS error_code, CASE WHEN page_count = wanted THEN sha256(merged) END AS merged_sha256 FROM c JOIN g USING (doc_id)
+""")
+def page_merge(spark, sf_dir):
+    """Chosen pages put together; every fifth document has lost one."""
+    picked = page_ops.split_pages(_conversation_pages(spark, sf_dir), parse_pages(SPLIT_SPEC))
+    got = picked.filter(~((F.col("doc_id") % 5 == 0) & (F.col("page_index") == 1)))
+    made = page_ops.merge_pages(got, picked)
+    return made.select("doc_id", "page_count", "error_code", F.sha2(F.array_join("pages", "\f").cast("binary"), 256).alias("merged_sha256"))
+
+
+@query("""
+    WITH p AS (SELECT vec_id % 7 AS doc_id, CAST(vec_id // 7 AS INTEGER) AS page_index, vec_id, CASE WHEN vec_id % 97 = 0 THEN 200000.0 ELSE 8.0 + vec_id % 5 END AS w, CASE WHEN vec_id % 50 = 49 THEN 0.0 WHEN vec_id % 97 = 0 THEN 200000.0 ELSE 8.0 END AS h FROM embeddings),
+    n AS (SELECT *, page_index + 1 AS page_no, greatest(3, length(CAST(count(*) OVER (PARTITION BY doc_id) AS VARCHAR)), length(CAST(max(page_index + 1) OVER (PARTITION BY doc_id) AS VARCHAR))) AS digits FROM p),
+    c AS (SELECT *, CASE WHEN w <= 0 OR h <= 0 THEN 'E-INPUT-CORRUPT' WHEN w > 1000 THEN 'E-INPUT-DECOMPRESSION-BOMB' END AS error_code FROM n)
+    SELECT doc_id, page_index, page_no, 'doc' || doc_id || '_' || lpad(CAST(page_no AS VARCHAR), CAST(digits AS INTEGER), '0') || '.png' AS name, greatest(1, CAST(round_even(w * 150 / 72, 0) AS BIGINT)) AS width_px, greatest(1, CAST(round_even(h * 150 / 72, 0) AS BIGINT)) AS height_px,
+           error_code, error_code IS NULL AND vec_id % 11 <> 0 AS encoded, coalesce(error_code, CASE WHEN vec_id % 11 = 0 THEN 'no raster' END) AS error
+    FROM c
+""")
+def image_export(spark, sf_dir):
+    """Every raster as an image of its own; some pages have no size, are too large or were not rendered."""
+    v = F.col("vec_id")
+    sized = B.rasters(spark, sf_dir).withColumns(
+        {
+            "doc_id": v % 7, "page_index": F.floor(v / 7).cast("int"), "width_pt": F.when(v % 97 == 0, 200_000.0).otherwise(8.0 + v % 5),
+            "height_pt": F.when(v % 50 == 49, 0.0).when(v % 97 == 0, 200_000.0).otherwise(8.0),
+        }
+    )
+    planned = images.plan_images(sized.select(F.col("doc_id").cast("long").alias("doc_id"), "page_index", "width_pt", "height_pt"), "png", 150)
+    made = images.export_images(planned, sized.filter(v % 11 != 0))
+    return made.select("doc_id", "page_index", "page_no", "name", "width_px", "height_px", "error_code", (F.coalesce("image_bytes", F.lit(0)) > 0).alias("encoded"), "error")

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.catalog import query
-from quire.catalog.texts import NUMBERS, TEXTS, _folded
+from quire.catalog.pages import PAGES
+from quire.catalog.texts import DISTANCE, NUMBERS, TEXTS, _folded
 from quire.functions import raster
 from quire.operators import strategy, verify
 from quire.options import Options
@@ -37,14 +38,14 @@ SSIM = f"""
 """
 COLOR = f"""
     {GREY},
-    colors AS (SELECT r.vec_id, r.px AS r, g.px AS g, b.px AS b FROM rasters r JOIN rasters g ON g.vec_id = r.vec_id + 1 JOIN rasters b ON b.vec_id = r.vec_id + 2 WHERE r.vec_id % 3 = 0),
+    colors AS (SELECT r.vec_id, r.px AS r, coalesce(g.px, r.px) AS g, coalesce(b.px, r.px) AS b FROM rasters r LEFT JOIN rasters g ON g.vec_id = r.vec_id + 1 LEFT JOIN rasters b ON b.vec_id = r.vec_id + 2 WHERE r.vec_id % 3 = 0),
     pixels AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(r) AS r, unnest(g) AS g, unnest(b) AS b FROM colors),
     spreads AS (SELECT *, greatest(r, g, b) - least(r, g, b) AS spread FROM pixels)
 """
 VERDICTS = f"""
     {TEXTS}, {SSIM},
     measured AS (
-        SELECT doc, page_index, doc_id, strategy, CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE) END AS lev,
+        SELECT doc, page_index, doc_id, strategy, CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE {DISTANCE} / CAST(greatest(length(a), length(b)) AS DOUBLE) END AS lev,
                {NUMBERS.format('a')} = {NUMBERS.format('b')} AS digits_match, ssim_global, ssim_tile_min, doc_id % 10 <> 0 OR doc_id % 4 = 0 AS color_preserved
         FROM folded JOIN classes ON classes.vec_id = doc_id % 500 JOIN likeness ON likeness.vec_id = doc_id % 500),
     verdicts AS (
@@ -67,7 +68,7 @@ def _pairs(spark, sf_dir):
 
 
 def _similar(spark, sf_dir):
-    return raster.map_rasters(_pairs(spark, sf_dir), _similarity, ["px", "out"], ["vec_id"], "ssim_global double, ssim_tile_min double").drop("error")
+    return raster.map_rasters(_pairs(spark, sf_dir), _similarity, ["px", "out"], ["vec_id"], "ssim_global double, ssim_tile_min double", stacked=True).drop("error")
 
 
 def _classes(spark, sf_dir):
@@ -137,11 +138,8 @@ def page_threshold_lookup(spark, sf_dir):
     SELECT vec_id, quantile_cont(spread, 0.99) <= 15 AND count(*) FILTER (spread > 15) / 64.0 <= 0.001 AS strict, quantile_cont(spread, 0.99) <= 200 AND count(*) FILTER (spread > 200) / 64.0 <= 0.05 AS loose FROM spreads GROUP BY vec_id
 """)
 def mono_detect(spark, sf_dir):
-    def kernel(r, g, b):
-        rgb = np.stack([r, g, b])
-        return {"strict": raster.is_monochrome(rgb), "loose": raster.is_monochrome(rgb, 200, 0.05)}
-
-    return raster.map_rasters(B.color_rasters(spark, sf_dir), kernel, ["r", "g", "b"], ["vec_id"], "strict boolean, loose boolean").drop("error")
+    rows = B.color_rasters(spark, sf_dir).withColumn("spread", raster.spread_pixels(F.col("r"), F.col("g"), F.col("b")))
+    return rows.select("vec_id", raster.is_monochrome_spread(F.col("spread")).alias("strict"), raster.is_monochrome_spread(F.col("spread"), 200, 0.05).alias("loose"))
 
 
 @query(f"""
@@ -151,8 +149,8 @@ def mono_detect(spark, sf_dir):
     FROM spreads GROUP BY vec_id
 """)
 def paper_color(spark, sf_dir):
-    kernel = lambda r, g, b: dict(zip(("red", "green", "blue"), raster.paper_color(np.stack([r, g, b])), strict=True))
-    return raster.map_rasters(B.color_rasters(spark, sf_dir), kernel, ["r", "g", "b"], ["vec_id"], "red int, green int, blue int").drop("error")
+    paper = raster.paper_pixels(F.col("r"), F.col("g"), F.col("b"))
+    return B.color_rasters(spark, sf_dir).select("vec_id", paper.alias("c")).select("vec_id", "c.*")
 
 
 @query(f"""
@@ -161,8 +159,17 @@ def paper_color(spark, sf_dir):
     FROM spreads GROUP BY vec_id
 """)
 def ink_color(spark, sf_dir):
-    kernel = lambda r, g, b: dict(zip(("red", "green", "blue"), raster.ink_color(np.stack([r, g, b]), r < 96), strict=True))
-    return raster.map_rasters(B.color_rasters(spark, sf_dir), kernel, ["r", "g", "b"], ["vec_id"], "red int, green int, blue int").drop("error")
+    ink = raster.ink_pixels(F.col("r"), F.col("g"), F.col("b"), lambda p: p["r"] < raster.DARK)
+    return B.color_rasters(spark, sf_dir).select("vec_id", ink.alias("c")).select("vec_id", "c.*")
+
+
+@query(f"""
+    WITH {COLOR}, l AS (SELECT vec_id, i, (CAST(r AS BIGINT) * 19595 + CAST(g AS BIGINT) * 38470 + CAST(b AS BIGINT) * 7471 + 32768) >> 16 AS luma FROM pixels)
+    SELECT vec_id, array_to_string(list(luma ORDER BY i), ',') AS luma FROM l GROUP BY vec_id
+""")
+def gray_pixels(spark, sf_dir):
+    luma = raster.gray_pixels(F.col("r"), F.col("g"), F.col("b"))
+    return B.color_rasters(spark, sf_dir).select("vec_id", F.array_join(F.transform(luma, lambda x: x.cast("string")), ",").alias("luma"))
 
 
 @query(f"""
@@ -184,13 +191,30 @@ def color_components(spark, sf_dir):
     return raster.map_rasters(B.color_rasters(spark, sf_dir), kernel, ["r", "g", "b"], ["vec_id"], "largest int, has_color boolean").drop("error")
 
 
-@query()
+@query(f"""
+    WITH {GREY},
+    taps AS (SELECT CAST(range AS INTEGER) - 12 AS d, exp(-((range - 12) * (range - 12)) / (2 * 4.1 * 4.1)) AS g FROM range(0, 25)),
+    axis AS (SELECT CAST(range AS INTEGER) AS n FROM range(0, 8)), edges AS (SELECT n, greatest(0, least(7, n + d)) AS m, sum(g) / (SELECT sum(g) FROM taps) AS weight FROM axis, taps GROUP BY 1, 2),
+    means AS (SELECT vec_id, y.n AS y, x.n AS x, round_even(sum(y.weight * x.weight * px[y.m * 8 + x.m + 1]), 0) AS mean FROM rasters, edges y, edges x GROUP BY vec_id, y.n, x.n),
+    marked AS (SELECT r.vec_id, y, x, px[y * 8 + x + 1] <= mean - 15 OR px[y * 8 + x + 1] < 96 AS ink FROM rasters r JOIN means m ON m.vec_id = r.vec_id),
+    grown AS (SELECT a.vec_id, a.y, a.x, bool_or(b.ink) AS ink FROM marked a JOIN marked b ON b.vec_id = a.vec_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY a.vec_id, a.y, a.x),
+    closed AS (SELECT a.vec_id, a.y, a.x, bool_and(b.ink) AS ink FROM grown a JOIN grown b ON b.vec_id = a.vec_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY a.vec_id, a.y, a.x),
+    bytes AS (SELECT vec_id, y, sum(CASE WHEN ink THEN 1 << CAST(7 - x AS INTEGER) ELSE 0 END) AS byte, count(*) FILTER (ink) AS n FROM closed GROUP BY vec_id, y)
+    SELECT vec_id, CAST(sum(n) AS INTEGER) AS ink, string_agg(format('{{:02x}}', CAST(byte AS INTEGER)), '' ORDER BY y) AS packed FROM bytes GROUP BY vec_id
+""")
 def adaptive_mask(spark, sf_dir):
     def kernel(px):
         mask = raster.adaptive_mask(px)
-        return {"ink": int(mask.sum()), "packed": raster.pack_bits(mask).hex(), "stream_bytes": raster.mask_bytes(mask)}
+        return {"ink": int(mask.sum()), "packed": raster.pack_bits(mask).hex()}
 
-    return raster.map_rasters(B.rasters(spark, sf_dir), kernel, ["px"], ["vec_id"], "ink int, packed string, stream_bytes int")
+    return raster.map_rasters(B.rasters(spark, sf_dir), kernel, ["px"], ["vec_id"], "ink int, packed string").drop("error")
+
+
+@query()
+def mask_stream(spark, sf_dir):
+    """The size of each mask's deflated stream; the deflater has no SQL, so a test inflates what it made."""
+    kernel = lambda px: {"stream_bytes": raster.mask_bytes(px < raster.DARK)}
+    return raster.map_rasters(B.rasters(spark, sf_dir), kernel, ["px"], ["vec_id"], "stream_bytes int").drop("error")
 
 
 @query(f"""
@@ -199,8 +223,21 @@ def adaptive_mask(spark, sf_dir):
     SELECT vec_id, string_agg(format('{{:02x}}', CAST(byte AS INTEGER)), '' ORDER BY y) AS packed FROM bytes GROUP BY vec_id
 """)
 def packed_mask(spark, sf_dir):
-    kernel = lambda px: {"packed": raster.pack_bits(px < raster.DARK).hex()}
-    return raster.map_rasters(B.rasters(spark, sf_dir), kernel, ["px"], ["vec_id"], "packed string").drop("error")
+    mask = F.transform("px", lambda x: x < raster.DARK)
+    return B.rasters(spark, sf_dir).select("vec_id", raster.packed_hex(mask, F.col("w"), F.col("h")).alias("packed"))
+
+
+@query(f"""
+    WITH {CLASSES}, p AS (SELECT *, vec_id % 600 + 1.0 AS w, CASE strategy WHEN 'photo_only' THEN 200 ELSE 150 END AS dpi FROM classes)
+    SELECT vec_id, strategy, strategy <> 'text_only' AS background, CASE WHEN strategy <> 'text_only' THEN CASE WHEN vec_id % 3 <> 0 THEN 'grayscale' ELSE 'rgb' END END AS color_mode, CASE WHEN strategy <> 'text_only' THEN 'jpeg' END AS codec,
+           CASE WHEN strategy <> 'photo_only' THEN CASE WHEN vec_id % 2 = 0 THEN 'jbig2' ELSE 'flate' END END AS mask,
+           CASE WHEN strategy <> 'text_only' THEN greatest(1, CAST(round_even(w * dpi / 72, 0) AS BIGINT)) END AS width_px, CASE WHEN strategy <> 'text_only' THEN greatest(1, CAST(round_even(0.2 * dpi / 72, 0) AS BIGINT)) END AS height_px
+    FROM p
+""")
+def compose_choice(spark, sf_dir):
+    v = F.col("vec_id")
+    plan = strategy.compose_plan(F.col("strategy"), v % 3 != 0, v % 2 == 0, v % 600 + 1.0, F.lit(0.2), Options())
+    return _classes(spark, sf_dir).select("vec_id", "strategy", plan.alias("p")).select("vec_id", "strategy", "p.*")
 
 
 @query(f"""
@@ -252,7 +289,32 @@ def page_pairing(spark, sf_dir):
     return verify.pair_pages(left, right, ["page_key"]).select("page_key", "error_code")
 
 
-@query()
+@query(f"""
+    WITH {PAGES}, {SSIM},
+    flags AS (
+        SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 17 = 0 THEN 'E-INPUT-ENCRYPTED' WHEN c_custkey % 19 = 0 THEN 'E-INPUT-CERTIFIED' WHEN c_custkey % 7 = 0 THEN 'E-INPUT-SIGNED'
+               WHEN (c_custkey * 37) % 12000 > 11000 OR (c_custkey * 7919) % 400 > 250 THEN 'E-INPUT-OVERSIZE' WHEN c_custkey % 23 = 0 THEN 'E-INPUT-DECOMPRESSION-BOMB' ELSE 'PROCEED' END AS decision FROM customer),
+    shaped AS (
+        SELECT p.doc_id, page_index, page_key, strategy = 'text_only' AND page_key % 3 = 0 AS demoted, CASE WHEN strategy = 'text_only' AND page_key % 3 = 0 THEN 'mixed' ELSE strategy END AS kind,
+               content_bytes + image_bytes + other_bytes AS page_in, image_bytes // 8 + content_bytes AS page_out, ssim_global, ssim_tile_min,
+               CASE WHEN page_key % 50 = 0 THEN levenshtein('page ' || page_key, 'lost') / CAST(length('page ' || page_key) AS DOUBLE) ELSE 0 END AS lev
+        FROM pages p JOIN flags f ON f.doc_id = p.doc_id AND decision = 'PROCEED' JOIN classes c ON c.vec_id = page_key % 500 JOIN likeness l ON l.vec_id = page_key % 500),
+    judged AS (
+        SELECT *, lev <= CASE kind WHEN 'photo_only' THEN 1.0 ELSE 0.05 END AND page_key % 50 <> 0 AND ssim_global >= CASE kind WHEN 'photo_only' THEN 0.5 ELSE 0.92 END
+               AND ssim_tile_min >= CASE WHEN kind <> 'mixed' THEN -1.0 ELSE 0.85 END AS passed FROM shaped),
+    folded AS (
+        SELECT doc_id, count(*) AS page_count, count(*) FILTER (kind = 'text_only') AS text_only, count(*) FILTER (kind = 'photo_only') AS photo_only, count(*) FILTER (kind = 'mixed') AS mixed,
+               CAST(sum(page_in) AS BIGINT) AS input_bytes, CAST(sum(page_out) AS BIGINT) AS made, array_to_string(coalesce(list(page_index ORDER BY page_index) FILTER (NOT passed), []), ',') AS failing,
+               coalesce(list('page-' || (page_index + 1) || '-text-only-demoted-to-mixed-color-detected' ORDER BY page_index) FILTER (demoted), []) AS demotions
+        FROM judged GROUP BY doc_id),
+    rated AS (SELECT *, input_bytes / CAST(greatest(1, made) AS DOUBLE) AS found FROM folded)
+    SELECT f.doc_id, CASE WHEN decision <> 'PROCEED' THEN 'refused' WHEN found < 1.5 THEN 'passed_through' WHEN failing <> '' THEN 'drift_aborted' ELSE 'ok' END AS status, decision,
+           CASE decision WHEN 'E-INPUT-ENCRYPTED' THEN 10 WHEN 'E-INPUT-SIGNED' THEN 11 WHEN 'E-INPUT-OVERSIZE' THEN 12 WHEN 'E-INPUT-CERTIFIED' THEN 15 WHEN 'E-INPUT-DECOMPRESSION-BOMB' THEN 16 ELSE 0 END AS exit_code,
+           input_bytes, CASE WHEN found < 1.5 THEN input_bytes ELSE made END AS output_bytes, round(CASE WHEN found < 1.5 THEN 1.0 ELSE found END, 6) AS ratio, page_count, text_only, photo_only, mixed, CASE WHEN page_count IS NOT NULL THEN CAST(0 AS BIGINT) END AS already_optimized,
+           CASE WHEN page_count IS NULL THEN 'skipped' WHEN failing = '' THEN 'pass' ELSE 'fail' END AS verifier, failing AS failing_pages, 'none' AS signature_state,
+           array_to_string(list_concat(CASE WHEN found < 1.5 THEN ['passthrough-ratio-floor'] ELSE [] END, coalesce(demotions, [])), ',') AS warnings
+    FROM flags f LEFT JOIN rated r ON r.doc_id = f.doc_id
+""")
 def batch_report(spark, sf_dir):
     """The whole plan over customers as documents and orders as pages."""
     pages = B.pages(spark, sf_dir).withColumn("vec_id", F.col("page_key") % 500)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quire.catalog import query
 from quire.catalog.pages import OPTIONS, PAGES
 from quire.operators import gate, report
+from quire.options import Options
+from quire.plans import limits
 from quire.sources import bindings as B
 
 RUNS = """
@@ -128,9 +130,9 @@ def correlation_join(spark, sf_dir):
 
 
 @query("""
-    WITH e AS (SELECT o_orderkey AS doc_id, md5(CAST(o_orderkey AS VARCHAR)) AS correlation_id, sha256(CAST(o_orderkey AS VARCHAR)) AS input_sha256, CASE WHEN o_orderkey % 40 = 0 THEN NULL ELSE 'ok' END AS status FROM orders WHERE o_custkey = 1)
-    SELECT '{"run_id":"run-1","started_at":"2026-01-01T00:00:00Z","build_info":{"version":"0.1.0","git_sha":"?"},"entries":[' || coalesce(string_agg('{"doc_id":' || doc_id || ',"correlation_id":"' || correlation_id || '","input_sha256":"' || input_sha256
-           || '","status":' || coalesce('"' || status || '"', 'null') || '}', ',' ORDER BY doc_id), '') || ']}' AS sidecar FROM e
+    WITH e AS (SELECT o_orderkey AS doc_id, md5(CAST(o_orderkey AS VARCHAR)) AS correlation_id, sha256(CAST(o_orderkey AS VARCHAR)) AS input_sha256, CASE WHEN o_orderkey % 40 = 0 THEN NULL ELSE 'ok' END AS status, o_custkey FROM orders)
+    SELECT '{"run_id":"run-' || o_custkey || '","started_at":"2026-01-01T00:00:00Z","build_info":{"version":"0.1.0","git_sha":"?"},"entries":[' || coalesce(string_agg('{"doc_id":' || doc_id || ',"correlation_id":"' || correlation_id || '","input_sha256":"' || input_sha256
+           || '","status":' || coalesce('"' || status || '"', 'null') || '}', ',' ORDER BY doc_id), '') || ']}' AS sidecar FROM e GROUP BY o_custkey
 """)
 def correlation_sidecar(spark, sf_dir):
     """The record of each run: a customer's orders."""
@@ -153,9 +155,81 @@ def warning_counts(spark, sf_dir):
 
 @query("""
     SELECT bytes, workers, CASE WHEN setting = 0 THEN 0 ELSE least(CASE WHEN setting IS NOT NULL THEN setting * 1048576 ELSE least(17179869184, greatest(8589934592, 16 * bytes)) END, CAST(floor(34359738368 * 0.7) AS BIGINT) // greatest(1, workers)) END AS cap
-    FROM (SELECT CAST(p_partkey * 10000000 AS BIGINT) AS bytes, CAST(p_size % 9 AS BIGINT) AS workers, CASE p_partkey % 3 WHEN 0 THEN CAST(NULL AS BIGINT) WHEN 1 THEN CAST(0 AS BIGINT) ELSE CAST(512 AS BIGINT) END AS setting FROM part WHERE p_partkey <= 100)
+    FROM (SELECT CAST(p_partkey * 10000000 AS BIGINT) AS bytes, CAST(p_size % 9 AS BIGINT) AS workers, CASE p_partkey % 3 WHEN 0 THEN CAST(NULL AS BIGINT) WHEN 1 THEN CAST(0 AS BIGINT) ELSE CAST(512 AS BIGINT) END AS setting FROM part)
 """)
 def mem_cap(spark, sf_dir):
     size, key = (F.col("p_partkey") * 10_000_000).cast("long"), F.col("p_partkey") % 3
     parts = B.table(spark, sf_dir, "part").select(size.alias("bytes"), (F.col("p_size") % 9).cast("long").alias("workers"), F.when(key == 1, 0).when(key == 2, 512).alias("setting"))
     return parts.select("bytes", "workers", report.worker_memory_cap(F.col("bytes"), F.col("workers"), 32 << 30, F.col("setting")).alias("cap"))
+
+
+@query(f"""
+    WITH {RUNS}, lines AS (
+        SELECT 0 AS position, 'doc-' || o_orderkey AS label, CASE WHEN status = 'ok'
+               THEN '| doc-' || o_orderkey || ' | ' || format('{{:,}}', input_bytes) || ' | ' || format('{{:,}}', output_bytes) || ' | ' || format('{{:.2f}}', ratio) || 'x | ' || o_orderkey % 50 || ' | ' || o_orderkey % 9000 || ' | skipped |'
+               ELSE '| doc-' || o_orderkey || ' | ' || format('{{:,}}', input_bytes) || ' | — | — | — | — | REFUSED: E-INPUT-SIGNED |' END AS line
+        FROM rated),
+    sums AS (SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS refused, CAST(sum(input_bytes) FILTER (status = 'ok') AS BIGINT) AS i, CAST(sum(output_bytes) FILTER (status = 'ok') AS BIGINT) AS o FROM rated)
+    SELECT position, label, line FROM lines
+    UNION ALL
+    SELECT 1, '', '| **TOTAL (' || ok || ' ok, ' || refused || ' refused)** | **' || format('{{:,}}', i) || '** | **' || format('{{:,}}', o) || '** | **' || format('{{:.2f}}', i / CAST(greatest(1, o) AS DOUBLE)) || 'x** | — | — | — |' FROM sums
+""")
+def totals_table(spark, sf_dir):
+    k = F.col("o_orderkey")
+    runs = _runs(spark, sf_dir).select(
+        F.concat(F.lit("doc-"), k.cast("string")).alias("label"), "status", F.lit("E-INPUT-SIGNED").alias("reason"), "input_bytes", "output_bytes", (k % 50).alias("pages"), (k % 9000).alias("wall_ms"), F.lit("skipped").alias("verifier")
+    )
+    return report.totals_table(runs)
+
+
+@query("""
+    WITH p AS (SELECT o_orderkey AS k, 'page-' || (1 + o_orderkey % 50) || '-' AS page FROM orders)
+    SELECT k AS o_orderkey, array_to_string(list_filter([
+        CASE WHEN k % 2 = 0 AND k % 3 <> 0 THEN page || 'native-text-quality-poor-using-tesseract' END, CASE WHEN k % 5 = 0 THEN page || 'color-detected-in-monochrome-mode' END,
+        CASE WHEN k % 7 = 0 THEN page || 'text-only-demoted-to-mixed-color-detected' END, CASE WHEN k % 11 = 0 THEN page || 'jbig2-fallback-to-flate' END,
+        CASE WHEN k % 13 = 0 THEN page || 'anomalous-ratio-' || CAST(round_even(k % 977 + 0.5, 0) AS BIGINT) || 'x-safe-verify' END], lambda x: x IS NOT NULL), ',') AS warnings
+    FROM p
+""")
+def page_warnings(spark, sf_dir):
+    k = F.col("o_orderkey")
+    pages = B.table(spark, sf_dir, "orders").select(
+        "o_orderkey", (k % 50).alias("page_index"), (k % 2 == 0).alias("has_native"), F.when(k % 2 == 0, k % 3 == 0).alias("decent"), (k % 5 == 0).alias("has_color"), (k % 7 == 0).alias("demoted"),
+        F.when(k % 11 == 0, True).alias("flate_fallback"), (k % 13 == 0).alias("anomalous"), (k % 977 + 0.5).cast("double").alias("pixel_ratio"),
+    )
+    said = report.page_warnings(Options(ocr=True, force_monochrome=True, skip_verify=False))
+    return pages.select("o_orderkey", F.array_join(said, ",").alias("warnings"))
+
+
+@query("""
+    WITH r AS (
+        SELECT o_orderkey AS k, o_orderkey % 4 = 0 AS quiet, o_orderkey % 5 = 0 AS image_mode, o_orderkey % 3 = 0 AS to_stdout, CASE WHEN o_orderkey % 2 = 0 THEN 0.1 END AS cap, CAST(trunc(o_totalprice) AS BIGINT) AS size, 1 + o_orderkey % 3 AS chunks FROM orders),
+    s AS (SELECT *, NOT image_mode AND NOT to_stdout AND cap IS NOT NULL AS split FROM r)
+    SELECT k AS o_orderkey, array_to_string(list_filter([
+        CASE WHEN NOT quiet AND image_mode AND cap IS NOT NULL THEN 'W-MAX-OUTPUT-MB-IMAGE-MODE' END, CASE WHEN NOT image_mode AND to_stdout AND size > cap * 1048576 THEN 'W-MAX-OUTPUT-MB-STDOUT' END,
+        CASE WHEN NOT quiet AND k % 7 = 0 THEN 'W-OUTPUT-FORMAT-EXTENSION-OVERRIDE' END, CASE WHEN NOT quiet AND split AND chunks > 1 AND k % 11 = 0 THEN 'W-CHUNKS-EXCEED-CAP' END,
+        CASE WHEN split AND chunks > 1 AND k % 13 = 0 THEN 'W-STALE-CHUNK-FILES' END, CASE WHEN NOT quiet AND split AND chunks = 1 AND k % 11 = 0 THEN 'W-SINGLE-CHUNK-OVERSIZE' END,
+        CASE WHEN NOT quiet AND NOT image_mode AND k % 17 = 0 THEN 'W-VERIFIER-SKIPPED' END, CASE WHEN NOT quiet AND NOT image_mode AND k % 17 = 1 THEN 'W-VERIFIER-FAILED' END,
+        CASE WHEN image_mode AND k % 19 = 0 THEN 'W-IMAGE-EXPORT-PARTIAL-FAILURE' END, CASE WHEN split AND k % 19 = 1 THEN 'W-CHUNK-WRITE-PARTIAL-FAILURE' END, CASE WHEN k % 23 = 0 THEN 'W-PASSTHROUGH-SIGNED' END,
+        CASE WHEN k % 29 = 0 THEN 'W-MEM-RSS-WATCHDOG' END, CASE WHEN k % 31 = 0 THEN 'W-CAPS-UNAVAILABLE' END, CASE WHEN k % 31 = 1 THEN 'W-CAPS-FAILED' END, CASE WHEN k % 37 = 0 THEN 'W-WATCHDOG-DIED' END], lambda x: x IS NOT NULL), ',') AS codes
+    FROM s
+""")
+def run_warnings(spark, sf_dir):
+    k = F.col("o_orderkey")
+    when = lambda n: F.when(k % n == 0, 1).otherwise(0)
+    runs = B.table(spark, sf_dir, "orders").select(
+        "o_orderkey", (k % 4 == 0).alias("quiet"), (k % 5 == 0).alias("image_mode"), (k % 3 == 0).alias("to_stdout"), F.when(k % 2 == 0, 0.1).alias("max_output_mb"), F.col("o_totalprice").cast("long").alias("output_bytes"),
+        (k % 7 == 0).alias("format_overridden"), (1 + k % 3).alias("chunks"), when(11).alias("oversize_chunks"), when(13).alias("stale_files"), when(19).alias("image_failures"), F.when(k % 19 == 1, 1).otherwise(0).alias("chunk_failures"),
+        F.when(k % 17 == 0, "skipped").when(k % 17 == 1, "fail").otherwise("pass").alias("verifier"), (k % 23 == 0).alias("passed_signed"), (k % 29 == 0).alias("over_memory"),
+        F.when(k % 31 == 0, "unavailable").when(k % 31 == 1, "failed").alias("caps_state"), (k % 37 == 0).alias("watchdog_died"),
+    )
+    return runs.select("o_orderkey", F.array_join(report.run_warnings(), ",").alias("codes"))
+
+
+@query("""
+    WITH d AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 0 WHEN 1 THEN -9 WHEN 2 THEN 137 WHEN 3 THEN 3221225540 WHEN 4 THEN 1 ELSE 139 END AS exit_code, event_id % 10 = 0 AS over FROM events)
+    SELECT event_id, CASE WHEN over OR exit_code IN (-9, 137, 3221225540) THEN 'E-MEM-CAP' WHEN exit_code <> 0 THEN 'E-ENGINE-ERROR' END AS code FROM d
+""")
+def worker_deaths(spark, sf_dir):
+    codes = F.array(*[F.lit(x).cast("long") for x in (0, -9, 137, 0xC0000044, 1, 139)])
+    ended = B.table(spark, sf_dir, "events").select("event_id", F.get(codes, (F.col("event_id") % 6).cast("int")).alias("exit_code"), (F.col("event_id") % 10 == 0).alias("over"))
+    return ended.select("event_id", limits.death_code(F.col("exit_code"), F.col("over")).alias("code"))

@@ -12,13 +12,15 @@ from quire.sources import bindings as B
 
 TEXTS = """
     texts AS (
-        SELECT source AS doc, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS page_index, doc_id, text AS input_text,
+        SELECT source || '-' || doc_id // 100 AS doc, CAST(row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) - 1 AS INTEGER) AS page_index, doc_id, text AS input_text,
                CASE WHEN doc_id % 7 = 0 THEN translate(text, '6', '8') WHEN doc_id % 11 = 0 THEN regexp_replace(text, '(\\d)\\.(\\d)', '\\1\\2', 'g')
                     WHEN doc_id % 13 = 0 THEN substr(text, 1, CAST(floor(length(text) * 0.9) AS INTEGER)) ELSE text END AS output_text
         FROM documents),
     folded AS (
-        SELECT *, regexp_replace(substr(input_text, 1, 300), '[^\\x00-\\x7F]', '?', 'g') AS a, regexp_replace(substr(output_text, 1, 300), '[^\\x00-\\x7F]', '?', 'g') AS b FROM texts)
+        SELECT *, regexp_replace(input_text, '[^\\x00-\\x7F]', '?', 'g') AS a, regexp_replace(output_text, '[^\\x00-\\x7F]', '?', 'g') AS b FROM texts)
 """
+#: The edit distance; where one text begins the other, what is left of it.
+DISTANCE = "CASE WHEN a = b THEN 0 WHEN starts_with(a, b) THEN length(a) - length(b) WHEN starts_with(b, a) THEN length(b) - length(a) ELSE levenshtein(a, b) END"
 NUMBERS = "list_sort(list_transform(regexp_extract_all({}, '\\d+(?:[.,]\\d+)?(?:\\s*(?:mg|mcg|mL|IU|ng|g|kg|lb|oz|%))?'), lambda x: regexp_replace(x, '\\s+', '', 'g')))"
 
 
@@ -84,7 +86,7 @@ def digit_counts(spark, sf_dir):
 
 @query(f"""
     WITH {TEXTS}
-    SELECT doc_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE) END, 6) AS ratio FROM folded
+    SELECT doc_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE {DISTANCE} / CAST(greatest(length(a), length(b)) AS DOUBLE) END, 6) AS ratio FROM folded
 """)
 def lev_ratio(spark, sf_dir):
     return _folded(spark, sf_dir).select("doc_id", F.round(T.levenshtein_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
@@ -92,7 +94,7 @@ def lev_ratio(spark, sf_dir):
 
 @query(f"""
     WITH {TEXTS}
-    SELECT doc_id, levenshtein(a, b) <= floor(greatest(length(a), length(b)) * 0.05) AS standard, levenshtein(a, b) <= floor(greatest(length(a), length(b)) * 0.02) AS safe FROM folded
+    SELECT doc_id, {DISTANCE} <= floor(greatest(length(a), length(b)) * 0.05) AS standard, {DISTANCE} <= floor(greatest(length(a), length(b)) * 0.02) AS safe FROM folded
 """)
 def lev_gate(spark, sf_dir):
     within = lambda c: T.levenshtein_within(F.col("a"), F.col("b"), c)
@@ -104,6 +106,16 @@ def redact_url(spark, sf_dir):
     return B.table(spark, sf_dir, "pages").select("page_id", T.redact_name(F.col("url")).alias("redacted"))
 
 
+@query("""
+    WITH n AS (SELECT page_id, nfc_normalize('Cafe' || chr(769) || '-' || list_last(string_split(url, '/')) || '-u' || chr(776)) AS name FROM pages)
+    SELECT page_id, substr(sha1(name), 1, 8) || '…' || right(name, 8) AS redacted FROM n
+""")
+def redact_composed(spark, sf_dir):
+    """Names whose accents come as marks of their own are composed before they are redacted."""
+    name = F.concat(F.lit("/in/Cafe\u0301-"), F.element_at(F.split("url", "/"), -1), F.lit("-u\u0308"))
+    return B.table(spark, sf_dir, "pages").select("page_id", T.redact_name(T.nfc(name)).alias("redacted"))
+
+
 @query("SELECT doc_id, '<redacted:' || length(text) || '-chars>' AS whole, '<redacted:' || least(length(text), 1000) || '-chars>' AS capped FROM documents")
 def redact_text(spark, sf_dir):
     return B.table(spark, sf_dir, "documents").select("doc_id", T.redact_text(F.col("text")).alias("whole"), T.redact_text(F.col("text"), 1000).alias("capped"))
@@ -115,39 +127,42 @@ def pdf_escape(spark, sf_dir):
 
 
 BOXES = """
+    tokens AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS k FROM conversations),
     boxes AS (
-        SELECT conv_id, turn, regexp_replace(list_first(string_split(text, ' ')), '[\\s]', '', 'g') AS word, turn * 40 + conv_id % 30 AS x, turn * 50 AS y, CASE WHEN turn = 5 THEN 0 ELSE 30 + conv_id % 50 END AS w, 10 + turn AS h
-        FROM conversations)
+        SELECT conv_id, turn * 1000000 + k AS n, regexp_replace(word, '[\\s]', '', 'g') AS word, turn * 40 + conv_id % 30 + k * 3 AS x, turn * 50 AS y, CASE WHEN k % 6 = 5 THEN 0 ELSE 30 + conv_id % 50 END AS w, 10 + turn AS h
+        FROM tokens)
 """
 
 
 def _boxes(spark, sf_dir):
-    word = F.regexp_replace(F.get(F.split("text", " "), 0), r"\s", "")
-    return B.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", word.alias("word"), (F.col("turn") * 40 + F.col("conv_id") % 30).alias("x"), (F.col("turn") * 50).alias("y"),
-        F.when(F.col("turn") == 5, 0).otherwise(30 + F.col("conv_id") % 50).alias("w"), (10 + F.col("turn")).alias("h"),
+    """Every word of every message as a box."""
+    tokens = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("k", "word"))
+    return tokens.select(
+        "conv_id", (F.col("turn") * 1_000_000 + F.col("k")).alias("n"), F.regexp_replace("word", r"\s", "").alias("word"),
+        (F.col("turn") * 40 + F.col("conv_id") % 30 + F.col("k") * 3).alias("x"), (F.col("turn") * 50).alias("y"),
+        F.when(F.col("k") % 6 == 5, 0).otherwise(30 + F.col("conv_id") % 50).alias("w"), (10 + F.col("turn")).alias("h"),
     )
 
 
 @query(f"""
     WITH {BOXES}, o AS (
-        SELECT conv_id, turn, '/F-Invisible ' || format('{{:.3f}}', h * 0.75) || ' Tf' || chr(10)
+        SELECT conv_id, n, '/F-Invisible ' || format('{{:.3f}}', h * 0.75) || ' Tf' || chr(10)
             || format('{{:.2f}}', (w * 0.5) / greatest(0.5 * length(word) * (h * 0.75), 0.001) * 100) || ' Tz' || chr(10)
             || '1 0 0 1 ' || format('{{:.3f}}', x * 0.5) || ' ' || format('{{:.3f}}', 600 - (y + h) * 0.75) || ' Tm' || chr(10)
             || '(' || regexp_replace(replace(replace(replace(word, '\\', '\\\\'), '(', '\\('), ')', '\\)'), '[^\\x00-\\x7F]', '?', 'g') || ') Tj' AS op
         FROM boxes WHERE w > 0 AND h > 0 AND trim(word) <> '')
-    SELECT conv_id, 'q' || chr(10) || 'BT' || chr(10) || '3 Tr' || chr(10) || string_agg(op, chr(10) ORDER BY turn) || chr(10) || 'ET' || chr(10) || 'Q' || chr(10) AS stream FROM o GROUP BY conv_id
+    SELECT conv_id, 'q' || chr(10) || 'BT' || chr(10) || '3 Tr' || chr(10) || string_agg(op, chr(10) ORDER BY n) || chr(10) || 'ET' || chr(10) || 'Q' || chr(10) AS stream FROM o GROUP BY conv_id
 """)
 def text_ops(spark, sf_dir):
     op = T.text_operators(F.col("word"), F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(800.0), F.lit(800.0), F.lit(400.0), F.lit(600.0))
-    rows = _boxes(spark, sf_dir).select("conv_id", "turn", op.alias("op"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", "op"))), lambda x: x["op"])
+    rows = _boxes(spark, sf_dir).select("conv_id", "n", op.alias("op"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "op"))), lambda x: x["op"])
     return rows.groupBy("conv_id").agg(T.text_stream(listed).alias("stream"))
 
 
-@query(f"WITH {BOXES} SELECT conv_id AS page_id, string_agg(word, ' ' ORDER BY turn) AS text FROM boxes WHERE trim(word) <> '' GROUP BY conv_id")
+@query(f"WITH {BOXES} SELECT conv_id AS page_id, string_agg(word, ' ' ORDER BY n) AS text FROM boxes WHERE trim(word) <> '' GROUP BY conv_id")
 def ocr_text_join(spark, sf_dir):
-    boxes = _boxes(spark, sf_dir).select(F.col("conv_id").alias("page_id"), F.col("turn").alias("word_no"), F.col("word").alias("text"), F.lit("90").alias("confidence"))
+    boxes = _boxes(spark, sf_dir).select(F.col("conv_id").alias("page_id"), F.col("n").alias("word_no"), F.col("word").alias("text"), F.lit("90").alias("confidence"))
     return words.page_text(words.recognized(boxes))
 
 
@@ -161,10 +176,10 @@ def ocr_confidence(spark, sf_dir):
     return words.recognized(boxes).select("event_id", "confidence")
 
 
-@query("SELECT doc_id, sha256(text) AS input_sha256, sha256(substr(text, 1, 100)) AS output_sha256 FROM documents")
+@query(f"WITH {TEXTS} SELECT doc_id, sha256(input_text) AS input_sha256, sha256(output_text) AS output_sha256 FROM texts")
 def content_sha(spark, sf_dir):
-    sha = lambda c: F.sha2(c.cast("binary"), 256)
-    return B.table(spark, sf_dir, "documents").select("doc_id", sha(F.col("text")).alias("input_sha256"), sha(F.substr("text", F.lit(1), F.lit(100))).alias("output_sha256"))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return B.page_texts(spark, sf_dir).select("doc_id", sha("input_text").alias("input_sha256"), sha("output_text").alias("output_sha256"))
 
 
 @query("SELECT min(doc_id) AS first_doc, count(*) AS docs FROM documents GROUP BY text, lang HAVING count(*) > 1")
@@ -186,13 +201,15 @@ def message_lines(spark, sf_dir):
 
 
 @query("""
-    SELECT o_orderkey, 'ok  ' || format('{:,}', (o_orderkey + 1) * 1000) || ' -> ' || format('{:,}', (o_orderkey + 1) * 400) || ' bytes (' || format('{:.1f}', 40.0) || '%, ratio ' || format('{:.2f}', 2.5) || 'x, ' || o_orderkey % 50
+    SELECT o_orderkey, 'ok  ' || format('{:,}', (o_orderkey + 1) * 1000) || ' -> ' || format('{:,}', (o_orderkey + 1) * 100 * (1 + o_orderkey % 9)) || ' bytes (' || format('{:.1f}', 10.0 * (1 + o_orderkey % 9)) || '%, ratio '
+           || format('{:.2f}', 10 / CAST(1 + o_orderkey % 9 AS DOUBLE)) || 'x, ' || o_orderkey % 50
            || ' pages, ' || o_orderkey % 9000 || ' ms) verifier=skipped' || CASE WHEN o_orderkey % 3 > 0 THEN ' warnings=' || o_orderkey % 3 ELSE '' END AS line
     FROM orders
 """)
 def report_lines(spark, sf_dir):
     k = F.col("o_orderkey")
-    line = T.report_line((k + 1) * 1000, (k + 1) * 400, F.lit(2.5), k % 50, k % 9000, F.lit("skipped"), k % 3)
+    size, made = (k + 1) * 1000, (k + 1) * 100 * (1 + k % 9)
+    line = T.report_line(size, made, report.ratio(size, made), k % 50, k % 9000, F.lit("skipped"), k % 3)
     return B.table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))
 
 

@@ -28,6 +28,14 @@ def axis_bomb(x1: Column, y1: Column, x2: Column, y2: Column, cap: int = AXIS_CA
     return F.coalesce(F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)) > cap, F.lit(False))
 
 
+def box_axis(box: Column) -> Column:
+    """The longer side of a box of four numbers, as numbers or text; null for a malformed one."""
+    numbers = F.transform(F.slice(box, 1, 4), lambda x: F.nullif(x.try_cast("double"), F.lit(float("nan"))))
+    side = lambda k: F.abs(F.get(numbers, k + 2) - F.get(numbers, k))
+    whole = (F.size(box) >= 4) & ~F.exists(numbers, lambda x: x.isNull())
+    return F.when(whole, F.greatest(side(0), side(1)))
+
+
 def box_to_pixels(left: Column, bottom: Column, right: Column, top: Column, sx: Column, sy: Column, page_height: Column) -> Column:
     """(x, y, w, h) in pixels from a box in points, y from the top, sides 1 at least."""
     px = lambda c: F.bround(c).cast("long")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.columns import let
+
 #: Fixed values of the text-quality heuristic.
 SPARSE_CHARS = 30
 LEAST_LETTER_SHARE = 0.5
@@ -15,6 +19,10 @@ MOST_SINGLE_SHARE = 0.4
 NUMBER_PATTERN = r"\d+(?:[.,]\d+)?(?:\s*(?:mg|mcg|mL|IU|ng|g|kg|lb|oz|%))?"
 
 
+#: Edits up to which two texts are compared along diagonals.
+FEW_EDITS = 48
+
+
 def fold_ascii(text: Column) -> Column:
     """Every code point beyond ASCII as a question mark."""
     return F.regexp_replace(text, r"[^\x00-\x7F]", "?")
@@ -22,40 +30,82 @@ def fold_ascii(text: Column) -> Column:
 
 def one_spaced(text: Column) -> Column:
     """The words of a text, joined by one blank."""
-    return F.array_join(F.array_remove(F.split(text, r"(?U)\s+"), ""), " ")
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def quality_label(joined: Column) -> Column:
     """Why a text layer of blank-joined words is decent or not.
 
     empty, sparse (too short to judge, so decent), symbols, no-words,
-    word-length, single-chars or ok.
+    word-length, single-chars or ok. The text and its words are bound once.
     """
-    words = F.filter(F.split(joined, " "), lambda w: w.rlike(r"^\p{L}+$"))
-    count = F.size(words)
-    letters = F.regexp_count(joined, F.lit(r"(?U)[\p{L}\s]"))
-    total = F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w))
-    mean = total / count
-    single = F.size(F.filter(words, lambda w: F.length(w) == 1)) / count
-    return (
-        F.when(F.coalesce(joined, F.lit("")) == "", "empty")
-        .when(F.length(joined) < SPARSE_CHARS, "sparse")
-        .when(letters / F.length(joined) < LEAST_LETTER_SHARE, "symbols")
-        .when(count == 0, "no-words")
-        .when((mean < WORD_LENGTH[0]) | (mean > WORD_LENGTH[1]), "word-length")
-        .when(single > MOST_SINGLE_SHARE, "single-chars")
-        .otherwise("ok")
-    )
+
+    def judged(words: Column, text: Column) -> Column:
+        count, chars = F.size(words), F.length(text)
+        symbols = chars - F.length(F.regexp_replace(text, r"(?U)[^\p{L}\s]+", ""))
+        mean = F.length(F.array_join(words, "")) / count
+        single = F.size(F.filter(words, lambda w: F.length(w) == 1)) / count
+        return (
+            F.when((chars - symbols) / chars < LEAST_LETTER_SHARE, "symbols")
+            .when(count == 0, "no-words")
+            .when((mean < WORD_LENGTH[0]) | (mean > WORD_LENGTH[1]), "word-length")
+            .when(single > MOST_SINGLE_SHARE, "single-chars")
+            .otherwise("ok")
+        )
+
+    def label(text: Column) -> Column:
+        words = F.regexp_extract_all(text, F.lit(r"(?<![^ ])\p{L}++(?![^ ])"), F.lit(0))
+        long = let(words, lambda ws: judged(ws, text))
+        return F.when(F.coalesce(text, F.lit("")) == "", "empty").when(F.length(text) < SPARSE_CHARS, "sparse").otherwise(long)
+
+    return let(joined, label)
 
 
 def is_decent(joined: Column) -> Column:
     return quality_label(joined).isin("sparse", "ok")
 
 
+def _common(a: str, i: int, b: str, j: int) -> int:
+    """How many characters agree from a[i] and b[j] on, by halves of slices."""
+    most = min(len(a) - i, len(b) - j)
+    low, step = 0, 32
+    while low < most and a[i + low : i + low + step] == b[j + low : j + low + step]:
+        low, step = min(low + step, most), step * 2
+    high = min(low + step, most)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[i + low : i + middle] == b[j + low : j + middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def few_edits(a: str, b: str, most: int) -> int | None:
+    """The edit distance if it is at most ``most``, by furthest places on diagonals: steps grow with its square, not the texts."""
+    goal = len(b) - len(a)
+    if abs(goal) > most:
+        return None
+    reach = {0: _common(a, 0, b, 0)}
+    for edits in range(most + 1):
+        if reach.get(goal, -1) >= len(a):
+            return edits
+        further = {}
+        for d in range(max(-edits - 1, goal - most), min(edits + 1, goal + most) + 1):
+            i = min(max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1), len(a), len(b) - d)
+            if i >= max(0, -d):
+                further[d] = i + _common(a, i, b, i + d)
+        reach = further
+    return None
+
+
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance of whole texts, a column of the table per step as bits of one integer (Myers, Hyyrö)."""
+    """Levenshtein distance of whole texts: few edits by diagonals, more with a column of the table per step as bits of one integer (Myers, Hyyrö)."""
     if a == b:
         return 0
+    few = few_edits(a, b, FEW_EDITS)
+    if few is not None:
+        return few
     if len(a) > len(b):
         a, b = b, a
     start, least = 0, len(a)
@@ -99,10 +149,11 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 
 def levenshtein_within(a: Column, b: Column, ceiling: float) -> Column:
-    """Whether the ratio is at most ``ceiling``: lengths first, then the distance up to that bound only."""
+    """Whether the ratio is at most ``ceiling``: equality and lengths decide most pairs before the distance does."""
     allowed = F.floor(F.greatest(F.length(a), F.length(b)) * F.lit(ceiling)).cast("int")
     far = F.abs(F.length(a) - F.length(b)) > allowed
-    return F.when(a == b, True).when(far, False).otherwise(F.call_function("levenshtein", a, b, allowed) >= 0)
+    unsure = ~far & (a != b)
+    return F.when(a == b, True).when(far, False).otherwise(_edit_distances(F.when(unsure, a), F.when(unsure, b)) <= allowed)
 
 
 def number_tokens(text: Column, unicode_digits: bool = True) -> Column:
@@ -117,6 +168,16 @@ def same_numbers(a: Column, b: Column, unicode_digits: bool = True) -> Column:
     return number_tokens(a, unicode_digits) == number_tokens(b, unicode_digits)
 
 
+def nfc(text: Column) -> Column:
+    """The text in Unicode's composed normal form (T7); ASCII is in it already."""
+
+    @F.arrow_udf("string")
+    def composed(x: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in x.to_pylist()], pa.string())
+
+    return composed(text)
+
+
 def redact_name(path: Column) -> Column:
     """Eight digits of the base name's SHA-1, an ellipsis and its last eight characters (T5)."""
     base = F.element_at(F.split(path, "/"), -1)

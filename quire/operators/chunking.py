@@ -2,70 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import naming
+from quire.storage import materialize
 
-#: Documents with more pages than this go through the streaming fold: an array grows by copying.
-FOLD_PAGES = 1_000
 
-
-def assign_chunks(pages: DataFrame, max_bytes: int, fold_pages: int = FOLD_PAGES) -> DataFrame:
+def assign_chunks(pages: DataFrame, max_bytes: int) -> DataFrame:
     """``pages`` (doc_id, page_index, cost) with chunk_no from 1.
 
     Pages are taken in order and a new chunk begins when the next one would pass
     the cap, so a document within the cap or of one page is one chunk, and a page
-    over the cap stands alone. Each step depends on the one before, so a document
-    is one fold: in the JVM over an array, or for a document of more than
-    ``fold_pages`` pages over its sorted rows, with a few numbers of state.
+    over the cap stands alone. An unknown cost counts as 0. Each step depends on
+    the one before, so a document is one fold, over its rows as they come sorted
+    from one shuffle, with a few numbers of state a task.
     """
     if max_bytes <= 0:
         raise ValueError("max_bytes must be above 0")
-    own = pages.select("doc_id", F.col("page_index").cast("int").alias("page_index"), F.col("cost").cast("long").alias("cost"))
-    counted = own.withColumn("__pages", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    small, large = counted.filter(F.col("__pages") <= fold_pages), counted.filter(F.col("__pages") > fold_pages)
-    return _fold_arrays(small, max_bytes).unionByName(_fold_rows(large, max_bytes))
-
-
-def _fold_arrays(pages: DataFrame, max_bytes: int) -> DataFrame:
-    item = "struct<page_index:int,cost:bigint,chunk_no:int>"
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(1).alias("chunk"), F.array().cast(f"array<{item}>").alias("out"))
-
-    def step(state, page):
-        full = (state["size"] > 0) & (state["size"] + page["cost"] > max_bytes) | (state["size"] == 0) & (F.size(state["out"]) > 0) & (page["cost"] > max_bytes)
-        chunk = state["chunk"] + F.when(full, 1).otherwise(0)
-        size = F.when(full, page["cost"]).otherwise(state["size"] + page["cost"])
-        made = F.struct(page["page_index"].alias("page_index"), page["cost"].alias("cost"), chunk.alias("chunk_no"))
-        return F.struct(size.alias("size"), chunk.alias("chunk"), F.array_append(state["out"], made).alias("out"))
-
-    listed = F.array_sort(F.collect_list(F.struct("page_index", "cost")))
-    rows = pages.groupBy("doc_id").agg(listed.alias("__list"))
-    return rows.select("doc_id", F.inline(F.aggregate("__list", start, step, lambda s: s["out"])))
-
-
-def _fold_rows(pages: DataFrame, max_bytes: int) -> DataFrame:
-    """The same fold over sorted rows, with a few numbers of state a task."""
 
     def fold(batches):
         import pyarrow as pa
 
-        doc, size, chunk, begun = None, 0, 0, False
+        doc, size, chunk, empty, begun = None, 0, 0, True, False
         for batch in batches:
             out = []
             for key, cost in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if not begun or key != doc:
-                    doc, size, chunk, begun = key, 0, 1, True
-                    empty = True
+                    doc, size, chunk, empty, begun = key, 0, 1, True, True
                 if not empty and size + cost > max_bytes:
                     chunk, size = chunk + 1, 0
                 size, empty = size + cost, False
                 out.append(chunk)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], ["doc_id", "page_index", "cost", "chunk_no"])
 
-    typed = pages.select("doc_id", "page_index", "cost")
-    ordered = typed.repartition("doc_id").sortWithinPartitions("doc_id", "page_index")
-    id_type = typed.schema["doc_id"].dataType.simpleString()
+    own = pages.select("doc_id", F.col("page_index").cast("int").alias("page_index"), F.coalesce(F.col("cost").cast("long"), F.lit(0)).alias("cost"))
+    ordered = own.repartition("doc_id").sortWithinPartitions("doc_id", "page_index")
+    id_type = own.schema["doc_id"].dataType.simpleString()
     return ordered.mapInArrow(fold, f"doc_id {id_type}, page_index int, cost bigint, chunk_no int")
 
 
@@ -83,10 +56,18 @@ def stale_chunks(existing: DataFrame, counts: DataFrame) -> DataFrame:
     return numbered.join(counts, "doc_id").filter(F.col("index") > F.col("chunks")).select("doc_id", "name")
 
 
-def write_chunks(assigned: DataFrame, path: str) -> None:
-    """Chunks as folders, a file a chunk at most where a document allows it (K2).
+def write_chunks(assigned: DataFrame, path: str, max_bytes: int, prefix: str = "doc", ext: str = ".pdf") -> DataFrame:
+    """One file for each chunk of one document, in a folder that bears the chunk's name (K2); returns the chunk table.
 
-    Spark's committer moves finished files into place, so a failed job leaves no
-    partial chunk (K1).
+    Rows come with their chunk's name; a chunk is one task's, so it is one file, its pages in order. Spark's
+    committer moves finished files into place, so a failed job leaves no partial chunk (K1).
     """
-    assigned.repartition("doc_id", "chunk_no").sortWithinPartitions("doc_id", "chunk_no", "page_index").write.mode("overwrite").partitionBy("chunk_no").parquet(path)
+    chunks = materialize(chunk_table(assigned, max_bytes, prefix, ext), "chunks")
+    named = assigned.join(chunks.select("doc_id", "chunk_no", "name"), ["doc_id", "chunk_no"])
+    named.repartition("doc_id", "chunk_no").sortWithinPartitions("name", "page_index").write.mode("overwrite").partitionBy("name").parquet(path)
+    return chunks
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(name, doc_id, chunk_no, page_index, cost, file) of the chunks' pages."""
+    return spark.read.parquet(path).select("name", "doc_id", "chunk_no", "page_index", "cost", F.input_file_name().alias("file"))

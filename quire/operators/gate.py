@@ -68,12 +68,12 @@ def select_pages(pages: DataFrame, chosen: set[int]) -> DataFrame:
 def missing_pages(pages: DataFrame, chosen: set[int]) -> DataFrame:
     """(doc_id, page_no) of chosen numbers beyond a document's pages."""
     sizes = pages.groupBy("doc_id").agg((F.max("page_index") + 1).alias("pages"))
-    ranges = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in _ranges(chosen)]).cast("array<struct<low:int,high:int>>")
+    ranges = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in number_ranges(chosen)]).cast("array<struct<low:int,high:int>>")
     beyond = sizes.select("doc_id", "pages", F.inline(F.filter(ranges, lambda r: r["high"] > F.col("pages"))))
     return beyond.select("doc_id", F.explode(F.sequence(F.greatest("low", F.col("pages") + 1), "high")).alias("page_no"))
 
 
-def _ranges(chosen: set[int]) -> list[tuple[int, int]]:
+def number_ranges(chosen: set[int]) -> list[tuple[int, int]]:
     """Numbers as ranges without gaps."""
     out: list[tuple[int, int]] = []
     for n in sorted(chosen):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.options import HOST_SHARE, MEBIBYTE, MEMORY_CEILING, MEMORY_FACTOR, MEMORY_FLOOR, Options
+from quire.options import HOST_SHARE, MEBIBYTE, MEMORY_CEILING, MEMORY_FACTOR, MEMORY_FLOOR, WARNING_CODES, Options
+from quire.storage import materialize
 
 
 def ratio(input_bytes: Column, output_bytes: Column) -> Column:
@@ -37,13 +38,122 @@ def totals(runs: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("ratio", F.when(F.col("crashed") == 0, total))
 
 
+def exact_quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column a share): interpolated quantiles of each group's values, nulls left out.
+
+    Rows are sorted over the whole table, by group and value, and written with
+    generated ids that rise with the order. A group's count and its first id in each partition are a
+    few rows; they give the ids at which the quantiles stand, and only those rows
+    are read out. So a group of any size is spread over as many tasks as it fills.
+    """
+    ordered = rows.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").orderBy("g", "v")
+    stored = materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "ordered-values")
+    parts = stored.groupBy("g", F.shiftright("id", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    own = Window.partitionBy("g")
+    before = F.coalesce(F.sum("n").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = materialize(parts.withColumns({"before": before, "total": F.sum("n").over(own)}), "value-places")
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("total") - 1) * F.lit(share)).alias("at")) for name, share in shares.items()])
+    due = placed.select("g", "first", "before", "n", F.inline(wanted))
+    ends = due.select("g", "name", "at", "first", "before", "n", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
+    ids = ends.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).select("g", "name", "at", "rank", (F.col("first") + F.col("rank") - F.col("before")).alias("id"))
+    # two rows for each group and share
+    found = stored.select("id", "v").join(ids, "id")
+    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
+    each = found.groupBy("g", "name").agg((low + (high - low) * (F.first("at") - F.floor(F.first("at")))).alias("q"))
+    return each.groupBy(F.col("g").alias(by)).pivot("name", list(shares)).agg(F.first("q"))
+
+
 def setting_rollup(runs: DataFrame, by: str = "setting") -> DataFrame:
-    """Quartiles, extremes and wall time of each setting."""
-    at = lambda c, p: F.percentile(c, F.lit(p))
-    return runs.groupBy(by).agg(
-        F.count(F.lit(1)).alias("runs"), at("ratio", 0.5).alias("median_ratio"), at("ratio", 0.25).alias("p25_ratio"), at("ratio", 0.75).alias("p75_ratio"),
-        F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"), at("wall_s", 0.5).alias("median_wall"), F.sum("wall_s").alias("total_wall"),
+    """Quartiles, extremes and wall time of each setting (G11); no setting is gathered in a task."""
+    sums = runs.groupBy(by).agg(F.count(F.lit(1)).alias("runs"), F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"), F.sum("wall_s").alias("total_wall"))
+    ratios = exact_quantiles(runs, by, "ratio", {"median_ratio": 0.5, "p25_ratio": 0.25, "p75_ratio": 0.75})
+    walls = exact_quantiles(runs, by, "wall_s", {"median_wall": 0.5})
+    out = sums
+    for part in (ratios, walls):
+        named = part.withColumnRenamed(by, "__by")
+        out = out.join(named, out[by].eqNullSafe(named["__by"]), "left").drop("__by")
+    return out
+
+
+def totals_table(runs: DataFrame) -> DataFrame:
+    """(position, label, line): the runs as lines of a Markdown table, by label, and a line for all of them.
+
+    ``runs`` has label, status (ok, refused or crashed), reason, input_bytes, output_bytes, pages, wall_ms and verifier.
+    A crash is a bug and not a refusal, so sums that would miss one are left out. The text of a line has no order of
+    its own: sort by (position, label).
+    """
+    number = lambda c: F.format_number(c, 0)
+    cell = lambda *parts: F.concat(F.lit("| "), *[x for p in parts for x in (p, F.lit(" | "))][:-1], F.lit(" |"))
+    dash = F.lit("\u2014")
+    done = cell(F.col("label"), number(F.col("input_bytes")), number(F.col("output_bytes")), F.format_string("%.2fx", ratio(F.col("input_bytes"), F.col("output_bytes"))), F.col("pages").cast("string"), F.col("wall_ms").cast("string"), F.col("verifier"))
+    shout = lambda word: F.concat(F.lit(word), F.col("reason"))
+    failed = lambda text: cell(F.col("label"), number(F.col("input_bytes")), dash, dash, dash, dash, text)
+    line = F.when(F.col("status") == "ok", done).when(F.col("status") == "refused", failed(shout("REFUSED: "))).otherwise(failed(F.concat(F.lit("*** CRASH: "), F.col("reason"), F.lit(" ***"))))
+    body = runs.select(F.lit(0).alias("position"), "label", line.alias("line"))
+    of = lambda s, c: F.coalesce(F.sum(F.when(F.col("status") == s, F.col(c))), F.lit(0))
+    sums = runs.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "refused", "crashed")], of("ok", "input_bytes").alias("i"), of("ok", "output_bytes").alias("o"))
+    bold = lambda c: F.concat(F.lit("**"), c, F.lit("**"))
+    total = cell(bold(F.format_string("TOTAL (%d ok, %d refused)", F.col("ok"), F.col("refused"))), bold(number(F.col("i"))), bold(number(F.col("o"))), bold(F.format_string("%.2fx", ratio(F.col("i"), F.col("o")))), dash, dash, dash)
+    crashes = F.format_string("%d runs crashed; totals left out", F.col("crashed"))
+    last = sums.filter("crashed > 0 OR i > 0").select(F.lit(1).alias("position"), F.lit("").alias("label"), F.when(F.col("crashed") > 0, crashes).otherwise(total).alias("line"))
+    return body.unionByName(last)
+
+
+#: Warnings about a page, in the order in which its steps meet them.
+PAGE_WARNINGS = (
+    "native-text-quality-poor-using-tesseract",
+    "color-detected-in-monochrome-mode",
+    "text-only-demoted-to-mixed-color-detected",
+    "jbig2-fallback-to-flate",
+    "anomalous-ratio-{}x-safe-verify",
+)
+
+
+def page_warnings(options: Options) -> Column:
+    """A page's warnings, ``page-N-...``, from page_index, has_native, decent, has_color, demoted, flate_fallback, anomalous and pixel_ratio.
+
+    A flag that is null warns of nothing. The ratio is rounded to a whole number, halves to even.
+    """
+    flags = (
+        F.col("has_native") & ~F.col("decent") & F.lit(options.ocr and not options.re_ocr and not options.strip_text_layer),
+        F.col("has_color") & F.lit(options.force_monochrome),
+        F.col("demoted"),
+        F.col("flate_fallback"),
+        F.col("anomalous") & F.lit(not options.skip_verify),
+    )
+    ratio_text = F.bround("pixel_ratio").cast("long").cast("string")
+    said = lambda text: F.concat(F.lit("page-"), (F.col("page_index") + 1).cast("string"), F.lit("-"), F.replace(F.lit(text), F.lit("{}"), ratio_text) if "{}" in text else F.lit(text))
+    return F.array_compact(F.array(*[F.when(flag, said(text)) for flag, text in zip(flags, PAGE_WARNINGS, strict=True)]))
+
+
+def run_warnings() -> Column:
+    """The codes of a run's warning lines, in the order of ``WARNING_CODES``.
+
+    From quiet, image_mode, to_stdout, max_output_mb, output_bytes, format_overridden, chunks,
+    oversize_chunks, stale_files, image_failures, chunk_failures, verifier, passed_signed,
+    over_memory, caps_state and watchdog_died. A quiet run keeps what a batch must not miss: failures, stale files,
+    what became of signatures and memory.
+    """
+    loud, pdf = ~F.col("quiet"), ~F.col("image_mode")
+    split = pdf & ~F.col("to_stdout") & F.col("max_output_mb").isNotNull()
+    tests = (
+        loud & F.col("image_mode") & F.col("max_output_mb").isNotNull(),
+        pdf & F.col("to_stdout") & (F.col("output_bytes") > F.col("max_output_mb") * MEBIBYTE),
+        loud & F.col("format_overridden"),
+        loud & split & (F.col("chunks") > 1) & (F.col("oversize_chunks") > 0),
+        split & (F.col("chunks") > 1) & (F.col("stale_files") > 0),
+        loud & split & (F.col("chunks") == 1) & (F.col("oversize_chunks") > 0),
+        loud & pdf & (F.col("verifier") == "skipped"),
+        loud & pdf & (F.col("verifier") == "fail"),
+        F.col("image_mode") & (F.col("image_failures") > 0),
+        split & (F.col("chunk_failures") > 0),
+        F.col("passed_signed"),
+        F.col("over_memory"),
+        F.col("caps_state") == "unavailable",
+        F.col("caps_state") == "failed",
+        F.col("watchdog_died"),
     )
+    return F.array_compact(F.array(*[F.when(test, code) for test, code in zip(tests, WARNING_CODES, strict=True)]))
 
 
 def ratio_buckets(runs: DataFrame, by: str = "setting") -> DataFrame:

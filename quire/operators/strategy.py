@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.geometry import target_dimension
 from quire.options import ANOMALY_RATIO, LEVENSHTEIN_CEILING, SSIM_FLOOR, TILE_FLOOR, Options
 
 #: Fixed values of the page classes.
@@ -50,7 +51,29 @@ def ground_truth(native: Column, recognized: Column) -> Column:
 
 def is_anomalous(width: Column, height: Column, output_bytes: Column, strategy: Column) -> Column:
     """Whether an output is suspiciously small for its raster."""
-    return (width * height * 3 / F.greatest(F.lit(1), output_bytes) > ANOMALY_RATIO) & (strategy != "text_only")
+    return (pixel_ratio(width, height, output_bytes) > ANOMALY_RATIO) & (strategy != "text_only")
+
+
+def pixel_ratio(width: Column, height: Column, output_bytes: Column) -> Column:
+    """Raw bytes of a page's raster over its output's bytes."""
+    return width * height * 3 / F.greatest(F.lit(1), output_bytes)
+
+
+def compose_plan(strategy: Column, monochrome: Column, flags: Column, width_pt: Column, height_pt: Column, options: Options) -> Column:
+    """(background, color_mode, codec, mask, width_px, height_px): what a page is composed of.
+
+    Mixed pages have a background and a mask, photos a background alone, text pages a mask alone. A background is grey where
+    the page has no colour or none is wanted, and its sides are at least a pixel; a photo has its own resolution. ``flags``
+    says whether the mask's own codec is at hand; without it a mask is deflated.
+    """
+    has_background, has_mask = strategy.isin("mixed", "photo_only"), strategy.isin("mixed", "text_only")
+    dpi = F.when(strategy == "photo_only", options.photo_target_dpi).otherwise(options.target_bg_dpi)
+    grey = F.when(F.lit(options.force_monochrome) | monochrome, "grayscale").otherwise("rgb")
+    return F.struct(
+        has_background.alias("background"), F.when(has_background, grey).alias("color_mode"), F.when(has_background, options.effective_codec[0]).alias("codec"),
+        F.when(has_mask, F.when(flags, "jbig2").otherwise("flate")).alias("mask"),
+        F.when(has_background, target_dimension(width_pt, dpi)).alias("width_px"), F.when(has_background, target_dimension(height_pt, dpi)).alias("height_px"),
+    )
 
 
 def threshold_table(spark: SparkSession) -> DataFrame:

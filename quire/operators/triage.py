@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.geometry import axis_bomb
-from quire.options import EXIT_CODES, MEBIBYTE, Options
+from quire.functions.geometry import axis_bomb, box_axis
+from quire.options import AXIS_CAP_PT, EXIT_CODES, MEBIBYTE, Options
 
 #: Dictionary keys that flag scripts and attachments, and the walk's depth.
 SCRIPT_KEYS = ("JavaScript", "JS")
@@ -72,32 +72,74 @@ def triage(docs: DataFrame) -> DataFrame:
 
 
 def reachable_keys(edges: DataFrame, root: int = 1, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(doc_id, keys, max_level, too_deep): keys met on a walk from ``root`` (F2).
+    """(doc_id, keys, nodes, max_level, too_deep): keys met on a walk from ``root`` (F2).
 
-    ``edges`` is (doc_id, parent, child, key, is_indirect). A node already on the
-    walk's path is not entered again, so cycles end; the key that leads to it counts. A walk that would pass
-    ``max_depth`` is flagged instead of followed. Spark ends a recursion at a million rows unless told otherwise,
-    so the session's limit is lifted.
+    ``edges`` is (doc_id, parent, child, key, is_indirect). The walk goes level by
+    level and enters a node that can be referred to (``is_indirect``) once, so shared and circular references cost
+    nothing; the key that leads to it counts each time. Other nodes stand in one
+    place by nature; should they not, a level enters each of them once. A walk
+    that would pass ``max_depth`` is flagged instead of followed. A document
+    without an edge to the root has no row.
+
+    Rows are dealt and sorted by document in one shuffle; a task holds the edges
+    of one document at a time, which the size limit of inputs bounds.
     """
-    edges.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    edges.createOrReplaceTempView("quire_object_edges")
-    walk = edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(doc_id, node, key, level, path, seen) MAX RECURSION LEVEL {max_depth + 3} AS (
-            SELECT doc_id, child, key, 1, array(child), false FROM quire_object_edges WHERE child = {root}
-            UNION ALL
-            SELECT e.doc_id, e.child, e.key, w.level + 1, array_append(w.path, e.child), array_contains(w.path, e.child)
-            FROM walk w JOIN quire_object_edges e ON e.doc_id = w.doc_id AND e.parent = w.node
-            WHERE w.level <= {max_depth} AND NOT w.seen
-        )
-        SELECT * FROM walk
-    """)
-    inside = F.col("level") <= max_depth
-    return walk.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.when(inside, F.col("key")))).alias("keys"),
-        F.count(F.when(inside & ~F.col("seen"), 1)).alias("nodes"),
-        F.max(F.when(inside, F.col("level"))).alias("max_level"),
-        F.bool_or(~inside & ~F.col("seen")).alias("too_deep"),
-    )
+    ordered = edges.select("doc_id", "parent", "child", "key", "is_indirect").repartition("doc_id").sortWithinPartitions("doc_id")
+    id_type = edges.schema["doc_id"].dataType.simpleString()
+
+    def walk(batches):
+        import pyarrow as pa
+
+        names = ["doc_id", "keys", "nodes", "max_level", "too_deep"]
+        types = [None, pa.list_(pa.string()), pa.int64(), pa.int32(), pa.bool_()]
+        doc, own, begun = None, {}, False
+        for batch in batches:
+            done = []
+            for key, *edge in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if begun and key != doc:
+                    done.append((doc, *_walk(own, root, max_depth)))
+                    own = {}
+                doc, begun = key, True
+                own.setdefault(edge[0], []).append(edge[1:])
+            found = [r for r in done if r[2]]
+            types[0] = batch.column(0).type
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names)
+        if begun and (last := (doc, *_walk(own, root, max_depth)))[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, types, strict=True)], names)
+
+    return ordered.mapInArrow(walk, f"doc_id {id_type}, keys array<string>, nodes long, max_level int, too_deep boolean")
+
+
+def _walk(children: dict, root: int, max_depth: int) -> tuple[list[str], int, int, bool]:
+    """Sorted keys, nodes entered, deepest level and whether there is more below, of one document's walk.
+
+    ``children`` has each parent's (child, key, is_indirect); the root hangs below any parent.
+    """
+    visited, keys, nodes, deepest, too_deep = set(), set(), 0, 0, False
+    level, due = 1, [e for edges in children.values() for e in edges if e[0] == root]
+    while due:
+        entered = set()
+        for child, key, indirect in due:
+            if child in visited or child in entered:
+                new = False
+            else:
+                new = True
+            if level > max_depth:
+                too_deep = too_deep or new
+                continue
+            deepest = level
+            if key is not None:
+                keys.add(key)
+            if new:
+                entered.add(child)
+                nodes += 1
+                if indirect:
+                    visited.add(child)
+        due = [e for node in entered for e in children.get(node, ())]
+        level += 1
+        if level > max_depth + 1:
+            break
+    return sorted(keys), nodes, deepest, too_deep
 
 
 def key_flags(keys: Column) -> Column:
@@ -106,6 +148,17 @@ def key_flags(keys: Column) -> Column:
     return F.struct(any_of(SCRIPT_KEYS).alias("has_scripts"), any_of(ATTACHMENT_KEYS).alias("has_attachments"))
 
 
+def page_axes(pages: DataFrame) -> DataFrame:
+    """(doc_id, axis_pt, first_bomb): the longest side of a document's page boxes, and the first page over the cap.
+
+    ``pages`` has doc_id, page_index and the boxes crop and media as arrays of
+    strings or numbers. A page's box is its crop box, else its media box; one with
+    fewer than four numbers is skipped. Partial maxima are combined before the shuffle.
+    """
+    sides = pages.select("doc_id", "page_index", box_axis(F.coalesce(F.when(F.size("crop") > 0, F.col("crop")), F.col("media"))).alias("axis"))
+    return sides.groupBy("doc_id").agg(F.max("axis").alias("axis_pt"), (F.min(F.when(F.col("axis") > AXIS_CAP_PT, F.col("page_index"))) + 1).alias("first_bomb"))
+
+
 def option_table(spark: SparkSession, profiles: dict[str, Options]) -> DataFrame:
     """Options that may differ by profile, one row each: a table to join."""
     rows = [
@@ -120,7 +173,7 @@ def policy_decision() -> Column:
     """The first gate that decides, over triage and option columns.
 
     Encryption without a password, a certifying signature, another signature,
-    pages, size, page axes; then inputs too small to bother with pass through.
+    pages, size, page axes (``axis_pt`` is the longest side of a page's box, see ``page_axes``); then inputs too small to bother with pass through.
     """
     mb = F.col("bytes") / MEBIBYTE
     plainly_signed = F.col("is_signed") & ~F.col("is_certified")

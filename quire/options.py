@@ -13,6 +13,7 @@ AXIS_CAP_PT = 14_400
 PIXEL_CAP = 715_827_882
 ANOMALY_RATIO = 200
 PAGES_PER_SPEC = 1_000_000
+DPI_RANGE = (1, 1200)
 MEMORY_FLOOR = 8 << 30
 MEMORY_CEILING = 16 << 30
 MEMORY_FACTOR = 16
@@ -39,9 +40,33 @@ EXIT_CODES = {
     "E-MEM-CAP": (18, "memory cap"),
     "E-HOST-RESOURCE": (19, "host resource"),
     "E-VERIFIER-FAIL": (20, "content drift"),
-    "E-ENGINE": (30, "engine error"),
+    "E-INPUT-NOT-PDF": (13, "no such format"),
+    "E-ENGINE-ERROR": (30, "engine error"),
+    "E-OCR-TIMEOUT": (30, "recognition timeout"),
+    "E-TIMEOUT-PER-PAGE": (30, "page timeout"),
+    "E-TIMEOUT-TOTAL": (30, "total timeout"),
     "E-USAGE": (40, "usage"),
 }
+#: Codes of warning lines.
+WARNING_CODES = (
+    "W-MAX-OUTPUT-MB-IMAGE-MODE",
+    "W-MAX-OUTPUT-MB-STDOUT",
+    "W-OUTPUT-FORMAT-EXTENSION-OVERRIDE",
+    "W-CHUNKS-EXCEED-CAP",
+    "W-STALE-CHUNK-FILES",
+    "W-SINGLE-CHUNK-OVERSIZE",
+    "W-VERIFIER-SKIPPED",
+    "W-VERIFIER-FAILED",
+    "W-IMAGE-EXPORT-PARTIAL-FAILURE",
+    "W-CHUNK-WRITE-PARTIAL-FAILURE",
+    "W-PASSTHROUGH-SIGNED",
+    "W-MEM-RSS-WATCHDOG",
+    "W-CAPS-UNAVAILABLE",
+    "W-CAPS-FAILED",
+    "W-WATCHDOG-DIED",
+)
+#: How a worker ends that its system stopped for its memory.
+MEMORY_KILLS = (-9, 137, 0xC0000044)
 
 
 def positive_float(raw: str) -> float:
@@ -79,7 +104,7 @@ def worker_setting(raw: str) -> int:
 
 
 def dpi_setting(raw: str) -> int:
-    return bounded_int(raw, 1, 1200)
+    return bounded_int(raw, *DPI_RANGE)
 
 
 def check_correlation_id(value: str) -> str:

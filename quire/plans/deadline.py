@@ -1,10 +1,12 @@
-"""Time limits on jobs."""
+"""Time limits on jobs, pages and recognitions."""
 
 from __future__ import annotations
 
+import signal
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark.sql import SparkSession
@@ -32,3 +34,26 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], Result]) ->
     finally:
         timer.cancel()
         context.removeJobTag(tag)
+
+
+@contextmanager
+def time_limit(seconds: float | None, code: str) -> Iterator[None]:
+    """Raise TimeoutError with ``code`` in the block once ``seconds`` pass.
+
+    For single pages or recognitions inside a Python worker, whose functions run on its main
+    thread; elsewhere, or without a limit, nothing is limited.
+    """
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_: object) -> None:
+        raise TimeoutError(f"{code}: not done within {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)

@@ -24,11 +24,6 @@ def environment_report(spark: SparkSession) -> DataFrame:
     return rows.withColumn("ok", meets_floor(F.col("version"), F.col("floor")))
 
 
-def worker_settings(memory_cap_bytes: int) -> dict[str, str]:
-    """Session settings that cap a Python worker's memory and its threads."""
-    return {"spark.executor.pyspark.memory": f"{max(1, memory_cap_bytes >> 20)}m", "spark.executorEnv.OMP_NUM_THREADS": "1", "spark.python.worker.reuse": "true"}
-
-
 def main() -> int:
     spark = SparkSession.builder.getOrCreate()
     rows = environment_report(spark)

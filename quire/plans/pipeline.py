@@ -14,7 +14,8 @@ def run(docs: DataFrame, pages: DataFrame, options: Options) -> DataFrame:
 
     ``docs`` has triage columns, ``profile`` apart; ``pages`` has doc_id,
     page_index, the byte columns, coverage, light, monochrome, output_bytes, the
-    texts and similarities of ``verify_pages`` and its colour flags. Pages are
+    texts and similarities of ``verify_pages`` and its colour flags; has_native,
+    decent and flate_fallback may be there too. Pages are
     dealt by document once; the gate, the counts and the verdicts reuse that.
     """
     decided = triage.apply_policy(docs.withColumn("profile", F.lit("all")), {"all": options})
@@ -31,16 +32,28 @@ def run(docs: DataFrame, pages: DataFrame, options: Options) -> DataFrame:
         }
     )
     shaped = shaped.withColumn("page_out", F.when(processed, F.col("output_bytes")).otherwise(F.col("page_in")))
+    for flag in ("has_native", "decent", "flate_fallback"):
+        if flag not in shaped.columns:
+            shaped = shaped.withColumn(flag, F.lit(None).cast("boolean"))
+    shaped = shaped.withColumns(
+        {
+            "has_color": ~F.col("monochrome"), "anomalous": strategy.is_anomalous(F.col("w"), F.col("h"), F.col("page_out"), F.col("strategy")),
+            "pixel_ratio": strategy.pixel_ratio(F.col("w"), F.col("h"), F.col("page_out")),
+        }
+    )
+    # at most a few short strings a page, and only of pages that are warned about
+    shaped = shaped.withColumn("warned", F.when(processed, report.page_warnings(options)))
+    listed = F.array_sort(F.collect_list(F.when(F.size("warned") > 0, F.struct("page_index", "warned"))))
     folded = shaped.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("page_count"), F.bool_and("whole_doc").alias("whole_doc"), F.count_if(F.col("route") == "verbatim").alias("verbatim"),
         *[F.count_if(F.col("strategy") == s).alias(s) for s in strategy.STRATEGIES],
-        F.count_if("demoted").alias("demoted"), F.sum("page_in").alias("input_bytes"), F.sum("page_out").alias("output_bytes"),
+        F.flatten(F.transform(listed, lambda x: x["warned"])).alias("page_warnings"), F.sum("page_in").alias("input_bytes"), F.sum("page_out").alias("output_bytes"),
     )
     finished = report.apply_ratio_floor(folded, options)
     if options.skip_verify:
         checked = verify.skipped_verdicts(folded).withColumnRenamed("status", "verifier").select("doc_id", "verifier", "failing_pages")
     else:
-        modes = shaped.filter(processed).withColumns({"mode": F.lit(options.mode), "anomalous": strategy.is_anomalous(F.col("w"), F.col("h"), F.col("page_out"), F.col("strategy"))})
+        modes = shaped.filter(processed).withColumn("mode", F.lit(options.mode))
         verdicts = verify.verify_pages(strategy.with_thresholds(modes))
         checked = verify.verify_documents(verdicts).withColumnRenamed("status", "verifier").select("doc_id", "verifier", "failing_pages")
     joined = decided.join(finished, "doc_id", "left").join(checked, "doc_id", "left")
@@ -66,5 +79,5 @@ def run(docs: DataFrame, pages: DataFrame, options: Options) -> DataFrame:
     return joined.withColumn("status", status).select(
         "doc_id", "status", "decision", "exit_code", "input_bytes", "output_bytes", F.round("ratio", 6).alias("ratio"), "page_count", *strategy.STRATEGIES,
         F.coalesce("verifier", F.lit("skipped")).alias("verifier"), F.array_join("failing_pages", ",").alias("failing_pages"),
-        triage.signature_outcome(F.col("is_signed"), F.col("is_certified"), options).alias("signature_state"), F.array_join(warnings, ",").alias("warnings"),
+        triage.signature_outcome(F.col("is_signed"), F.col("is_certified"), options).alias("signature_state"), F.array_join(F.concat(warnings, F.coalesce("page_warnings", F.array().cast("array<string>"))), ",").alias("warnings"),
     )

@@ -8,11 +8,18 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+from quire.plans.limits import with_worker_settings
+
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch on its way to Python: rows hold whole texts, so rows alone bound nothing.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application, for its Arrow functions."""
+    """Send the package to the executors once per application, for its Arrow functions, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -28,10 +35,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session with the settings the tests and the benchmark use."""
+def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", worker_memory: int = 0) -> SparkSession:
+    """A local session with the settings the tests and the benchmark use; Python workers may hold ``worker_memory`` bytes, if given."""
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        with_worker_settings(SparkSession.builder, worker_memory)
+        .master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")

@@ -23,7 +23,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of their source, with an output text that some pages change."""
+    """Documents as pages, a hundred ids of a source making one, with an output text that some pages change."""
     text, key = F.col("text"), F.col("doc_id")
     changed = (
         F.when(key % 7 == 0, F.translate(text, "6", "8"))
@@ -31,8 +31,10 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 13 == 0, F.substr(text, F.lit(1), F.floor(F.length(text) * 0.9).cast("int")))
         .otherwise(text)
     )
-    index = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), index.alias("page_index"), "doc_id", text.alias("input_text"), changed.alias("output_text"))
+    doc = F.concat(F.col("source"), F.lit("-"), F.floor(key / 100).cast("string"))
+    index = F.row_number().over(Window.partitionBy("doc").orderBy("doc_id")) - 1
+    rows = table(spark, sf_dir, "documents").select(doc.alias("doc"), "doc_id", text.alias("input_text"), changed.alias("output_text"))
+    return rows.select("doc", index.alias("page_index"), "doc_id", "input_text", "output_text")
 
 
 def rasters(spark: SparkSession, sf_dir: str, profiled: bool = True) -> DataFrame:
@@ -50,10 +52,11 @@ def rasters(spark: SparkSession, sf_dir: str, profiled: bool = True) -> DataFram
 
 
 def color_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three embeddings in a row as the channels of one raster."""
+    """Three embeddings in a row as the channels of one raster; the first stands for missing ones."""
     grey = rasters(spark, sf_dir)
     channel = lambda k, name: grey.filter(F.col("vec_id") % 3 == k).select((F.col("vec_id") - k).alias("vec_id"), F.col("px").alias(name))
-    return channel(0, "r").join(channel(1, "g"), "vec_id").join(channel(2, "b"), "vec_id").select("vec_id", F.lit(8).alias("w"), F.lit(8).alias("h"), "r", "g", "b")
+    rows = channel(0, "r").join(channel(1, "g"), "vec_id", "left").join(channel(2, "b"), "vec_id", "left")
+    return rows.select("vec_id", F.lit(8).alias("w"), F.lit(8).alias("h"), "r", F.coalesce("g", "r").alias("g"), F.coalesce("b", "r").alias("b"))
 
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quire.options import Options
+from quire.plans import pipeline
+
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -33,3 +36,12 @@ def run_batches(files: DataFrame, batch: Callable[[DataFrame], DataFrame], outpu
         batch(rows).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_reports(files: DataFrame, analyse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], options: Options, output: str, checkpoint: str) -> StreamingQuery:
+    """The whole batch plan over files as they come: a report row for every document (S3).
+
+    ``analyse`` makes the tables of documents and pages that ``pipeline.run`` reads of a batch of
+    files; it is where the native parser plugs in. A batch is read whole, processed and written once.
+    """
+    return run_batches(files, lambda rows: pipeline.run(*analyse(rows), options), output, checkpoint)

@@ -34,6 +34,43 @@ def test_size_mismatch():
         R.ssim_tile_min(a, np.zeros((12, 10)))
 
 
+def test_stacks_and_sizes():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 256, (2, 5, 12, 9))
+    assert np.allclose(R.ssim_global(a, b), [R.ssim_global(x, y) for x, y in zip(a, b, strict=True)])
+    assert np.allclose(R.ssim_tile_min(a, b), [R.ssim_tile_min(x, y) for x, y in zip(a, b, strict=True)])
+    double = np.kron(a[0], np.ones((2, 2)))
+    assert R.ssim_global(a[0], double) == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        R.ssim_tile_min(a[0], double)
+    rgb = rng.integers(0, 256, (3, 4, 5))
+    assert np.abs(R.gray(rgb) - np.tensordot([0.299, 0.587, 0.114], rgb, 1)).max() <= 0.6
+    big = np.zeros((3, 1030, 700))
+    big[0, :3, :3] = 255
+    assert R.thumbnail(big).shape == (3, 343, 233) and R.thumbnail(rgb) is rgb and R.thumbnail(big)[0, 0, 0] == 255 and R.is_monochrome(big)
+
+
+def test_columns_agree_with_kernels(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(40):
+        h, w = rng.integers(1, 12, 2)
+        px = rng.integers(0, 256, (3, h, w)) if i % 3 else np.full((3, h, w), 200 + i % 2 * 40)
+        rows.append((i, int(w), int(h), *[c.ravel().tolist() for c in px]))
+    table = spark.createDataFrame(rows, "i int, w int, h int, r array<int>, g array<int>, b array<int>")
+    r, g, b = (F.col(c) for c in "rgb")
+    made = table.select(
+        "i", R.gray_pixels(r, g, b).alias("gray"), R.paper_pixels(r, g, b).alias("paper"), R.ink_pixels(r, g, b, lambda p: p["g"] < 60).alias("ink"),
+        R.is_monochrome_spread(R.spread_pixels(r, g, b), 100, 0.3).alias("mono"), R.packed_hex(F.transform(r, lambda x: x < 96), F.col("w"), F.col("h")).alias("packed"),
+    )
+    for x, (_, w, h, *px) in zip(made.orderBy("i").collect(), rows, strict=True):
+        rgb = np.array(px).reshape(3, h, w)
+        assert x.gray == R.gray(rgb).ravel().tolist() and tuple(x.paper) == R.paper_color(rgb) and tuple(x.ink) == R.ink_color(rgb, rgb[1] < 60)
+        assert x.mono == R.is_monochrome(rgb, 100, 0.3) and x.packed == R.pack_bits(rgb[0] < 96).hex()
+
+
 def brute_component(mask):
     left, best = {tuple(p) for p in np.argwhere(mask)}, 0
     while left:

@@ -69,6 +69,11 @@ def test_redaction(spark):
     assert values(spark, [("abcd",)], "t string", T.redact_text(F.col("t")), T.redact_text(F.col("t"), 2)) == [("<redacted:4-chars>", "<redacted:2-chars>")]
 
 
+def test_composed_names(spark):
+    got = values(spark, [("e\u0301",), ("plain",), (None,), ("\u00e9",)], "t string", T.nfc(F.col("t")))
+    assert [g[0] for g in got] == ["\u00e9", "plain", None, "\u00e9"]
+
+
 def test_escape_order(spark):
     assert values(spark, [("a(b)\\",)], "t string", T.pdf_escape(F.col("t"))) == [("a\\(b\\)\\\\",)]
 

@@ -1,10 +1,8 @@
-"""Joins that hold up under skewed keys, and values that are computed once."""
+"""Joins that hold up under skewed keys."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a small side is broadcast.
@@ -44,18 +42,3 @@ def counted_join(large: DataFrame, classes: DataFrame, on: list[str], share: int
     few = large.join(F.broadcast(common), on)
     rest = large.join(F.broadcast(common.select(*on)), on, "left_anti").join(classes.filter(F.col("n") <= total // share).hint("merge"), on)
     return few.unionByName(rest)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``df`` with more columns, each computed once a row.
-
-    Plain projections may be merged into whatever uses them, so that a later
-    filter would compute an array again for every element of a lambda that reads
-    it. What a generator returns can't be.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

@@ -29,7 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.joins import counted_join, let, staged
+from quire.functions.columns import let, staged
+from quire.llm.joins import counted_join
 from quire.llm.storage import materialize
 
 MIN_WORDS = 10

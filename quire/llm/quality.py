@@ -2,7 +2,7 @@
 
 Every measure is a built-in expression on the row's own text, so the operator
 reads, projects and returns without a shuffle, a generator or a user function.
-What several measures need is bound once (``joins.let``).
+What several measures need is bound once (``let``).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.joins import let
+from quire.functions.columns import let
 from quire.llm.mixing import SPACES
 
 #: Characters that count as symbols.

@@ -1,57 +1,5 @@
-"""Tables that cut lineage, kept in the folder the cluster shares.
+"""Tables that cut lineage; see ``quire.storage``."""
 
-``spark.checkpoint.dir`` names that folder. It is read from the session; only a
-local session without the setting gets a folder of its own, because there the
-driver and the executors are one process.
-"""
+from quire.storage import drop_table, materialize, new_path, shared_root
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_local_root: str | None = None
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder's URI, without a trailing slash."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    global _local_root
-    if _local_root is None:
-        _local_root = "file://" + tempfile.mkdtemp(prefix="quire-")
-    return _local_root
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared root, removed when the application ends."""
-    path = f"{shared_root(spark)}/quire/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    The result survives lost executors, is computed once however often it is
-    used, and has a known size, so the planner can choose joins from figures.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+__all__ = ["drop_table", "materialize", "new_path", "shared_root"]

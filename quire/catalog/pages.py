@@ -10,7 +10,8 @@ from quire.functions import geometry, naming
 from quire.functions import text as T
 from quire.operators import chunking, gate, images, triage, words
 from quire.operators import pages as page_ops
-from quire.options import EXIT_CODES, WARNING_CODES, Options, parse_pages
+from quire.options import CODECS, EXIT_CODES, MODES, WARNING_CODES, Options, parse_pages
+from quire.plans import limits
 from quire.sources import bindings as B
 from quire.storage import new_path
 
@@ -443,3 +444,55 @@ def image_export(spark, sf_dir):
     planned = images.plan_images(sized.select(F.col("doc_id").cast("long").alias("doc_id"), "page_index", "width_pt", "height_pt"), "png", 150)
     made = images.export_images(planned, sized.filter(v % 11 != 0))
     return made.select("doc_id", "page_index", "page_no", "name", "width_px", "height_px", "error_code", (F.coalesce("image_bytes", F.lit(0)) > 0).alias("encoded"), "error")
+
+
+@query("""
+    WITH g AS (SELECT event_id AS page_id, CAST(user_id AS INTEGER) AS i, event_type, value, event_id % 5 AS k FROM events)
+    SELECT page_id, i, CASE WHEN k <> 0 THEN event_type END AS font_name, CASE WHEN k NOT IN (1, 2) THEN CAST(page_id % 7 + 1 AS INTEGER) END AS font_flags, CASE WHEN k <> 3 AND round(value - 10, 4) > 0 THEN round(value - 10, 4) END AS font_size_pt,
+           CASE WHEN k <> 4 THEN CAST(400 + page_id % 3 * 100 AS INTEGER) END AS font_weight, CASE WHEN k NOT IN (2, 3) THEN CAST(page_id % 256 AS VARCHAR) || ',0,255' END AS color, CASE WHEN k <> 1 THEN round((792 - page_id % 800) * 2.5, 6) END AS baseline_y
+    FROM g
+""")
+def glyph_styles(spark, sf_dir):
+    """Events as probed glyphs; every fifth of a kind has one field that can't be read."""
+    e, k = F.col("event_id"), F.col("event_id") % 5
+    zero = F.lit(0.0)
+    matrix = F.array(F.lit(1.0), zero, zero, F.lit(1.0), zero, (e % 800).cast("double"))
+    fill = F.array((e % 256).cast("int"), F.lit(0), F.lit(255), F.lit(255))
+    probes = B.table(spark, sf_dir, "events").select(
+        e.alias("page_id"), F.col("user_id").cast("int").alias("i"), F.when(k == 0, "").otherwise(F.col("event_type")).alias("font"), F.when(k == 1, "0").when(k == 2, "x").otherwise((e % 7 + 1).cast("string")).alias("flags"),
+        F.when(k == 3, "none").otherwise(F.round(F.col("value") - 10, 4).cast("string")).alias("size"), F.when(k == 4, "-1").otherwise((400 + e % 3 * 100).cast("string")).alias("weight"),
+        F.when(k == 2, F.slice(fill, 1, 2)).when(k != 3, fill).alias("fill"), F.when(k != 1, matrix).alias("matrix"),
+    )
+    found = words.glyph_styles(probes, F.lit(792.0), F.lit(2.5)).select("page_id", "i", "style.*")
+    return found.withColumns({"color": F.array_join(F.transform("color", lambda x: x.cast("string")), ","), "baseline_y": F.round("baseline_y", 6)})
+
+
+@query("""
+    SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 19 = 0 THEN 'certified-invalidated-allowed' WHEN c_custkey % 7 = 0 THEN 'invalidated-allowed' ELSE 'none' END AS allowed,
+           CASE WHEN c_custkey % 19 = 0 OR c_custkey % 7 = 0 THEN 'invalidated-allowed' ELSE 'none' END AS signed_only, 'none' AS neither FROM customer
+""")
+def signature_outcome(spark, sf_dir):
+    made = lambda **o: triage.signature_outcome(F.col("is_signed"), F.col("is_certified"), Options(**o))
+    both = made(allow_signed_invalidation=True, allow_certified_invalidation=True)
+    return B.triage_flags(spark, sf_dir).select("doc_id", both.alias("allowed"), made(allow_signed_invalidation=True).alias("signed_only"), made().alias("neither"))
+
+
+@query("""
+    SELECT m.mode, c.codec, f.forced, CASE WHEN m.mode = 'fast' THEN 200 ELSE 300 END AS source_dpi, CASE WHEN m.mode = 'fast' THEN 'jpeg' ELSE c.codec END AS used_codec,
+           CASE WHEN m.mode = 'fast' AND c.codec = 'jpeg2000' THEN 'jpeg2000-demoted-to-jpeg-in-fast-mode' ELSE '' END AS warnings, f.forced <> 'nothing' AS all_pages
+    FROM (SELECT unnest(['fast', 'standard', 'safe']) AS mode) m, (SELECT unnest(['jpeg', 'jpeg2000']) AS codec) c, (SELECT unnest(['nothing', 're_ocr', 'strip_text_layer', 'legal_codec_profile', 'verify']) AS forced) f
+""")
+def option_effects(spark, sf_dir):
+    """What options lead to: resolution, codec and its warnings, and whether every page is processed."""
+    forced = {"nothing": {}, "re_ocr": {"re_ocr": True}, "strip_text_layer": {"strip_text_layer": True}, "legal_codec_profile": {"legal_codec_profile": "x"}, "verify": {"skip_verify": False}}
+    made = [(m, c, f, Options(mode=m, bg_codec=c, **extra)) for m in MODES for c in CODECS for f, extra in forced.items()]
+    rows = [(m, c, f, o.source_dpi, o.effective_codec[0], ",".join(o.effective_codec[1]), o.forces_all_pages) for m, c, f, o in made]
+    return spark.createDataFrame(rows, "mode string, codec string, forced string, source_dpi int, used_codec string, warnings string, all_pages boolean")
+
+
+@query("""
+    SELECT p_partkey, greatest(1, least(CASE WHEN p_size % 9 = 0 THEN 7 ELSE p_size % 9 END, greatest(1, p_partkey % 6))) AS eight, greatest(1, least(CASE WHEN p_size % 9 = 0 THEN 1 ELSE p_size % 9 END, greatest(1, p_partkey % 6))) AS one FROM part
+""")
+def worker_counts(spark, sf_dir):
+    setting, pages = (F.col("p_size") % 9).cast("long"), F.col("p_partkey") % 6
+    return B.table(spark, sf_dir, "part").select("p_partkey", limits.worker_count(setting, pages, F.lit(8)).alias("eight"), limits.worker_count(setting, pages, F.lit(1)).alias("one"))

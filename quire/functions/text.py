@@ -212,6 +212,32 @@ def failing_pages_display(ids: Column, inline: int = 10) -> Column:
     return F.when(F.size(ids) <= inline, F.concat(F.lit("pages "), listed(ids))).otherwise(ends)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A double with ``digits`` decimals, its binary value rounded, ties to even.
+
+    ``format_string`` rounds the shortest decimal that names the double, halves
+    up, which differs for 5.005 or 0.125. Here the fraction is cut in two parts whose
+    products with the power of ten are exact, so the comparison with a half is too.
+    """
+    scale = float(10**digits)
+
+    def rounded(x: Column) -> Column:
+        whole = F.floor(x["v"])
+        fraction = x["v"] - whole
+        high = F.floor(fraction * float(1 << 26)) / float(1 << 26)
+        low = fraction - high
+        return F.struct(whole.alias("whole"), F.floor(high * scale).alias("part"), (high * scale - F.floor(high * scale) - 0.5 + low * scale).alias("over"), x["negative"].alias("negative"))
+
+    def written(x: Column) -> Column:
+        up = (x["over"] > 0) | (x["over"] == 0) & (x["part"] % 2 == 1)
+        total = x["whole"] * int(scale) + x["part"] + F.when(up, 1).otherwise(0)
+        whole = F.concat(F.when(x["negative"], "-").otherwise(""), F.floor(total / F.lit(int(scale))).cast("string"))
+        return F.concat(whole, F.lit("."), F.lpad((total % int(scale)).cast("string"), digits, "0"))
+
+    doubled = value.cast("double")
+    return let(F.struct(F.abs(doubled).alias("v"), (doubled < 0).alias("negative")), lambda x: let(rounded(x), written))
+
+
 def pdf_escape(text: Column) -> Column:
     """Backslashes and parentheses escaped, backslashes first."""
     for char in ("\\", "(", ")"):
@@ -230,9 +256,9 @@ def text_operators(text: Column, x: Column, y: Column, w: Column, h: Column, ras
     scale = (w * sx) / F.greatest(F.lit(0.5) * F.length(text) * size, F.lit(1e-3)) * 100
     lines = F.concat_ws(
         "\n",
-        F.concat(F.lit("/F-Invisible "), F.format_string("%.3f", size), F.lit(" Tf")),
-        F.concat(F.format_string("%.2f", scale), F.lit(" Tz")),
-        F.concat(F.lit("1 0 0 1 "), F.format_string("%.3f %.3f", x * sx, page_h - (y + h) * sy), F.lit(" Tm")),
+        F.concat(F.lit("/F-Invisible "), fixed(size, 3), F.lit(" Tf")),
+        F.concat(fixed(scale, 2), F.lit(" Tz")),
+        F.concat(F.lit("1 0 0 1 "), fixed(x * sx, 3), F.lit(" "), fixed(page_h - (y + h) * sy, 3), F.lit(" Tm")),
         F.concat(F.lit("("), pdf_escape(text), F.lit(") Tj")),
     )
     return F.when((F.trim(text) != "") & (w > 0) & (h > 0), fold_ascii(lines))
@@ -262,7 +288,7 @@ def report_line(input_bytes: Column, output_bytes: Column, ratio: Column, pages:
     tail = F.when(warnings > 0, F.format_string(" warnings=%d", warnings)).otherwise("")
     return F.concat(
         F.lit("ok  "), F.format_number(input_bytes, 0), F.lit(" -> "), F.format_number(output_bytes, 0),
-        F.format_string(" bytes (%.1f%%, ratio %.2fx, %d pages, %d ms) verifier=%s", percent, ratio, pages, wall_ms, status), tail,
+        F.lit(" bytes ("), fixed(percent, 1), F.lit("%, ratio "), fixed(ratio, 2), F.format_string("x, %d pages, %d ms) verifier=%s", pages, wall_ms, status), tail,
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import fixed
 from quire.options import HOST_SHARE, MEBIBYTE, MEMORY_CEILING, MEMORY_FACTOR, MEMORY_FLOOR, WARNING_CODES, Options
 from quire.storage import materialize
 
@@ -85,7 +86,7 @@ def totals_table(runs: DataFrame) -> DataFrame:
     number = lambda c: F.format_number(c, 0)
     cell = lambda *parts: F.concat(F.lit("| "), *[x for p in parts for x in (p, F.lit(" | "))][:-1], F.lit(" |"))
     dash = F.lit("\u2014")
-    done = cell(F.col("label"), number(F.col("input_bytes")), number(F.col("output_bytes")), F.format_string("%.2fx", ratio(F.col("input_bytes"), F.col("output_bytes"))), F.col("pages").cast("string"), F.col("wall_ms").cast("string"), F.col("verifier"))
+    done = cell(F.col("label"), number(F.col("input_bytes")), number(F.col("output_bytes")), F.concat(fixed(ratio(F.col("input_bytes"), F.col("output_bytes")), 2), F.lit("x")), F.col("pages").cast("string"), F.col("wall_ms").cast("string"), F.col("verifier"))
     shout = lambda word: F.concat(F.lit(word), F.col("reason"))
     failed = lambda text: cell(F.col("label"), number(F.col("input_bytes")), dash, dash, dash, dash, text)
     line = F.when(F.col("status") == "ok", done).when(F.col("status") == "refused", failed(shout("REFUSED: "))).otherwise(failed(F.concat(F.lit("*** CRASH: "), F.col("reason"), F.lit(" ***"))))
@@ -93,7 +94,7 @@ def totals_table(runs: DataFrame) -> DataFrame:
     of = lambda s, c: F.coalesce(F.sum(F.when(F.col("status") == s, F.col(c))), F.lit(0))
     sums = runs.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "refused", "crashed")], of("ok", "input_bytes").alias("i"), of("ok", "output_bytes").alias("o"))
     bold = lambda c: F.concat(F.lit("**"), c, F.lit("**"))
-    total = cell(bold(F.format_string("TOTAL (%d ok, %d refused)", F.col("ok"), F.col("refused"))), bold(number(F.col("i"))), bold(number(F.col("o"))), bold(F.format_string("%.2fx", ratio(F.col("i"), F.col("o")))), dash, dash, dash)
+    total = cell(bold(F.format_string("TOTAL (%d ok, %d refused)", F.col("ok"), F.col("refused"))), bold(number(F.col("i"))), bold(number(F.col("o"))), bold(F.concat(fixed(ratio(F.col("i"), F.col("o")), 2), F.lit("x"))), dash, dash, dash)
     crashes = F.format_string("%d runs crashed; totals left out", F.col("crashed"))
     last = sums.filter("crashed > 0 OR i > 0").select(F.lit(1).alias("position"), F.lit("").alias("label"), F.when(F.col("crashed") > 0, crashes).otherwise(total).alias("line"))
     return body.unionByName(last)

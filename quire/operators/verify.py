@@ -85,9 +85,9 @@ def failure_summary() -> Column:
         "\n",
         F.format_string("%d/%d pages failed the verifier:", failing, F.col("pages")),
         F.when(F.col("digit_mismatches") > 0, F.format_string("  - %d pages: numbers changed", F.col("digit_mismatches"))),
-        F.when(F.col("ocr_levenshtein") > LEVENSHTEIN_CEILING["standard"], F.format_string("  - text edit distance up to %.2f%%", F.col("ocr_levenshtein") * 100)),
-        F.when(F.col("ssim_global") < SSIM_FLOOR, F.format_string("  - least global similarity %.4f", F.col("ssim_global"))),
-        F.when((F.col("ssim_min_tile") < TILE_FLOOR["standard"]) & (F.col("ssim_min_tile") > -1), F.format_string("  - least tile similarity %.4f", F.col("ssim_min_tile"))),
+        F.when(F.col("ocr_levenshtein") > LEVENSHTEIN_CEILING["standard"], F.concat(F.lit("  - text edit distance up to "), T.fixed(F.col("ocr_levenshtein") * 100, 2), F.lit("%"))),
+        F.when(F.col("ssim_global") < SSIM_FLOOR, F.concat(F.lit("  - least global similarity "), T.fixed(F.col("ssim_global"), 4))),
+        F.when((F.col("ssim_min_tile") < TILE_FLOOR["standard"]) & (F.col("ssim_min_tile") > -1), F.concat(F.lit("  - least tile similarity "), T.fixed(F.col("ssim_min_tile"), 4))),
         F.when(F.col("color_losses") > 0, F.format_string("  - %d pages: colour lost", F.col("color_losses"))),
     )
     return F.when(failing == 0, "").otherwise(lines)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.schemas import GLYPH_PROBES, conforming
+
 #: A baseline jump or a gap beyond these shares of the height breaks a word.
 LINE_FACTOR = 0.5
 GAP_FACTOR = 0.6
@@ -36,6 +38,22 @@ def words(glyphs: DataFrame, line: float = LINE_FACTOR, gap: float = GAP_FACTOR,
     return made.withColumn("word_no", number).drop("__island")
 
 
+def glyph_styles(probes: DataFrame, page_height: Column, sy: Column) -> DataFrame:
+    """(page_id, i, style): what is known of each glyph's look, field by field.
+
+    ``probes`` has ``GLYPH_PROBES``, what a native text layer says of a glyph, unread. Fields don't depend on one
+    another: an empty name, a number that isn't one or isn't above 0, fewer than three colours or a matrix without its six
+    numbers make that field null and no other. The baseline is counted in pixels from the top.
+    """
+    above = lambda c, kind: F.when(F.col(c).try_cast(kind) > 0, F.col(c).try_cast(kind))
+    known = ~F.exists(F.slice("fill", 1, 3), lambda x: x.isNull()) & (F.size("fill") >= 3)
+    style = F.struct(
+        F.nullif(F.col("font"), F.lit("")).alias("font_name"), F.nullif(F.col("flags").try_cast("int"), F.lit(0)).alias("font_flags"), above("size", "double").alias("font_size_pt"), above("weight", "int").alias("font_weight"),
+        F.when(known, F.slice("fill", 1, 3)).alias("color"), ((page_height - F.when(F.size("matrix") >= 6, F.get("matrix", F.lit(5)))) * sy).alias("baseline_y"),
+    )
+    return conforming(probes, GLYPH_PROBES).select("page_id", "i", style.alias("style"))
+
+
 def recognized(boxes: DataFrame) -> DataFrame:
     """OCR boxes without blank ones, confidence -1 where unreadable, else within 0 to 100."""
     confidence = F.col("confidence").try_cast("double")

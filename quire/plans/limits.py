@@ -27,6 +27,12 @@ def with_worker_settings(builder: SparkSession.Builder, memory_cap_bytes: int =
     return builder
 
 
+def worker_count(setting: Column, pages: Column, cpus: Column) -> Column:
+    """``options.worker_count`` over columns: 0 means one less than the processors; never more than pages, never below 1."""
+    wanted = F.when(setting == 0, F.greatest(F.lit(1), cpus - 1)).otherwise(setting)
+    return F.greatest(F.lit(1), F.least(wanted, F.greatest(F.lit(1), pages)))
+
+
 def resident_bytes() -> int:
     """Memory that this process holds; 0 where the system doesn't say."""
     try:
@@ -52,6 +58,33 @@ def watched(function: Callable[[Iterable[Any]], Iterator[Any]], cap_bytes: int)
     return run
 
 
+def tidy(function: Callable[[Iterable[Any]], Iterator[Any]]) -> Callable[[Iterable[Any]], Iterator[Any]]:
+    """An Arrow function whose worker gives freed memory back to the system when a task ends, as workers outlive tasks."""
+
+    def run(batches: Iterable[Any]) -> Iterator[Any]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    """Give freed memory back to the system, as far as its libraries allow."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def death_code(exit_code: Column, cap_exceeded: Column) -> Column:
     """The error code of a worker that ended: its memory, its own failure, or none."""
     killed = F.coalesce(cap_exceeded, F.lit(False)) | F.coalesce(exit_code.isin(*MEMORY_KILLS), F.lit(False))

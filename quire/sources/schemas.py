@@ -22,7 +22,7 @@ PAGE_BOXES = "doc_id long, page_index int, crop array<string>, media array<strin
 PAGE_RASTERS = "doc_id long, page_index int, w int, h int, r array<int>, g array<int>, b array<int>"
 OCR_BOXES = "page_id long, word_no long, text string, confidence string"
 ENCODED = "doc_id long, page_index int, codec string, image binary, error string"
-GLYPH_STYLES = "page_id long, i int, font string, size double, weight int, italic boolean, color string"
+GLYPH_PROBES = "page_id long, i int, font string, flags string, size string, weight string, fill array<int>, matrix array<double>"
 
 
 def conforming(df: DataFrame, schema: str) -> DataFrame:

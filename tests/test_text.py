@@ -74,6 +74,15 @@ def test_composed_names(spark):
     assert [g[0] for g in got] == ["\u00e9", "plain", None, "\u00e9"]
 
 
+def test_fixed_decimals(spark):
+    import random
+
+    r = random.Random(8)
+    found = [5.005, 0.125, 2.675, -0.125, 0.0, 1e9 + 0.5, 78.125, 65.625, 0.9995, 99.995, -3.999999] + [r.uniform(-1000, 1000) for _ in range(2000)] + [r.randrange(-9999, 9999) / 64 for _ in range(1000)]
+    got = values(spark, [(x,) for x in found], "x double", *[T.fixed(F.col("x"), n) for n in (1, 2, 3, 4)])
+    assert got == [tuple(f"{x:.{n}f}" for n in (1, 2, 3, 4)) for x in found]
+
+
 def test_escape_order(spark):
     assert values(spark, [("a(b)\\",)], "t string", T.pdf_escape(F.col("t"))) == [("a\\(b\\)\\\\",)]
 

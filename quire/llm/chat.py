@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.storage import materialize
+from quire.plans.limits import tidy
 
 #: JSON Schema types and the Python types of parsed values.
 TYPES = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None)}
@@ -214,7 +215,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             columns = [pa.array(slot, pa.int32()), *(pa.array(x, pa.string()) for x in (kind, call_id, status, body))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), *columns], ["conv_id", "turn", "slot", "kind", "call_id", "status", "json"])
 
-    made = rows.mapInArrow(parse, f"conv_id {conv_type}, turn long, slot int, kind string, call_id string, status string, json string")
+    made = rows.mapInArrow(tidy(parse), f"conv_id {conv_type}, turn long, slot int, kind string, call_id string, status string, json string")
     known = materialize(made, "chat-rows")
     place = F.struct("turn", "slot")
     first = known.filter("call_id IS NOT NULL").groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("k")).agg(

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.tokens import byte_batches
+from quire.plans.limits import tidy
 
 DIMENSIONS = 1024
 NGRAM = 3
@@ -174,7 +175,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} different values")
-    partial = rows.mapInArrow(bundle, "lang string, profile array<long>")
+    partial = rows.mapInArrow(tidy(bundle), "lang string, profile array<long>")
     total = partial.select("lang", F.posexplode("profile").alias("at", "value")).groupBy("lang", "at").agg(F.sum("value").alias("value"))
     prototypes: dict[str, list[int]] = {}
     for row in total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("profile")).collect():
@@ -223,4 +224,4 @@ def identify(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str =
                     langs[first + i], scores[first + i] = names[best[i]], min(1.0, max(0.0, float(cosines[i, best[i]])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return rest.mapInArrow(judge, schema)
+    return rest.mapInArrow(tidy(judge), schema)

@@ -90,9 +90,12 @@ def _copies(lines: DataFrame) -> DataFrame:
 
 
 def _levels(places: DataFrame) -> list[DataFrame]:
-    """Round k's table (key, id, i, rank, first): suffixes whose first 2^k lines stand elsewhere too."""
+    """Round k's table (key, id, i, rank, first): suffixes whose first 2^k lines stand elsewhere too.
+
+    The first round's also has each line's ``at`` and ``words``.
+    """
     classes = _classes(places, ["line"], "line-ranks")
-    levels = [materialize(counted_join(places, classes, ["line"]).select("key", "id", "i", "rank", "first"), "line-level")]
+    levels = [materialize(counted_join(places, classes, ["line"]).select("key", "id", "i", "rank", "first", "at", "words"), "line-level")]
     order, size = Window.partitionBy("key").orderBy("i"), 1
     while True:
         # a repeated run of twice the size has only repeated runs inside, so no row between is missing
@@ -124,19 +127,17 @@ def _runs(levels: list[DataFrame], later: DataFrame, least: int) -> DataFrame:
     before = F.lag(F.struct("i", "first"), 1).over(Window.partitionBy("key").orderBy("i"))
     goes_on = (F.col("before.i") == F.col("i") - 1) & (F.col("before.first.key") == F.col("first.key")) & (F.col("before.first.i") == F.col("first.i") - 1)
     starts = later.withColumn("before", before).filter(~F.coalesce(goes_on, F.lit(False)) & (F.col("top") >= least))
-    runs = materialize(starts.select("key", "id", "i", "top", "first", F.call_function("shiftleft", F.lit(1), F.col("top")).alias("n_lines")), "line-runs")
+    runs = starts.select("key", "id", "i", "top", "first", F.call_function("shiftleft", F.lit(1), F.col("top")).alias("n_lines"))
     for k in reversed(range(len(levels) - 1)):
         # both go on by 2^k lines where the suffixes behind the common lines have one rank
         ranks = levels[k].select("key", "i", "rank")
         here = ranks.select(F.col("key").alias("k1"), F.col("i").alias("i1"), F.col("rank").alias("r1"))
         there = ranks.select(F.col("key").alias("k2"), F.col("i").alias("i2"), F.col("rank").alias("r2"))
-        due = runs.filter(F.col("top") > k)
-        both = due.join(here, (F.col("key") == F.col("k1")) & (F.col("i") + F.col("n_lines") == F.col("i1"))).join(
-            there, (F.col("first.key") == F.col("k2")) & (F.col("first.i") + F.col("n_lines") == F.col("i2")) & (F.col("r1") == F.col("r2"))
-        )
-        longer = both.select("key", "i", F.lit(1 << k).alias("more"))
-        runs = materialize(runs.join(longer, ["key", "i"], "left").withColumn("n_lines", F.col("n_lines") + F.coalesce("more", F.lit(0))).drop("more"), "line-runs")
-    return runs.select("key", "id", "i", "n_lines", "first")
+        behind = runs.join(here, (F.col("top") > k) & (F.col("key") == F.col("k1")) & (F.col("i") + F.col("n_lines") == F.col("i1")), "left")
+        both = behind.join(there, (F.col("first.key") == F.col("k2")) & (F.col("first.i") + F.col("n_lines") == F.col("i2")) & (F.col("r1") == F.col("r2")), "left")
+        longer = F.col("n_lines") + F.when(F.col("r2").isNotNull(), 1 << k).otherwise(0)
+        runs = both.select("key", "id", "i", "top", "first", longer.alias("n_lines"))
+    return materialize(runs.select("key", "id", "i", "n_lines", "first"), "line-runs")
 
 
 def _windows(places: DataFrame, min_words: int) -> DataFrame:
@@ -166,9 +167,9 @@ def _windows(places: DataFrame, min_words: int) -> DataFrame:
     return both.select("key", F.inline(F.array_distinct(F.filter(runs, lambda r: r["depth"].isNotNull())))).distinct()
 
 
-def _short_copies(levels: list[DataFrame], later: DataFrame, places: DataFrame, min_words: int, long: int) -> DataFrame:
+def _short_copies(levels: list[DataFrame], later: DataFrame, min_words: int, long: int) -> DataFrame:
     """(key, i, n_lines): shortest runs with enough words that stand earlier, where no run of 2^long lines does."""
-    windows = materialize(_windows(places, min_words), "line-windows")
+    windows = materialize(_windows(levels[0], min_words), "line-windows")
     found = []
     for k in range(min(long, len(levels) - 1) + 1):
         size, level = 1 << k, levels[k]
@@ -190,15 +191,18 @@ def _short_copies(levels: list[DataFrame], later: DataFrame, places: DataFrame,
     return copies.select("key", "i", F.col("depth").alias("n_lines"))
 
 
-def _array(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame], DataFrame]:
-    """(lines, copies, places, levels, later) of the documents."""
+def _array(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """(copies, levels, later) of the documents."""
     lines = materialize(_lines(docs, id_col, text_col), "lines")
     copies = _copies(lines)
+    originals = lines.join(copies.select("key"), "key", "left_anti").select("key", "id", "i", "at", "line", "words")
     # rows that repeat id and text are one document
-    originals = lines.join(copies.select("key"), "key", "left_anti").select("key", "id", "i", "at", "line", "words").dropDuplicates(["key", "i"])
-    places = materialize(originals, "line-places")
-    levels = _levels(places)
-    return lines, copies, places, levels, _later(levels)
+    twice = materialize(lines.filter("i = 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "line-repeats")
+    if not twice.isEmpty():
+        once = originals.join(twice, "key", "left_semi").dropDuplicates(["key", "i"])
+        originals = originals.join(twice, "key", "left_anti").unionByName(once)
+    levels = _levels(materialize(originals, "line-places"))
+    return copies, levels, _later(levels)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,10 +215,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     texts have no lines, rows that repeat id and text are one document, and an
     empty table gives an empty result.
     """
-    _, copies, places, levels, later = _array(docs, id_col, text_col)
+    copies, levels, later = _array(docs, id_col, text_col)
     runs = _runs(levels, later, 0)
     upto = F.sum("words").over(Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sums = materialize(places.join(levels[0].select("key", "i"), ["key", "i"], "left_semi").select("key", "i", "words", upto.alias("upto")), "line-sums")
+    sums = materialize(levels[0].select("key", "i", "words", upto.alias("upto")), "line-sums")
     begin = sums.select("key", "i", (F.col("upto") - F.col("words")).alias("before"))
     end = sums.select("key", (F.col("i") + 1).alias("stop"), "upto")
     counted = runs.join(begin, ["key", "i"]).withColumn("stop", F.col("i") + F.col("n_lines")).join(end, ["key", "stop"])
@@ -229,12 +233,12 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
 
     Documents without any are absent.
     """
-    _, copies, places, levels, later = _array(docs, id_col, text_col)
+    copies, levels, later = _array(docs, id_col, text_col)
     # 2^long lines hold enough words whatever they are
     long = max(0, (min_words - 1).bit_length())
-    spans = _short_copies(levels, later, places, min_words, long).unionByName(_runs(levels, later, long).select("key", "i", "n_lines"))
+    spans = _short_copies(levels, later, min_words, long).unionByName(_runs(levels, later, long).select("key", "i", "n_lines"))
     covered = spans.select("key", F.explode(F.sequence("i", F.col("i") + F.col("n_lines") - 1)).alias("i")).distinct()
-    parts = covered.join(places.select("key", "i", "at"), ["key", "i"]).groupBy("key").agg(F.collect_set("at").alias("lines"))
+    parts = covered.join(levels[0].select("key", "i", "at"), ["key", "i"]).groupBy("key").agg(F.collect_set("at").alias("lines"))
     whole = copies.filter(F.col("total") >= min_words).select("key", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("lines"))
     return parts.select("key", F.lit(False).alias("whole"), "lines").unionByName(whole)
 

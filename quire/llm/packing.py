@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.storage import materialize
 from quire.llm.tokens import PieceEncoder, byte_batches, encode_words, tokenizer_path
+from quire.plans.limits import tidy
 
 
 @dataclass(frozen=True)
@@ -108,7 +109,7 @@ def cut_tokens(docs: DataFrame, capacity: int, tokenizer: str | None = None, end
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(cut, f"doc_id {id_type}, piece int, start long, length long, ids binary")
+    return source.mapInArrow(tidy(cut), f"doc_id {id_type}, piece int, start long, length long, ids binary")
 
 
 def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFrame:

@@ -2,7 +2,7 @@
 
 Two searches share one way to link. ``near_duplicates`` links 64-bit fingerprints
 within a Hamming distance and finds every such pair. ``similar_documents`` links
-texts whose shingle sets have a Jaccard similarity; its 192-bit fingerprints bring
+texts whose shingle sets have a Jaccard similarity; its 256-bit fingerprints bring
 up candidates, which are then compared exactly.
 
 Both cut a fingerprint into segments and list each fingerprint under the values of
@@ -23,20 +23,21 @@ from pyspark.sql import functions as F
 from quire.llm.components import components
 from quire.llm.storage import drop_table, materialize
 from quire.llm.tokens import byte_batches
+from quire.plans.limits import tidy
 
 BITS = 64
 #: Shingles hashed and summed at once, and bytes cut to words at once, so that a text of any length needs little memory.
 BLOCK = 1 << 16
 TEXT_BLOCK = 1 << 20
 
-#: Fingerprints of similar documents: lanes of 64 bits, cut to segments, and the
-#: bits of a segment that its ball turns over, those that hung by the least.
-LANES = 3
-SEGMENTS = 8
-SEGMENT_BITS = BITS * LANES // SEGMENTS
-SOFT_BITS = 5
-#: Differing bits of 192 up to which two texts are compared.
-DISTANCE = 34
+#: Fingerprints of similar documents: lanes of 64 bits, segments cut from them, and
+#: the bits of a segment that its ball turns over, those that hung by the least.
+LANES = 4
+SEGMENTS = 9
+SEGMENT_BITS = 26
+SOFT_BITS = 6
+#: Differing bits of 256 up to which two texts are compared.
+DISTANCE = 48
 
 _SPACE = re.compile(rb"[ \t-\r]")
 
@@ -97,7 +98,7 @@ def fingerprints(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(hashed, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(tidy(hashed), f"id {source.schema['id'].dataType.simpleString()}, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -309,7 +310,7 @@ def segment_keys(votes):
     import numpy as np
 
     power = 1 << np.arange(SEGMENT_BITS)
-    cut = votes.reshape(-1, SEGMENTS, SEGMENT_BITS)
+    cut = votes[:, : SEGMENTS * SEGMENT_BITS].reshape(-1, SEGMENTS, SEGMENT_BITS)
     values = (cut > 0) @ power
     soft = np.argsort(np.abs(cut), axis=2, kind="stable")[:, :, :SOFT_BITS]
     number = np.arange(SEGMENTS) << SEGMENT_BITS
@@ -318,7 +319,7 @@ def segment_keys(votes):
 
 
 def sketches(rows: DataFrame, width: int) -> DataFrame:
-    """(digest, f0, f1, f2, keys) of ``rows`` (digest, text as binary): fingerprint and listed values."""
+    """(digest, f0 and so on, keys) of ``rows`` (digest, text as binary): fingerprint and listed values."""
 
     def made(batches):
         import numpy as np
@@ -335,7 +336,7 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(np.ascontiguousarray(lanes[:, k])) for k in range(LANES)), lists], ["digest", *_FP, "keys"])
 
-    return rows.select("digest", "text").mapInArrow(made, f"digest binary, {', '.join(f'{c} long' for c in _FP)}, keys array<int>")
+    return rows.select("digest", "text").mapInArrow(tidy(made), f"digest binary, {', '.join(f'{c} long' for c in _FP)}, keys array<int>")
 
 
 _FP = [f"f{k}" for k in range(LANES)]
@@ -363,7 +364,7 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([some.column(0).slice(a, b - a), lists], ["node", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(hashed, "node long, shingles array<long>")
+    return texts.select("node", "text").mapInArrow(tidy(hashed), "node long, shingles array<long>")
 
 
 class _Comparison:
@@ -401,7 +402,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     Texts are linked when their sets of ``width``-word shingles (A-Z lower-cased)
     have at least the Jaccard ``similarity``; ``class`` is a number that linked
     texts share. Links are searched among texts that meet under a segment value and
-    whose 192-bit fingerprints differ in at most ``distance`` bits; each is then
+    whose 256-bit fingerprints differ in at most ``distance`` bits; each is then
     compared by its whole sets, so no other texts are linked. Of the pairs with a
     similarity of 0.8 or more, over 0.9 are found (see the README for figures).
 

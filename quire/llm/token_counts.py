@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.tokens import PieceEncoder, byte_batches, count_led, tokenizer_path
+from quire.plans.limits import tidy
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = 512) -> DataFrame:
@@ -32,5 +33,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")
     )
     id_type = source.schema["id"].dataType.simpleString()
-    counted = source.mapInArrow(lengths, f"id {id_type}, n_bytes long, n_tokens long")
+    counted = source.mapInArrow(tidy(lengths), f"id {id_type}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.tokens import PieceEncoder, byte_batches, encode_words, tokenizer_path
+from quire.plans.limits import tidy
 
 #: Bytes of text of a partition, and of a row group and a page of a file.
 PARTITION_BYTES = 128 << 20
@@ -39,7 +40,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(encode, f"doc_id {id_type}, ids array<int>")
+    return source.mapInArrow(tidy(encode), f"doc_id {id_type}, ids array<int>")
 
 
 def partition_count(docs: DataFrame, id_col: str, text_col: str) -> int:

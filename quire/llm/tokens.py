@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; pieces remembered from batch to batch, and the characters of the longest.
 BATCH_BYTES = 8 << 20
-MEMORY_PIECES = 200_000
+MEMORY_PIECES = 100_000
 MEMORY_CHARS = 64
 #: Longer pieces are cut between a mark and a letter of scripts that write without blanks.
 LONG_CHARS = 1 << 14

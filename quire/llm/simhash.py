@@ -36,8 +36,9 @@ LANES = 4
 SEGMENTS = 9
 SEGMENT_BITS = 26
 SOFT_BITS = 6
+EARLY_SEGMENTS = 2
 #: Differing bits of 256 up to which two texts are compared.
-DISTANCE = 48
+DISTANCE = 46
 
 _SPACE = re.compile(rb"[ \t-\r]")
 
@@ -118,23 +119,23 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def ball_keys(fp: Column, distance: int) -> tuple[Column, Column]:
-    """(values, balls): arrays of the segments' values, and of those with each bit turned over besides."""
+def ball_keys(fp: Column, distance: int) -> tuple[Column, list[Column]]:
+    """(values, balls): the segments' values, and for each segment its value and those with one of its bits turned over."""
     values, balls = [], []
     for i, (shift, width) in enumerate(segments(distance)):
         value = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
         key = F.lit(i << 32).cast("bigint").bitwiseOR(value)
         values.append(key)
-        balls += [key.bitwiseXOR(F.lit(1 << b).cast("bigint")) for b in range(width)]
-    return F.array(*values), F.array(*values, *balls)
+        balls.append(F.array(key, *[key.bitwiseXOR(F.lit(1 << b).cast("bigint")) for b in range(width)]))
+    return F.array(*values), balls
 
 
-def connect(nodes: DataFrame, payload: list[str], near: Callable[[Callable, Callable], Column], verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def connect(nodes: DataFrame, payload: list[str], near: Callable[[Callable, Callable], Column], passes: list[str], verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root): components of the links between ``nodes``, for every linked node.
 
     ``nodes`` has node (long, each once), the ``payload`` columns, ``base`` (the
-    segments' own values) and ``keys`` (all values it is listed under). Two nodes
-    with a common key are linked when ``near`` holds, a condition that is given both nodes'
+    segments' own values) and, in the columns ``passes``, all values it is listed under. Two nodes
+    with a common value are linked when ``near`` holds, a condition that is given both nodes'
     columns by name, and ``verify`` keeps their pair (a, b). The components are those of
     all links, but not every link is made, so that a crowd of g nodes close to
     one another costs about g rows and not g squared:
@@ -142,8 +143,9 @@ def connect(nodes: DataFrame, payload: list[str], near: Callable[[Callable, Call
     1. Stars. Under each segment value the smallest and the largest node are
        compared with all others, two comparisons for each node and value, and the
        links found make first classes.
-    2. Rest. Links inside a class can't change it, so keys that only one class
-       uses leave, and under the others only nodes of different classes meet.
+    2. Passes. Links inside a class can't change it, so values that only one class
+       uses leave, and under the others only nodes of different classes meet. What a
+       pass links is one class in the next.
 
     Minima are combined before their shuffle; both sides of a join by key are
     plainly shuffled, so nothing is gathered or broadcast.
@@ -162,23 +164,24 @@ def connect(nodes: DataFrame, payload: list[str], near: Callable[[Callable, Call
     spokes = base.hint("merge").join(ends.hint("merge"), "key").select(F.explode(F.array("lo", "hi")).alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
     if payload:
         spokes = spokes.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-    stars = components(checked(spokes.filter(close).select("a", "b")))
-    first = materialize(stars.withColumnRenamed("root", "class"), "star-classes")
-
-    tagged = nodes.hint("merge").join(first, "node", "left").select("node", F.coalesce("class", "node").alias("class"), *payload, "keys")
-    keyed = tagged.select("node", "class", *payload, F.explode("keys").alias("key"))
-    mixed = keyed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
-    meeting = keyed.hint("merge").join(mixed.hint("merge"), "key", "left_semi")
-
-    def listed(name: str) -> DataFrame:
-        return meeting.select(F.col("key").alias(f"{name}_key"), F.col("node").alias(name), F.col("class").alias(f"{name}_class"), *[F.col(p).alias(f"{name}_{p}") for p in payload])
-
-    apart = (F.col("a_key") == F.col("b_key")) & (F.col("a_class") < F.col("b_class")) & close
-    pairs = listed("a").hint("merge").join(listed("b").hint("merge"), apart).select("a", "b", "a_class", "b_class").distinct()
-    across = components(checked(pairs).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")))
-    merged = materialize(across.select(F.col("node").alias("class"), F.col("root").alias("top")), "merged-classes")
-    lone = merged.join(first.select("class").distinct(), "class", "left_anti").select(F.col("class").alias("node"), F.col("top").alias("root"))
-    return first.join(merged, "class", "left").select("node", F.coalesce("top", "class").alias("root")).unionByName(lone)
+    classes = materialize(components(checked(spokes.filter(close).select("a", "b"))).withColumnRenamed("root", "class"), "star-classes")
+
+    for column in passes:
+        tagged = nodes.hint("merge").join(classes, "node", "left").select("node", F.coalesce("class", "node").alias("class"), *payload, column)
+        keyed = tagged.select("node", "class", *payload, F.explode(column).alias("key"))
+        mixed = keyed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
+        meeting = keyed.hint("merge").join(mixed.hint("merge"), "key", "left_semi")
+        left, right = (
+            meeting.select(F.col("key").alias(f"{s}_key"), F.col("node").alias(s), F.col("class").alias(f"{s}_class"), *[F.col(p).alias(f"{s}_{p}") for p in payload]) for s in "ab"
+        )
+        apart = (F.col("a_key") == F.col("b_key")) & (F.col("a_class") < F.col("b_class")) & close
+        pairs = left.hint("merge").join(right.hint("merge"), apart).select("a", "b", "a_class", "b_class").distinct()
+        across = components(checked(pairs).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")))
+        merged = materialize(across.select(F.col("node").alias("class"), F.col("root").alias("top")), "merged-classes")
+        # a node without links so far is a class of its own
+        lone = merged.join(classes.select("class").distinct(), "class", "left_anti").select(F.col("class").alias("node"), F.col("top").alias("class"))
+        classes = materialize(classes.join(merged, "class", "left").select("node", F.coalesce("top", "class").alias("class")).unionByName(lone), "classes")
+    return classes.withColumnRenamed("class", "root")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,10 +198,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 4, id_col:
     """
     rows = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
     table = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-table")
-    base, keys = ball_keys(F.col("fp"), distance)
-    nodes = table.select(F.col("fp").alias("node"), base.alias("base"), keys.alias("keys"))
+    base, balls = ball_keys(F.col("fp"), distance)
+    passes = [f"ball{i}" for i in range(len(balls))]
+    nodes = table.select(F.col("fp").alias("node"), base.alias("base"), *[ball.alias(name) for ball, name in zip(balls, passes, strict=True)])
     near = lambda a, b: F.bit_count(a("node").bitwiseXOR(b("node"))) <= distance
-    roots = materialize(connect(nodes, [], near), "roots")
+    roots = connect(nodes, [], near, passes)
     reached = table.join(roots, table["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = reached.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = materialize(reached.join(least, "root").select("fp", "component_id"), "classes")
@@ -415,13 +419,18 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     source = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     made = sketches(source, width).groupBy("digest").agg(*[F.first(c).alias(c) for c in (*_FP, "keys")])
     table = materialize(made.withColumn("node", F.monotonically_increasing_id()), "sketches")
-    nodes = table.select("node", *_FP, F.slice("keys", 1, SEGMENTS).alias("base"), "keys")
+    turned = lambda first, last: F.slice("keys", SEGMENTS + 1 + first * SOFT_BITS, (last - first) * SOFT_BITS)
+    base = F.slice("keys", 1, SEGMENTS)
+    # the first pass takes few segments: it finds most links of a crowd, which are one class in the second
+    early = F.concat(F.slice("keys", 1, EARLY_SEGMENTS), turned(0, EARLY_SEGMENTS))
+    late = F.concat(F.slice("keys", EARLY_SEGMENTS + 1, SEGMENTS - EARLY_SEGMENTS), turned(EARLY_SEGMENTS, SEGMENTS))
+    nodes = table.select("node", *_FP, base.alias("base"), early.alias("early"), late.alias("late"))
 
     def near(a, b) -> Column:
         return sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in _FP[1:]), F.bit_count(a(_FP[0]).bitwiseXOR(b(_FP[0])))) <= distance
 
     compare = _Comparison(source, table, width, similarity)
-    roots = materialize(connect(nodes, _FP, near, compare), "roots")
+    roots = connect(nodes, _FP, near, ["early", "late"], compare)
     compare.clear()
     classes = table.select("node", "digest").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class"))
     return source.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n_rows")).join(classes, "digest").select("id", "digest", "n_rows", "class")

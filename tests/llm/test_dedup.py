@@ -111,10 +111,11 @@ def test_connect_in_a_crowd(spark, distance):
     base = int(rng.integers(0, 1 << 62))
     values = {base ^ int(x) for x in rng.integers(0, 1 << 14, 300)} | {int(x) for x in rng.integers(0, 1 << 62, 300)} | {-1, -2, 0, 1, 31, 1023}
     table = spark.createDataFrame([(v,) for v in values], "node long")
-    own, keys = simhash.ball_keys(F.col("node"), distance)
-    nodes = table.select("node", own.alias("base"), keys.alias("keys"))
-    assert {len(r["keys"]) for r in nodes.collect()} == {64 + distance // 3 + 1}
-    got = {r.node: r.root for r in simhash.connect(nodes, [], by_bits(distance)).collect()}
+    own, balls = simhash.ball_keys(F.col("node"), distance)
+    passes = [f"p{i}" for i in range(len(balls))]
+    nodes = table.select("node", own.alias("base"), *[b.alias(p) for b, p in zip(balls, passes, strict=True)])
+    assert {sum(len(r[p]) for p in passes) for r in nodes.collect()} == {64 + distance // 3 + 1}
+    got = {r.node: r.root for r in simhash.connect(nodes, [], by_bits(distance), passes).collect()}
     items = [(v, v) for v in sorted(values)]
     wanted = dict(zip([v for v, _ in items], plain_classes(items, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= distance), strict=True))
     classes = {}

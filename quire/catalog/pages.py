@@ -482,7 +482,7 @@ def signature_outcome(spark, sf_dir):
            CASE WHEN m.mode = 'fast' AND c.codec = 'jpeg2000' THEN 'jpeg2000-demoted-to-jpeg-in-fast-mode' ELSE '' END AS warnings, f.forced <> 'nothing' AS all_pages
     FROM (SELECT unnest(['fast', 'standard', 'safe']) AS mode) m, (SELECT unnest(['jpeg', 'jpeg2000']) AS codec) c, (SELECT unnest(['nothing', 're_ocr', 'strip_text_layer', 'legal_codec_profile', 'verify']) AS forced) f
 """)
-def option_effects(spark, sf_dir):
+def effects_of_options(spark, sf_dir):
     """What options lead to: resolution, codec and its warnings, and whether every page is processed."""
     forced = {"nothing": {}, "re_ocr": {"re_ocr": True}, "strip_text_layer": {"strip_text_layer": True}, "legal_codec_profile": {"legal_codec_profile": "x"}, "verify": {"skip_verify": False}}
     made = [(m, c, f, Options(mode=m, bg_codec=c, **extra)) for m in MODES for c in CODECS for f, extra in forced.items()]

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_created: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,6 +35,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _created.append(path)
     return path
 
 
@@ -46,12 +48,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._folder = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(df.sparkSession, df._folder)
+
+
+def created() -> int:
+    """How many folders this process has asked for so far."""
+    return len(_created)
+
+
+def drop_since(start: int, keep: DataFrame) -> None:
+    """Delete the folders asked for since ``start``, but for that of a materialized table that is still read."""
+    for path in _created[start:]:
+        if path != keep._folder:
+            _delete(keep.sparkSession, path)

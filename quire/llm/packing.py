@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.storage import materialize
-from quire.llm.tokens import PieceEncoder, byte_batches, encode_words, tokenizer_path
+from quire.llm.tokens import byte_batches, encode_words, shared_encoder, tokenizer_path
 from quire.plans.limits import tidy
 
 
@@ -87,7 +87,7 @@ def cut_tokens(docs: DataFrame, capacity: int, tokenizer: str | None = None, end
         import numpy as np
         import pyarrow as pa
 
-        encoder = PieceEncoder(path)
+        encoder = shared_encoder(path)
         for batch in batches:
             for some in byte_batches(batch, 1):
                 offsets, ids = encode_words(some.column(1), encoder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tokens import PieceEncoder, byte_batches, count_led, tokenizer_path
+from quire.llm.tokens import byte_batches, count_led, shared_encoder, tokenizer_path
 from quire.plans.limits import tidy
 
 
@@ -23,7 +23,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def lengths(batches):
         import pyarrow as pa
 
-        encoder = PieceEncoder(path, lengths_only=True)
+        encoder = shared_encoder(path, lengths_only=True)
         for batch in batches:
             for some in byte_batches(batch, 1):
                 counts = count_led(some.column(1), encoder)

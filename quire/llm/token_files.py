@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.tokens import PieceEncoder, byte_batches, encode_words, tokenizer_path
+from quire.llm.tokens import byte_batches, encode_words, shared_encoder, tokenizer_path
 from quire.plans.limits import tidy
 
 #: Bytes of text of a partition, and of a row group and a page of a file.
@@ -28,7 +28,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
         import numpy as np
         import pyarrow as pa
 
-        encoder = PieceEncoder(path)
+        encoder = shared_encoder(path)
         for batch in batches:
             for some in byte_batches(batch, 1):
                 offsets, ids = encode_words(some.column(1), encoder)

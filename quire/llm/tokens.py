@@ -149,6 +149,12 @@ class PieceEncoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, lengths_only: bool = False) -> PieceEncoder:
+    """The worker's encoder of a tokenizer: tasks that it runs one after the other share what is remembered."""
+    return PieceEncoder(path, lengths_only)
+
+
 def byte_batches(batch: pa.RecordBatch, text_index: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes of text, of one row at least."""
     if not batch.num_rows:

@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; pieces remembered from batch to batch, and the characters of the longest.
+#: Bytes of text handled at once; pieces and pre-tokens remembered from batch to batch, and the characters of the longest.
 BATCH_BYTES = 8 << 20
-MEMORY_PIECES = 100_000
+MEMORY_PIECES = 200_000
+MEMORY_TOKENS = 100_000
 MEMORY_CHARS = 64
 #: Longer pieces are cut between a mark and a letter of scripts that write without blanks.
 LONG_CHARS = 1 << 14
@@ -78,7 +79,7 @@ class _Merged(dict):
     def __missing__(self, token: str):
         found = self.model.tokenize(token if token.isascii() and token.isalnum() else "".join([self.letters[b] for b in token.encode()]))
         value = len(found) if self.lengths_only else array("I", [t.id for t in found]).tobytes()
-        if len(token) <= MEMORY_CHARS and len(self) < MEMORY_PIECES:
+        if len(token) <= MEMORY_CHARS and len(self) < MEMORY_TOKENS:
             self[token] = value
         return value
 

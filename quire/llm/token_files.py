@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from quire.llm.tokens import byte_batches, encode_words, shared_encoder, tokenizer_path
 from quire.plans.limits import tidy
 
-#: Bytes of text of a partition, and of a row group and a page of a file.
-PARTITION_BYTES = 128 << 20
+#: Bytes of a partition's input, and of a row group and a page of a file.
+PARTITION_BYTES = 64 << 20
+#: More than any table holds: the planner's word for not knowing.
+UNKNOWN_BYTES = 1 << 60
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
@@ -44,8 +46,13 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
 
 
 def partition_count(docs: DataFrame, id_col: str, text_col: str) -> int:
-    """Partitions of about ``PARTITION_BYTES`` of text, and as many as shuffles have at least."""
-    size = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    """Partitions of about ``PARTITION_BYTES``, and as many as shuffles have at least.
+
+    The planner knows the bytes of files; where it doesn't know its input's, the texts' are summed.
+    """
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size > UNKNOWN_BYTES:
+        size = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES), 1)
 
 

@@ -117,7 +117,12 @@ class PieceEncoder:
 
     def _plain(self, piece: str):
         """A piece's value from its pre-tokens' values; None where the library has to encode it whole."""
-        if self.cut is None or not _PLAIN.fullmatch(piece) or self.special.search(piece):
+        if self.cut is None:
+            return None
+        # a word of ASCII letters, a blank before it or not, is one pre-token of either kind
+        if piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha():
+            return self.merged[piece.lower() if self.lower else piece]
+        if not _PLAIN.fullmatch(piece) or self.special.search(piece):
             return None
         values = [self.merged[t] for t in self.cut(piece.lower() if self.lower else piece)]
         return sum(values) if self.lengths_only else b"".join(values)

@@ -50,7 +50,7 @@ def partition_count(docs: DataFrame, id_col: str, text_col: str) -> int:
 
     The planner knows the bytes of files; where it doesn't know its input's, the texts' are summed.
     """
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > UNKNOWN_BYTES:
         size = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES), 1)

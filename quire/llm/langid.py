@@ -15,7 +15,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tokens import byte_batches
+from quire.llm.tokens import byte_batches, forget
 from quire.plans.limits import tidy
 
 DIMENSIONS = 1024
@@ -160,6 +160,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         import numpy as np
         import pyarrow as pa
 
+        forget()
         sums: dict[str, np.ndarray] = {}
         for batch in (some for whole in batches for some in byte_batches(whole, 0)):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -211,6 +212,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[int]], text_col: str =
 
         table = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), DIMENSIONS)
         table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12)
+        forget()
         for batch in (some for whole in batches for some in byte_batches(whole, at)):
             texts = batch.column(at).to_pylist()
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))

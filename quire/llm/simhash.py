@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import components
 from quire.llm.storage import drop_table, materialize
-from quire.llm.tokens import byte_batches
+from quire.llm.tokens import byte_batches, forget
 from quire.plans.limits import tidy
 
 BITS = 64
@@ -329,6 +329,7 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        forget()
         known = _WordHashes()
         for batch in batches:
             for some in byte_batches(batch, 1):
@@ -358,6 +359,7 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        forget()
         known = _WordHashes()
         for batch in batches:
             for some in byte_batches(batch, 1):

@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; pieces and pre-tokens remembered from batch to batch, and the characters of the longest.
 BATCH_BYTES = 8 << 20
-MEMORY_PIECES = 200_000
-MEMORY_TOKENS = 100_000
+MEMORY_PIECES = 300_000
+MEMORY_TOKENS = 200_000
 MEMORY_CHARS = 64
 #: Longer pieces are cut between a mark and a letter of scripts that write without blanks.
 LONG_CHARS = 1 << 14
@@ -161,6 +161,11 @@ def shared_encoder(path: str, lengths_only: bool = False) -> PieceEncoder:
     return PieceEncoder(path, lengths_only)
 
 
+def forget() -> None:
+    """Let go of the worker's encoders; for tasks that need its memory for something else."""
+    shared_encoder.cache_clear()
+
+
 def byte_batches(batch: pa.RecordBatch, text_index: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes of text, of one row at least."""
     if not batch.num_rows:

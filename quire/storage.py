@@ -53,14 +53,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all below it; a folder that isn't there is no error."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a materialized table that nothing reads any more."""
-    _delete(df.sparkSession, df._folder)
+    delete(df.sparkSession, df._folder)
 
 
 def created() -> int:
@@ -72,4 +73,4 @@ def drop_since(start: int, keep: DataFrame) -> None:
     """Delete the folders asked for since ``start``, but for that of a materialized table that is still read."""
     for path in _created[start:]:
         if path != keep._folder:
-            _delete(keep.sparkSession, path)
+            delete(keep.sparkSession, path)

@@ -271,6 +271,21 @@ def test_chunk_sink(spark, tmp_path):
     assert all(len({f for _, f in v}) == 1 for v in got.values())
 
 
+def test_many_chunks(spark, tmp_path):
+    """A file of its name for each of 3000 chunks; a second run replaces the first; 23 ms a chunk on the driver would be too slow."""
+    table = spark.range(3000).selectExpr("id DIV 2 AS doc_id", "CAST(id % 2 AS INT) AS page_index", "CAST(20 AS BIGINT) AS cost")
+    path, began = str(tmp_path / "c"), time.monotonic()
+    chunking.write_chunks(chunking.assign_chunks(table.limit(4), 12), path, 12, "old")
+    chunking.write_chunks(chunking.assign_chunks(table, 12), path, 12)
+    got = chunking.read_chunks(spark, path).collect()
+    assert time.monotonic() - began < 30
+    names = {f"doc{d}_00{c}.pdf" for d in range(1500) for c in (1, 2)}
+    assert {p.name for p in (tmp_path / "c").iterdir() if not p.name.startswith("_")} == names and all((tmp_path / "c" / n).is_file() for n in names)
+    assert {r.name for r in got} == names and len(got) == 3000 and all(r.file.endswith("/" + r.name) and r.page_index == r.chunk_no - 1 for r in got)
+    chunking.write_chunks(chunking.assign_chunks(table.limit(0), 12), path, 12)
+    assert chunking.read_chunks(spark, path).collect() == []
+
+
 def test_build_info(spark):
     rows = spark.createDataFrame([('{"version": "1.2", "git_sha": "unknown"}',), ("nonsense",), (None,)], "r string")
     got = [tuple(r.b) for r in rows.select(readers.build_info(F.col("r")).alias("b")).collect()]

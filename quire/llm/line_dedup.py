@@ -136,8 +136,9 @@ def _runs(levels: list[DataFrame], later: DataFrame, least: int) -> DataFrame:
         behind = runs.join(here, (F.col("top") > k) & (F.col("key") == F.col("k1")) & (F.col("i") + F.col("n_lines") == F.col("i1")), "left")
         both = behind.join(there, (F.col("first.key") == F.col("k2")) & (F.col("first.i") + F.col("n_lines") == F.col("i2")) & (F.col("r1") == F.col("r2")), "left")
         longer = F.col("n_lines") + F.when(F.col("r2").isNotNull(), 1 << k).otherwise(0)
-        runs = both.select("key", "id", "i", "top", "first", longer.alias("n_lines"))
-    return materialize(runs.select("key", "id", "i", "n_lines", "first"), "line-runs")
+        # a table a round: one plan of all rounds' joins is planned anew after each of its stages, in the driver's memory
+        runs = materialize(both.select("key", "id", "i", "top", "first", longer.alias("n_lines")), "line-runs")
+    return runs.select("key", "id", "i", "n_lines", "first")
 
 
 def _windows(places: DataFrame, min_words: int) -> DataFrame:

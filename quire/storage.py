@@ -7,6 +7,7 @@ driver and the executors are one process.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
 _created: list[str] = []
+#: Tables after which the driver lets go of plans, broadcasts and shuffles that nothing reads any more.
+TABLES_TO_TIDY = 8
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -48,6 +51,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if len(_created) % TABLES_TO_TIDY == 0:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     stored = spark.read.schema(df.schema).parquet(path)
     stored._folder = path
     return stored

@@ -39,6 +39,12 @@ SOFT_BITS = 6
 EARLY_SEGMENTS = 2
 #: Differing bits of 256 up to which two texts are compared.
 DISTANCE = 46
+#: Prefixes: a shingle is common that is in more prefixes than this, and than one of so many of their rows; what rounding may cost.
+COMMON_LEAST = 100
+COMMON_SHINGLES = 100_000
+#: One text in so many is counted for the choice of common shingles.
+ESTIMATE = 16
+SLACK = 1e-6
 
 _SPACE = re.compile(rb"[ \t-\r]")
 
@@ -130,6 +136,14 @@ def ball_keys(fp: Column, distance: int) -> tuple[Column, list[Column]]:
     return F.array(*values), balls
 
 
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, class) of ``classes`` after ``links`` (a_class, b_class) between them; a node without links so far is a class of its own."""
+    across = components(links.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")))
+    merged = materialize(across.select(F.col("node").alias("class"), F.col("root").alias("top")), "merged-classes")
+    lone = merged.join(classes.select("class").distinct(), "class", "left_anti").select(F.col("class").alias("node"), F.col("top").alias("class"))
+    return materialize(classes.join(merged, "class", "left").select("node", F.coalesce("top", "class").alias("class")).unionByName(lone), "classes")
+
+
 def connect(nodes: DataFrame, payload: list[str], near: Callable[[Callable, Callable], Column], passes: list[str], verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root): components of the links between ``nodes``, for every linked node.
 
@@ -176,11 +190,7 @@ def connect(nodes: DataFrame, payload: list[str], near: Callable[[Callable, Call
         )
         apart = (F.col("a_key") == F.col("b_key")) & (F.col("a_class") < F.col("b_class")) & close
         pairs = left.hint("merge").join(right.hint("merge"), apart).select("a", "b", "a_class", "b_class").distinct()
-        across = components(checked(pairs).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")))
-        merged = materialize(across.select(F.col("node").alias("class"), F.col("root").alias("top")), "merged-classes")
-        # a node without links so far is a class of its own
-        lone = merged.join(classes.select("class").distinct(), "class", "left_anti").select(F.col("class").alias("node"), F.col("top").alias("class"))
-        classes = materialize(classes.join(merged, "class", "left").select("node", F.coalesce("top", "class").alias("class")).unionByName(lone), "classes")
+        classes = _merged(classes, checked(pairs))
     return classes.withColumnRenamed("class", "root")
 
 
@@ -322,8 +332,28 @@ def segment_keys(votes):
     return np.concatenate([values | number, turned.reshape(len(cut), -1)], axis=1).astype(np.int32)
 
 
-def sketches(rows: DataFrame, width: int) -> DataFrame:
-    """(digest, f0 and so on, keys) of ``rows`` (digest, text as binary): fingerprint and listed values."""
+def prefixes(rows, hashes, n_rows: int, similarity: float, common=()):
+    """(sizes, lists): each row's number of hashes, and its prefix, as an Arrow list.
+
+    All hashes have one order: their own, but those of the sorted array ``common`` come last. Sets of n hashes that
+    share ``similarity`` of their union share that much of each set at least, so the first n - ceil(similarity * n) + 1
+    hashes of one and of the other have one in common, whatever the order is.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    if len(common):
+        order = np.lexsort((hashes, common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes, rows))
+        hashes = hashes[order]
+    sizes = np.bincount(rows, minlength=n_rows)
+    inside = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]
+    lengths = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - SLACK).astype(np.int64) + 1, 0)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return sizes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[inside < lengths[rows]].view(np.int64)))
+
+
+def sketches(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(digest, f0 and so on, keys, n, prefix) of ``rows`` (digest, text as binary): fingerprint, listed values, ``prefixes``."""
 
     def made(batches):
         import numpy as np
@@ -334,14 +364,40 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for some in byte_batches(batch, 1):
                 texts = some.column(1).to_pylist()
-                votes = [margins(*shingle_hashes(texts[a:b], width, known), b - a) for a, b in text_groups(texts)]
+                votes, sizes, firsts = [], [], []
+                for a, b in text_groups(texts):
+                    found = shingle_hashes(texts[a:b], width, known)
+                    votes.append(margins(*found, b - a))
+                    size, first = prefixes(*found, b - a, similarity)
+                    sizes.append(size)
+                    firsts.append(first)
                 keys = np.concatenate([segment_keys(v) for v in votes])
                 lanes = np.concatenate([np.packbits(v > 0, axis=1).view(">i8") for v in votes]).astype(np.int64)
                 offsets = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(np.ascontiguousarray(lanes[:, k])) for k in range(LANES)), lists], ["digest", *_FP, "keys"])
+                columns = [some.column(0), *(pa.array(np.ascontiguousarray(lanes[:, k])) for k in range(LANES)), lists, pa.array(np.concatenate(sizes)), pa.concat_arrays(firsts)]
+                yield pa.RecordBatch.from_arrays(columns, ["digest", *_FP, "keys", "n", "prefix"])
+
+    return rows.select("digest", "text").mapInArrow(tidy(made), f"digest binary, {', '.join(f'{c} long' for c in _FP)}, keys array<int>, n long, prefix array<long>")
 
-    return rows.select("digest", "text").mapInArrow(tidy(made), f"digest binary, {', '.join(f'{c} long' for c in _FP)}, keys array<int>")
+
+def _late_prefixes(texts: DataFrame, width: int, similarity: float, common: list[int]) -> DataFrame:
+    """(node, n, prefix) of ``texts`` (node, text as binary), with the hashes ``common`` last."""
+
+    def hashed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        forget()
+        known, late = _WordHashes(), np.sort(np.array(common, np.int64).view(np.uint64))
+        for batch in batches:
+            for some in byte_batches(batch, 1):
+                words = some.column(1).to_pylist()
+                for a, b in text_groups(words):
+                    sizes, lists = prefixes(*shingle_hashes(words[a:b], width, known), b - a, similarity, late)
+                    yield pa.RecordBatch.from_arrays([some.column(0).slice(a, b - a), pa.array(sizes), lists], ["node", "n", "prefix"])
+
+    return texts.select("node", "text").mapInArrow(tidy(hashed), "node long, n long, prefix array<long>")
 
 
 _FP = [f"f{k}" for k in range(LANES)]
@@ -402,6 +458,53 @@ class _Comparison:
         self.used.clear()
 
 
+def _keyed(table: DataFrame) -> DataFrame:
+    """(node, n, at, key): the prefixes' shingles with their places."""
+    return table.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+
+
+def _common_shingles(table: DataFrame) -> list[int]:
+    """Shingles in so many prefixes that they should come last, fewer than ``ESTIMATE`` * ``COMMON_SHINGLES``.
+
+    Counted in every ``ESTIMATE``-th text: the choice decides how many texts meet, never which links are found.
+    """
+    some = table.filter(F.pmod(F.xxhash64("node"), F.lit(ESTIMATE)) == 0)
+    total = table.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    bound = max(COMMON_LEAST, total // COMMON_SHINGLES) // ESTIMATE
+    return [r["key"] for r in _keyed(some).groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > bound).collect()]
+
+
+def link_rest(source: DataFrame, table: DataFrame, classes: DataFrame, width: int, similarity: float, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``classes`` (node, class) after the links that fingerprints didn't bring up: none is missed.
+
+    Similar texts share a shingle of their ``prefixes``, so texts of different classes that share one are compared, where
+    sizes and the places in the prefixes leave room for the similarity. Links inside a class can't
+    change it. Shingles that are in very many prefixes are put last in the order of all, and the texts
+    that had them in front get their prefixes anew.
+    """
+    common = _common_shingles(table)
+    keyed = _keyed(table)
+    if common:
+        late = F.broadcast(source.sparkSession.createDataFrame([(k,) for k in common], "key long"))
+        named = materialize(keyed.join(late, "key", "left_semi").select("node").distinct().join(table.select("node", "digest"), "node"), "common-texts")
+        texts = source.select("digest", "text").join(named, "digest").dropDuplicates(["node"])
+        anew = materialize(_late_prefixes(texts, width, similarity, common), "late-prefixes")
+        keyed = _keyed(table.select("node", "n", "prefix").join(named.select("node"), "node", "left_anti").unionByName(anew))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
+    places = materialize(keyed.hint("merge").join(shared.hint("merge"), "key", "left_semi"), "shared-places")
+    tagged = materialize(places.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "shared-classes")
+    drop_table(places)
+    mixed = tagged.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
+    meeting = tagged.hint("merge").join(mixed.hint("merge"), "key", "left_semi")
+    left, right = (meeting.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "class", "n", "at")], F.col("node").alias(s)) for s in "ab")
+    both = F.col("a_n") + F.col("b_n")
+    # as if this were the first shingle they share: what follows it can be common, nothing before
+    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    apart = (F.col("a_key") == F.col("b_key")) & (F.col("a_class") < F.col("b_class")) & (room * (1 + similarity) >= similarity * both - SLACK)
+    pairs = left.hint("merge").join(right.hint("merge"), apart).select("a", "b", "a_class", "b_class").distinct()
+    return _merged(classes, compare(pairs))
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, n_rows, class): each different pair of id and text, with its class of near-duplicates.
 
@@ -409,8 +512,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     have at least the Jaccard ``similarity``; ``class`` is a number that linked
     texts share. Links are searched among texts that meet under a segment value and
     whose 256-bit fingerprints differ in at most ``distance`` bits; each is then
-    compared by its whole sets, so no other texts are linked. Of the pairs with a
-    similarity of 0.8 or more, over 0.9 are found (see the README for figures).
+    compared by its whole sets, so no other texts are linked. That finds nearly all
+    links; ``link_rest`` finds the others, so that no pair of ``similarity`` or more ends in two classes.
 
     Nodes of the search are different texts, told apart by ``digest`` (SHA-256):
     copies cost nothing, and an equal fingerprint alone links nothing. Null and empty
@@ -419,7 +522,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     an empty result. Only the two named columns are read.
     """
     source = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    made = sketches(source, width).groupBy("digest").agg(*[F.first(c).alias(c) for c in (*_FP, "keys")])
+    made = sketches(source, width, similarity).groupBy("digest").agg(*[F.first(c).alias(c) for c in (*_FP, "keys", "n", "prefix")])
     table = materialize(made.withColumn("node", F.monotonically_increasing_id()), "sketches")
     turned = lambda first, last: F.slice("keys", SEGMENTS + 1 + first * SOFT_BITS, (last - first) * SOFT_BITS)
     base = F.slice("keys", 1, SEGMENTS)
@@ -432,7 +535,9 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
         return sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in _FP[1:]), F.bit_count(a(_FP[0]).bitwiseXOR(b(_FP[0])))) <= distance
 
     compare = _Comparison(source, table, width, similarity)
-    roots = connect(nodes, _FP, near, ["early", "late"], compare)
+    found = connect(nodes, _FP, near, ["early", "late"], compare).withColumnRenamed("root", "class")
+    compare.clear()
+    roots = link_rest(source, table, found, width, similarity, compare).withColumnRenamed("class", "root")
     compare.clear()
     classes = table.select("node", "digest").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class"))
     return source.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n_rows")).join(classes, "digest").select("id", "digest", "n_rows", "class")

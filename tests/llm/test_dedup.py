@@ -171,6 +171,40 @@ def test_similar_documents_recall(spark):
     assert sum(found[a] == found[b] for a, b in near) >= 0.9 * len(near)
 
 
+@pytest.mark.parametrize("least", [simhash.COMMON_LEAST, 2])
+def test_similar_documents_miss_nothing(spark, monkeypatch, least):
+    """Every pair of 0.8 or more ends in one class, and only such links join, also where shared shingles count as common."""
+    monkeypatch.setattr(simhash, "COMMON_LEAST", least)
+    if least == 2:
+        monkeypatch.setattr(simhash, "ESTIMATE", 1)
+    texts = sorted({*edited_copies(6), *(f"a b c d e f g h {i} " + " ".join(f"u{i}v{k}" for k in range(20)) for i in range(30)), "one", "two words", ""})[::2]
+    got = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r.id: r["class"] for r in got}
+    sets = [plain_shingles(t) for t in texts]
+    pairs = {(a, b) for a in range(len(texts)) for b in range(a) if sets[a] & sets[b] and jaccard(sets[a], sets[b]) >= 0.8}
+    exact = plain_classes(list(enumerate(range(len(texts)))), lambda a, b: (max(a, b), min(a, b)) in pairs)
+    assert len(pairs) > 100 and all(found[a] == found[b] for a, b in pairs)
+    assert len(set(exact)) == len(set(found.values())) == len({(exact[i], found[i]) for i in found})
+
+
+def test_prefixes_meet():
+    """Sets at the threshold share a hash of their prefixes, whichever hashes come last; most sets don't."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n in [1, 2, 4, 5, 9, 10, 50, 400]:
+        for late in (0, 3, n):
+            a = np.unique(r.integers(0, 2**64, n, np.uint64))
+            b = np.unique(np.concatenate([a[r.permutation(n)[: n - n // 10]], r.integers(0, 2**64, n // 10, np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            assert both >= 0.8 * (len(a) + len(b) - both)
+            rows, hashes = np.repeat([0, 2], [len(a), len(b)]), np.concatenate([a, b])
+            sizes, lists = simhash.prefixes(rows, hashes, 3, 0.8, np.sort(r.permutation(a)[:late]))
+            first, none, second = lists.to_pylist()
+            assert sizes.tolist() == [len(a), 0, len(b)] and none == [] and set(first) & set(second)
+            assert len(first) == n - -(-4 * n // 5) + 1
+
+
 def test_similar_documents(docs, rows):
     """All awkward rows; texts of one 64-bit fingerprint, or full of one shingle, aren't alike for that."""
     got = simhash.similar_documents(docs).collect()
@@ -282,6 +316,24 @@ def test_runs_of_a_hot_line(spark, monkeypatch):
         assert {r.doc_id: r.text for r in line_dedup.line_dedup(table).collect()} == plain
 
 
+def test_plans_stay_small(spark, monkeypatch):
+    """However many rounds a long run takes, no plan has the joins of more than a few, as the driver holds plans whole."""
+    joins, plain = [], line_dedup.materialize
+
+    def counted(df, name):
+        joins.append(df._jdf.queryExecution().analyzed().toString().count("Join "))
+        return plain(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    text = "\n".join(f"line {i} of a passage" for i in range(300))
+    docs = spark.createDataFrame([(1, text), (2, "before\n" + text), (3, text + "\nafter")], "doc_id long, text string")
+    levels, later = line_dedup._array(docs, "doc_id", "text")[1:]
+    assert len(levels) > 8
+    joins.clear()
+    assert sorted(r.n_lines for r in line_dedup._runs(levels, later, 0).collect()) == [300, 300]
+    assert max(joins) <= 2
+
+
 def test_lines_columns(docs, rows, none):
     got = line_dedup.line_dedup(docs)
     assert set(got.columns) == {*docs.columns, "n_deleted"} and got.count() == len(rows)

@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.storage import drop_table, materialize
+from quire.llm.storage import drop_table, let_go, materialize
 from quire.llm.tokens import byte_batches, forget
 from quire.plans.limits import tidy
 
@@ -45,6 +46,8 @@ COMMON_SHINGLES = 100_000
 #: One text in so many is counted for the choice of common shingles.
 ESTIMATE = 16
 SLACK = 1e-6
+#: A round of comparisons moves as many shingles as so many times all sets that are compared.
+ROUND_SETS = 2
 
 _SPACE = re.compile(rb"[ \t-\r]")
 
@@ -409,7 +412,7 @@ def text_digest(text: Column) -> Column:
 
 
 def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of ``texts`` (node, text as binary): the different shingles' hashes."""
+    """(node, n, shingles) of ``texts`` (node, text as binary): the number of different shingles, and their hashes."""
 
     def hashed(batches):
         import numpy as np
@@ -424,13 +427,16 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
                     rows, hashes = shingle_hashes(texts[a:b], width, known)
                     offsets = np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([some.column(0).slice(a, b - a), lists], ["node", "shingles"])
+                    yield pa.RecordBatch.from_arrays([some.column(0).slice(a, b - a), pa.array(np.diff(offsets).astype(np.int64)), lists], ["node", "n", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(tidy(hashed), "node long, shingles array<long>")
+    return texts.select("node", "text").mapInArrow(tidy(hashed), "node long, n long, shingles array<long>")
 
 
 class _Comparison:
-    """Keeps the pairs (a, b) of nodes whose texts have similar enough sets of shingles."""
+    """Keeps the pairs (a, b) of nodes whose texts have similar enough sets of shingles.
+
+    A set goes with each pair of its text, so the pairs are compared in rounds that move ``ROUND_SETS`` times all sets each.
+    """
 
     def __init__(self, source: DataFrame, table: DataFrame, width: int, similarity: float):
         self.source, self.table, self.width, self.similarity = source, table, width, similarity
@@ -438,6 +444,7 @@ class _Comparison:
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         self.used.append(materialize(df, name))
+        let_go(df.sparkSession)
         return self.used[-1]
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
@@ -448,8 +455,18 @@ class _Comparison:
         sets = self._kept(_shingle_sets(texts, self.width), "shingle-sets")
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-        return joined.filter(F.col("both") >= self.similarity * (F.size("x") + F.size("y") - F.col("both"))).select(*pairs.columns)
+        held = sets.agg(F.sum("n")).first()[0] or 0
+        moved = pairs.join(sets.select(F.col("node").alias("a"), "n"), "a").agg(F.sum("n")).first()[0] or 0
+        rounds = max(1, -(-moved // max(1, ROUND_SETS * held)))
+
+        def similar(some: DataFrame) -> DataFrame:
+            joined = some.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+            return joined.filter(F.col("both") >= self.similarity * (F.size("x") + F.size("y") - F.col("both"))).select(*pairs.columns)
+
+        if rounds == 1:
+            return similar(pairs)
+        part = F.pmod(F.xxhash64("a", "b"), F.lit(rounds))
+        return reduce(DataFrame.unionByName, [self._kept(similar(pairs.filter(part == k)), "similar-pairs") for k in range(rounds)])
 
     def clear(self) -> None:
         """Delete the tables behind pairs that have been used."""
@@ -458,9 +475,28 @@ class _Comparison:
         self.used.clear()
 
 
+def _roomy_pairs(places: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, a_class, b_class): texts of different classes that can be similar for what their prefixes share.
+
+    ``places`` has (key, node, class, n, at). Up to the last shingle that both prefixes hold, two texts share what
+    is counted here and nothing else, as all have one order; so what they share in all is that and what follows that place
+    in both at most. Of the rest all lies behind the prefix that ends first.
+    """
+    left, right = (places.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "class", "n", "at")], F.col("node").alias(s)) for s in "ab")
+    needed = (F.col("a_n") + F.col("b_n")) * (similarity / (1 + similarity)) - SLACK
+    # what any shared place says of the whole pair
+    room = F.least("a_at", "b_at") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    apart = (F.col("a_key") == F.col("b_key")) & (F.col("a_class") < F.col("b_class")) & (room >= needed)
+    met = left.hint("merge").join(right.hint("merge"), apart)
+    pairs = met.groupBy("a", "b", "a_class", "b_class", "a_n", "b_n").agg(F.count(F.lit(1)).alias("both"), F.max("a_at").alias("a_last"), F.max("b_at").alias("b_last"))
+    after = F.least(F.col("a_n") - F.col("a_last"), F.col("b_n") - F.col("b_last")) - 1
+    behind = F.greatest(*[F.ceil(F.col(n) * similarity - SLACK) - 1 for n in ("a_n", "b_n")])
+    return pairs.filter(F.col("both") + F.least(after, behind) >= needed).select("a", "b", "a_class", "b_class")
+
+
 def _keyed(table: DataFrame) -> DataFrame:
-    """(node, n, at, key): the prefixes' shingles with their places."""
-    return table.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    """(node, key): the prefixes' shingles."""
+    return table.select("node", F.explode("prefix").alias("key"))
 
 
 def _common_shingles(table: DataFrame) -> list[int]:
@@ -478,31 +514,31 @@ def link_rest(source: DataFrame, table: DataFrame, classes: DataFrame, width: in
     """``classes`` (node, class) after the links that fingerprints didn't bring up: none is missed.
 
     Similar texts share a shingle of their ``prefixes``, so texts of different classes that share one are compared, where
-    sizes and the places in the prefixes leave room for the similarity. Links inside a class can't
+    sizes, the places in the prefixes and the number of shared ones leave room for the similarity. Links inside a class can't
     change it. Shingles that are in very many prefixes are put last in the order of all, and the texts
     that had them in front get their prefixes anew.
     """
     common = _common_shingles(table)
-    keyed = _keyed(table)
+    listed, used = table.select("node", "n", "prefix"), []
     if common:
         late = F.broadcast(source.sparkSession.createDataFrame([(k,) for k in common], "key long"))
-        named = materialize(keyed.join(late, "key", "left_semi").select("node").distinct().join(table.select("node", "digest"), "node"), "common-texts")
+        named = materialize(_keyed(table).join(late, "key", "left_semi").select("node").distinct().join(table.select("node", "digest"), "node"), "common-texts")
         texts = source.select("digest", "text").join(named, "digest").dropDuplicates(["node"])
         anew = materialize(_late_prefixes(texts, width, similarity, common), "late-prefixes")
-        keyed = _keyed(table.select("node", "n", "prefix").join(named.select("node"), "node", "left_anti").unionByName(anew))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
-    places = materialize(keyed.hint("merge").join(shared.hint("merge"), "key", "left_semi"), "shared-places")
-    tagged = materialize(places.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "shared-classes")
-    drop_table(places)
-    mixed = tagged.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
-    meeting = tagged.hint("merge").join(mixed.hint("merge"), "key", "left_semi")
-    left, right = (meeting.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "class", "n", "at")], F.col("node").alias(s)) for s in "ab")
-    both = F.col("a_n") + F.col("b_n")
-    # as if this were the first shingle they share: what follows it can be common, nothing before
-    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    apart = (F.col("a_key") == F.col("b_key")) & (F.col("a_class") < F.col("b_class")) & (room * (1 + similarity) >= similarity * both - SLACK)
-    pairs = left.hint("merge").join(right.hint("merge"), apart).select("a", "b", "a_class", "b_class").distinct()
-    return _merged(classes, compare(pairs))
+        listed = listed.join(named.select("node"), "node", "left_anti").unionByName(anew)
+        used = [named, anew]
+    let_go(source.sparkSession)
+    # a text that no link has reached is a class of its own, named only after the shuffle
+    keyed = listed.join(classes, "node", "left").select("node", "class", "n", F.posexplode("prefix").alias("at", "key"))
+    one, key = F.coalesce("class", "node"), Window.partitionBy("key")
+    spread = keyed.withColumns({"lo": F.min(one).over(key), "hi": F.max(one).over(key)}).filter("lo < hi")
+    meeting = materialize(spread.select("key", "node", one.alias("class"), "n", "at"), "shared-places")
+    for df in used:
+        drop_table(df)
+    let_go(source.sparkSession)
+    merged = _merged(classes, compare(_roomy_pairs(meeting, similarity)))
+    drop_table(meeting)
+    return merged
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -52,13 +52,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     if len(_created) % TABLES_TO_TIDY == 0:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        let_go(spark)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._folder = path
     return stored
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let go of plans, broadcasts and shuffle files that nothing reads any more, which else stay until the driver's memory is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder and all below it; a folder that isn't there is no error."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

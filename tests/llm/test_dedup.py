@@ -187,6 +187,46 @@ def test_similar_documents_miss_nothing(spark, monkeypatch, least):
     assert len(set(exact)) == len(set(found.values())) == len({(exact[i], found[i]) for i in found})
 
 
+def sketched(spark, texts):
+    """(source, table) of texts, nodes in their order."""
+    digests = [hashlib.sha256(t.encode()).digest() for t in texts]
+    source = spark.createDataFrame(list(zip(digests, map(str.encode, texts), strict=True)), "digest binary, text binary")
+    nodes = spark.createDataFrame([(d, i) for i, d in enumerate(digests)], "digest binary, node long")
+    return source, simhash.sketches(source, 5, 0.8).join(nodes, "digest").cache()
+
+
+def test_shared_passages_are_not_compared(spark):
+    """Texts that share a passage meet under its shingles, but only those that can be similar are compared."""
+    passage = " ".join(f"p{k}" for k in range(14))
+    texts = [" ".join(f"u{i}v{k}" for k in range(50)) + f" {passage} " + " ".join(f"w{i}x{k}" for k in range(50)) for i in range(40)]
+    texts += [texts[3].replace("u3v7 ", "changed "), texts[9] + " and more", texts[0] + " " + " ".join(f"y{k}" for k in range(24))]
+    source, table = sketched(spark, texts)
+    seen = []
+
+    def compare(pairs):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return pairs
+
+    classes = simhash.link_rest(source, table, spark.createDataFrame([], "node long, class long"), 5, 0.8, compare).collect()
+    assert {tuple(sorted(p)) for p in seen} == {(3, 40), (9, 41), (0, 42)} and len(seen) == 3
+    assert {(r.node, r["class"]) for r in classes} == {(x, min(p)) for p in [(3, 40), (9, 41), (0, 42)] for x in p}
+
+
+def test_pairs_are_compared_in_rounds(spark):
+    """Many pairs of few texts move their sets a round at a time, and all are compared."""
+    texts = sorted(set(edited_copies(8)))[::9][:24]
+    texts += [t.replace(t.split()[4], "changed", 1) for t in texts[:8]] + ["one two", "ONE two"]
+    source, table = sketched(spark, texts)
+    compare = simhash._Comparison(source, table, 5, 0.8)
+    every = [(a, b) for a in range(len(texts)) for b in range(a)]
+    got = {(r.a, r.b) for r in compare(spark.createDataFrame(every, "a long, b long")).collect()}
+    sets = [plain_shingles(t) for t in texts]
+    assert got == {(a, b) for a, b in every if jaccard(sets[a], sets[b]) >= 0.8} and len(got) > 5
+    assert len(compare.used) > 5
+    compare.clear()
+    assert not compare.used
+
+
 def test_prefixes_meet():
     """Sets at the threshold share a hash of their prefixes, whichever hashes come last; most sets don't."""
     import numpy as np

@@ -40,11 +40,11 @@ SOFT_BITS = 6
 EARLY_SEGMENTS = 2
 #: Differing bits of 256 up to which two texts are compared.
 DISTANCE = 46
-#: Prefixes: a shingle is common that is in more prefixes than this, and than one of so many of their rows; what rounding may cost.
-COMMON_LEAST = 100
-COMMON_SHINGLES = 100_000
-#: One text in so many is counted for the choice of common shingles.
-ESTIMATE = 16
+#: Prefixes: a shingle is common that is in more texts than this as far as one text in so many tells; the most
+#: frequent ones, so many at most, are told apart; what rounding may cost.
+COMMON_LEAST = 15
+ESTIMATE = 8
+COMMON_SHINGLES = 1 << 20
 SLACK = 1e-6
 #: A round of comparisons moves as many shingles as so many times all sets that are compared.
 ROUND_SETS = 2
@@ -335,19 +335,20 @@ def segment_keys(votes):
     return np.concatenate([values | number, turned.reshape(len(cut), -1)], axis=1).astype(np.int32)
 
 
-def prefixes(rows, hashes, n_rows: int, similarity: float, common=()):
+def prefixes(rows, hashes, n_rows: int, similarity: float, common=(), times=()):
     """(sizes, lists): each row's number of hashes, and its prefix, as an Arrow list.
 
-    All hashes have one order: their own, but those of the sorted array ``common`` come last. Sets of n hashes that
-    share ``similarity`` of their union share that much of each set at least, so the first n - ceil(similarity * n) + 1
+    ``hashes`` are sorted in each row. All have one order: their own, but those of the sorted array ``common`` come last,
+    the ones with more ``times`` behind those with fewer. Sets of n hashes that share ``similarity`` of their union share that much of each set at least, so the first n - ceil(similarity * n) + 1
     hashes of one and of the other have one in common, whatever the order is.
     """
     import numpy as np
     import pyarrow as pa
 
     if len(common):
-        order = np.lexsort((hashes, common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes, rows))
-        hashes = hashes[order]
+        place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        late = np.where(common[place] == hashes, np.asarray(times, np.int64)[place] if len(times) else 1, 0)
+        hashes = hashes[np.argsort(rows * (late.max(initial=0) + 1) + late, kind="stable")]
     sizes = np.bincount(rows, minlength=n_rows)
     inside = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]
     lengths = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - SLACK).astype(np.int64) + 1, 0)
@@ -355,8 +356,11 @@ def prefixes(rows, hashes, n_rows: int, similarity: float, common=()):
     return sizes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[inside < lengths[rows]].view(np.int64)))
 
 
-def sketches(rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(digest, f0 and so on, keys, n, prefix) of ``rows`` (digest, text as binary): fingerprint, listed values, ``prefixes``."""
+def sketches(rows: DataFrame, width: int, similarity: float, common=((), ())) -> DataFrame:
+    """(digest, f0 and so on, keys, n, prefix) of ``rows`` (digest, text as binary): fingerprint, listed values, ``prefixes``.
+
+    ``common`` has the hashes that come late in the prefixes' order, and their times.
+    """
 
     def made(batches):
         import numpy as np
@@ -371,7 +375,7 @@ def sketches(rows: DataFrame, width: int, similarity: float) -> DataFrame:
                 for a, b in text_groups(texts):
                     found = shingle_hashes(texts[a:b], width, known)
                     votes.append(margins(*found, b - a))
-                    size, first = prefixes(*found, b - a, similarity)
+                    size, first = prefixes(*found, b - a, similarity, *common)
                     sizes.append(size)
                     firsts.append(first)
                 keys = np.concatenate([segment_keys(v) for v in votes])
@@ -384,25 +388,6 @@ def sketches(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     return rows.select("digest", "text").mapInArrow(tidy(made), f"digest binary, {', '.join(f'{c} long' for c in _FP)}, keys array<int>, n long, prefix array<long>")
 
 
-def _late_prefixes(texts: DataFrame, width: int, similarity: float, common: list[int]) -> DataFrame:
-    """(node, n, prefix) of ``texts`` (node, text as binary), with the hashes ``common`` last."""
-
-    def hashed(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        forget()
-        known, late = _WordHashes(), np.sort(np.array(common, np.int64).view(np.uint64))
-        for batch in batches:
-            for some in byte_batches(batch, 1):
-                words = some.column(1).to_pylist()
-                for a, b in text_groups(words):
-                    sizes, lists = prefixes(*shingle_hashes(words[a:b], width, known), b - a, similarity, late)
-                    yield pa.RecordBatch.from_arrays([some.column(0).slice(a, b - a), pa.array(sizes), lists], ["node", "n", "prefix"])
-
-    return texts.select("node", "text").mapInArrow(tidy(hashed), "node long, n long, prefix array<long>")
-
-
 _FP = [f"f{k}" for k in range(LANES)]
 
 
@@ -475,39 +460,58 @@ class _Comparison:
         self.used.clear()
 
 
+def _needed(similarity: float) -> Column:
+    return (F.col("a_n") + F.col("b_n")) * (similarity / (1 + similarity)) - SLACK
+
+
+def _met(places: DataFrame, similarity: float) -> DataFrame:
+    """Two texts' rows of ``places`` with one key, where that place leaves room for the similarity of texts of different classes.
+
+    ``places`` has (key, node, class, n, at, before): ``before`` counts the text's rows of smaller ``at``. All texts have one
+    order, so what two share before a place they share is among these rows in both; shingles that no text of another class
+    has in its prefix are no rows and can't be common there.
+    """
+    left, right = (places.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "class", "n", "at", "before")], F.col("node").alias(s)) for s in "ab")
+    room = F.least("a_before", "b_before") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    apart = (F.col("a_key") == F.col("b_key")) & (F.col("a_class") < F.col("b_class")) & (room >= _needed(similarity))
+    return left.hint("merge").join(right.hint("merge"), apart)
+
+
 def _roomy_pairs(places: DataFrame, similarity: float) -> DataFrame:
     """(a, b, a_class, b_class): texts of different classes that can be similar for what their prefixes share.
 
-    ``places`` has (key, node, class, n, at). Up to the last shingle that both prefixes hold, two texts share what
-    is counted here and nothing else, as all have one order; so what they share in all is that and what follows that place
-    in both at most. Of the rest all lies behind the prefix that ends first.
+    Up to the last shingle that both prefixes hold, two texts share what is counted here and nothing else, as all
+    have one order; so what they share in all is that and what follows that place in both at most. Of the rest all
+    lies behind the prefix that ends first.
     """
-    left, right = (places.select(*[F.col(c).alias(f"{s}_{c}") for c in ("key", "class", "n", "at")], F.col("node").alias(s)) for s in "ab")
-    needed = (F.col("a_n") + F.col("b_n")) * (similarity / (1 + similarity)) - SLACK
-    # what any shared place says of the whole pair
-    room = F.least("a_at", "b_at") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    apart = (F.col("a_key") == F.col("b_key")) & (F.col("a_class") < F.col("b_class")) & (room >= needed)
-    met = left.hint("merge").join(right.hint("merge"), apart)
+    met = _met(places, similarity)
     pairs = met.groupBy("a", "b", "a_class", "b_class", "a_n", "b_n").agg(F.count(F.lit(1)).alias("both"), F.max("a_at").alias("a_last"), F.max("b_at").alias("b_last"))
     after = F.least(F.col("a_n") - F.col("a_last"), F.col("b_n") - F.col("b_last")) - 1
     behind = F.greatest(*[F.ceil(F.col(n) * similarity - SLACK) - 1 for n in ("a_n", "b_n")])
-    return pairs.filter(F.col("both") + F.least(after, behind) >= needed).select("a", "b", "a_class", "b_class")
-
-
-def _keyed(table: DataFrame) -> DataFrame:
-    """(node, key): the prefixes' shingles."""
-    return table.select("node", F.explode("prefix").alias("key"))
+    return pairs.filter(F.col("both") + F.least(after, behind) >= _needed(similarity)).select("a", "b", "a_class", "b_class")
 
 
-def _common_shingles(table: DataFrame) -> list[int]:
-    """Shingles in so many prefixes that they should come last, fewer than ``ESTIMATE`` * ``COMMON_SHINGLES``.
+def common_shingles(texts: DataFrame, width: int):
+    """(hashes, times): the frequent shingles of ``texts`` (text as binary), sorted, and how many of the counted texts have them.
 
-    Counted in every ``ESTIMATE``-th text: the choice decides how many texts meet, never which links are found.
+    Every ``ESTIMATE``-th text is counted, repeated ones each time: the choice decides how many texts meet, never which links are found.
     """
-    some = table.filter(F.pmod(F.xxhash64("node"), F.lit(ESTIMATE)) == 0)
-    total = table.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    bound = max(COMMON_LEAST, total // COMMON_SHINGLES) // ESTIMATE
-    return [r["key"] for r in _keyed(some).groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > bound).collect()]
+    import numpy as np
+
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(ESTIMATE)) == 0).select(F.lit(0).cast("long").alias("node"), "text")
+    keys = _shingle_sets(some, width).select(F.explode("shingles").alias("key"))
+    counted = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > COMMON_LEAST // ESTIMATE), "common-shingles")
+    least, held = 0, 0
+    for r in counted.groupBy("times").agg(F.count(F.lit(1)).alias("n")).sort(F.desc("times")).collect():
+        held += r["n"]
+        if held > COMMON_SHINGLES:
+            least = r["times"]
+            break
+    kept = counted.filter(F.col("times") > least).toArrow()
+    drop_table(counted)
+    hashes, times = kept["key"].to_numpy().view(np.uint64), kept["times"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], times[order]
 
 
 def link_rest(source: DataFrame, table: DataFrame, classes: DataFrame, width: int, similarity: float, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -515,27 +519,21 @@ def link_rest(source: DataFrame, table: DataFrame, classes: DataFrame, width: in
 
     Similar texts share a shingle of their ``prefixes``, so texts of different classes that share one are compared, where
     sizes, the places in the prefixes and the number of shared ones leave room for the similarity. Links inside a class can't
-    change it. Shingles that are in very many prefixes are put last in the order of all, and the texts
-    that had them in front get their prefixes anew.
+    change it. Frequent shingles come last in the order of all, so most texts share none that is in their prefix.
     """
-    common = _common_shingles(table)
-    listed, used = table.select("node", "n", "prefix"), []
-    if common:
-        late = F.broadcast(source.sparkSession.createDataFrame([(k,) for k in common], "key long"))
-        named = materialize(_keyed(table).join(late, "key", "left_semi").select("node").distinct().join(table.select("node", "digest"), "node"), "common-texts")
-        texts = source.select("digest", "text").join(named, "digest").dropDuplicates(["node"])
-        anew = materialize(_late_prefixes(texts, width, similarity, common), "late-prefixes")
-        listed = listed.join(named.select("node"), "node", "left_anti").unionByName(anew)
-        used = [named, anew]
-    let_go(source.sparkSession)
-    # a text that no link has reached is a class of its own, named only after the shuffle
-    keyed = listed.join(classes, "node", "left").select("node", "class", "n", F.posexplode("prefix").alias("at", "key"))
-    one, key = F.coalesce("class", "node"), Window.partitionBy("key")
-    spread = keyed.withColumns({"lo": F.min(one).over(key), "hi": F.max(one).over(key)}).filter("lo < hi")
-    meeting = materialize(spread.select("key", "node", one.alias("class"), "n", "at"), "shared-places")
-    for df in used:
-        drop_table(df)
-    let_go(source.sparkSession)
+    spark = source.sparkSession
+    let_go(spark)
+    keyed = table.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    shared = keyed.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("times > 1")
+    places = materialize(shared.select("key", "node", "n", "at"), "shared-places")
+    # a text that no link has reached is a class of its own
+    tagged = materialize(places.hint("merge").join(classes.hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node")), "shared-classes")
+    drop_table(places)
+    mixed = tagged.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
+    meeting = tagged.hint("merge").join(mixed.hint("merge"), "key", "left_semi")
+    meeting = materialize(meeting.withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1), "meeting-places")
+    drop_table(tagged)
+    let_go(spark)
     merged = _merged(classes, compare(_roomy_pairs(meeting, similarity)))
     drop_table(meeting)
     return merged
@@ -558,7 +556,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     an empty result. Only the two named columns are read.
     """
     source = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    made = sketches(source, width, similarity).groupBy("digest").agg(*[F.first(c).alias(c) for c in (*_FP, "keys", "n", "prefix")])
+    made = sketches(source, width, similarity, common_shingles(source.select("text"), width)).groupBy("digest").agg(*[F.first(c).alias(c) for c in (*_FP, "keys", "n", "prefix")])
     table = materialize(made.withColumn("node", F.monotonically_increasing_id()), "sketches")
     turned = lambda first, last: F.slice("keys", SEGMENTS + 1 + first * SOFT_BITS, (last - first) * SOFT_BITS)
     base = F.slice("keys", 1, SEGMENTS)

@@ -212,6 +212,48 @@ def test_shared_passages_are_not_compared(spark):
     assert {(r.node, r["class"]) for r in classes} == {(x, min(p)) for p in [(3, 40), (9, 41), (0, 42)] for x in p}
 
 
+def test_frequent_shingles_bring_nobody_together(spark, monkeypatch):
+    """Passages that many texts share, each in some of them, come behind the texts' own shingles and out of their prefixes."""
+    passages = [" ".join(f"p{j}w{k}" for k in range(24)) for j in range(4)]
+    texts = [f"{' '.join(f'u{i}v{k}' for k in range(40))} {passages[i % 4]}" for i in range(320)]
+    texts += [f"{texts[i]} and more" for i in (3, 9)]
+    met = []
+
+    def counted(places, similarity, roomy=simhash._roomy_pairs):
+        met.append(places.groupBy("key").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0] or 0)
+        return roomy(places, similarity)
+
+    monkeypatch.setattr(simhash, "_roomy_pairs", counted)
+    got = {r.id: r["class"] for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(got.values())) == 320 and got[3] == got[320] and got[9] == got[321]
+    assert met[0] < 320
+
+
+def test_own_shingles_leave_no_room(spark):
+    """Texts of a crowd whose own shingles lie before all that they share don't meet; those with fewer do."""
+    places = [(key, node, node, 100, 15 + key, key) for node in range(20) for key in range(5)]
+    places += [(9 + key, node, node, 100, 5 + key, key) for node in (30, 31) for key in range(12)]
+    df = spark.createDataFrame(places, "key long, node long, class long, n long, at int, before int")
+    # 15 of 100 are their own: 85 can be common, fewer than the 89 that 0.8 needs
+    assert [(r.a, r.b) for r in simhash._met(df, 0.8).select("a", "b").collect()] == [(30, 31)] * 12
+    assert [(r.a, r.b) for r in simhash._roomy_pairs(df, 0.8).collect()] == [(30, 31)]
+
+
+def test_common_shingles(spark, monkeypatch):
+    """Shingles in more texts than the bound, with their times; the most frequent ones if there are too many; none of nothing."""
+    monkeypatch.setattr(simhash, "ESTIMATE", 1)
+    monkeypatch.setattr(simhash, "COMMON_LEAST", 2)
+    texts = ["a b c d e f", "a b c d e g", "A b c d e h", "a b c d e f i", "b c d e f", "", "x y"]
+    df = spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "text binary")
+    known = simhash._WordHashes()
+    five, six = (simhash.shingle_hashes([t.encode()], 5, known)[1][0] for t in ("a b c d e", "b c d e f"))
+    hashes, times = simhash.common_shingles(df, 5)
+    assert dict(zip(hashes.tolist(), times.tolist(), strict=True)) == {int(five): 4, int(six): 3} and list(hashes) == sorted(hashes)
+    monkeypatch.setattr(simhash, "COMMON_SHINGLES", 1)
+    assert simhash.common_shingles(df, 5)[1].tolist() == [4]
+    assert [len(x) for x in simhash.common_shingles(df.limit(0), 5)] == [0, 0]
+
+
 def test_pairs_are_compared_in_rounds(spark):
     """Many pairs of few texts move their sets a round at a time, and all are compared."""
     texts = sorted(set(edited_copies(8)))[::9][:24]

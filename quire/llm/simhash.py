@@ -37,7 +37,8 @@ LANES = 4
 SEGMENTS = 9
 SEGMENT_BITS = 26
 SOFT_BITS = 6
-EARLY_SEGMENTS = 2
+#: The passes take so many segments each.
+PASS_SEGMENTS = (2, 3, 4)
 #: Differing bits of 256 up to which two texts are compared.
 DISTANCE = 46
 #: Prefixes: a shingle is common that is in more texts than this as far as one text in so many tells; the most
@@ -48,6 +49,12 @@ COMMON_SHINGLES = 1 << 20
 SLACK = 1e-6
 #: A round of comparisons moves as many shingles as so many times all sets that are compared.
 ROUND_SETS = 2
+#: Prefixes' shingles are dealt by key in so many rounds.
+KEY_ROUNDS = 2
+#: The sieve of candidates' texts: bits for each, and bits of one bitmap, and bitmaps at most (32 MB).
+SIEVE_BITS = 32
+BITMAP_BITS = 1 << 15
+BITMAPS = 1 << 13
 
 _SPACE = re.compile(rb"[ \t-\r]")
 
@@ -417,6 +424,25 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(tidy(hashed), "node long, n long, shingles array<long>")
 
 
+def sieved(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose digest is in ``named``, and of the others about one in ``SIEVE_BITS``.
+
+    The digests' hashes are bits of bitmaps, which are broadcast, so that most texts that aren't named stay where they are. More
+    digests than the bitmaps are made for let more of the others through and lose none.
+    """
+    bitmaps = min(BITMAPS, max(1, -(-named.count() * SIEVE_BITS // BITMAP_BITS)))
+
+    def place(digest: Column) -> tuple[Column, Column]:
+        bit = F.pmod(F.xxhash64(digest), F.lit(bitmaps * BITMAP_BITS))
+        return F.shiftright(bit, BITMAP_BITS.bit_length() - 1), bit.bitwiseAND(F.lit(BITMAP_BITS - 1))
+
+    bucket, bit = place(named["digest"])
+    made = named.select(bucket.alias("__bitmap"), bit.alias("__bit")).groupBy("__bitmap").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    bucket, bit = place(texts["digest"])
+    byte = F.conv(F.hex(F.substring(made["__bits"], F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return texts.join(F.broadcast(made), (bucket == made["__bitmap"]) & (F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1), "left_semi")
+
+
 class _Comparison:
     """Keeps the pairs (a, b) of nodes whose texts have similar enough sets of shingles.
 
@@ -436,7 +462,7 @@ class _Comparison:
         pairs = self._kept(pairs, "candidates")
         both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
         named = self._kept(self.table.join(both, self.table["node"] == both["a"], "left_semi").select("node", "digest"), "candidate-texts")
-        texts = self.source.select("digest", "text").join(named, "digest").dropDuplicates(["node"])
+        texts = sieved(self.source.select("digest", "text"), named).join(named, "digest").dropDuplicates(["node"])
         sets = self._kept(_shingle_sets(texts, self.width), "shingle-sets")
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -523,12 +549,17 @@ def link_rest(source: DataFrame, table: DataFrame, classes: DataFrame, width: in
     """
     spark = source.sparkSession
     let_go(spark)
-    keyed = table.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    shared = keyed.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("times > 1")
-    places = materialize(shared.select("key", "node", "n", "at"), "shared-places")
+    keyed, parts = table.select("node", "n", F.posexplode("prefix").alias("at", "key")), []
+    for k in range(KEY_ROUNDS):
+        some = keyed.filter(F.pmod("key", F.lit(KEY_ROUNDS)) == k)
+        shared = some.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("times > 1")
+        parts.append(materialize(shared.select("key", "node", "n", "at"), "shared-places"))
+        let_go(spark)
+    places = reduce(DataFrame.unionByName, parts)
     # a text that no link has reached is a class of its own
     tagged = materialize(places.hint("merge").join(classes.hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node")), "shared-classes")
-    drop_table(places)
+    for part in parts:
+        drop_table(part)
     mixed = tagged.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
     meeting = tagged.hint("merge").join(mixed.hint("merge"), "key", "left_semi")
     meeting = materialize(meeting.withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1), "meeting-places")
@@ -560,16 +591,17 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     table = materialize(made.withColumn("node", F.monotonically_increasing_id()), "sketches")
     turned = lambda first, last: F.slice("keys", SEGMENTS + 1 + first * SOFT_BITS, (last - first) * SOFT_BITS)
     base = F.slice("keys", 1, SEGMENTS)
-    # the first pass takes few segments: it finds most links of a crowd, which are one class in the second
-    early = F.concat(F.slice("keys", 1, EARLY_SEGMENTS), turned(0, EARLY_SEGMENTS))
-    late = F.concat(F.slice("keys", EARLY_SEGMENTS + 1, SEGMENTS - EARLY_SEGMENTS), turned(EARLY_SEGMENTS, SEGMENTS))
-    nodes = table.select("node", *_FP, base.alias("base"), early.alias("early"), late.alias("late"))
+    # the first pass takes few segments: it finds most links of a crowd, which are one class in the next; a pass's rows hold
+    # fingerprints once a value, so that the disk they take at once is that of the largest pass
+    bounds = [sum(PASS_SEGMENTS[:k]) for k in range(len(PASS_SEGMENTS) + 1)]
+    passes = {f"pass{k}": F.concat(F.slice("keys", first + 1, last - first), turned(first, last)) for k, (first, last) in enumerate(zip(bounds, bounds[1:], strict=False))}
+    nodes = table.select("node", *_FP, base.alias("base"), *[listed.alias(name) for name, listed in passes.items()])
 
     def near(a, b) -> Column:
         return sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in _FP[1:]), F.bit_count(a(_FP[0]).bitwiseXOR(b(_FP[0])))) <= distance
 
     compare = _Comparison(source, table, width, similarity)
-    found = connect(nodes, _FP, near, ["early", "late"], compare).withColumnRenamed("root", "class")
+    found = connect(nodes, _FP, near, [*passes], compare).withColumnRenamed("root", "class")
     compare.clear()
     roots = link_rest(source, table, found, width, similarity, compare).withColumnRenamed("class", "root")
     compare.clear()

@@ -269,6 +269,44 @@ def test_pairs_are_compared_in_rounds(spark):
     assert not compare.used
 
 
+def test_sieve_loses_no_text(spark, monkeypatch):
+    """Named texts all come through and few others, more of them if the bitmaps are too small; none of none."""
+    texts = spark.range(20000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id")
+    named = texts.filter("id % 10 = 0").withColumnRenamed("id", "node")
+    for bitmaps in (simhash.BITMAPS, 1):
+        monkeypatch.setattr(simhash, "BITMAPS", bitmaps)
+        through = {r.id for r in simhash.sieved(texts, named).collect()}
+        assert through >= set(range(0, 20000, 10)) and len(through) < (3000 if bitmaps > 1 else 5000)
+    assert simhash.sieved(texts, named.limit(0)).count() == 0
+
+
+def test_texts_without_candidates_stay(spark):
+    """Texts that no pair needs aren't shuffled to find those that are compared."""
+    import random
+
+    r = random.Random(11)
+    texts = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(400)) for _ in range(300)]
+    texts += [t + " more" for t in texts[:4]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    size = docs.selectExpr("sum(length(text))").first()[0]
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = {x.id: x["class"] for x in simhash.similar_documents(docs).collect()}
+        most = max(n for k, n in written().items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(set(got.values())) == 300 and all(got[i] == got[300 + i] for i in range(4))
+    assert most < 0.3 * size
+
+
 def test_prefixes_meet():
     """Sets at the threshold share a hash of their prefixes, whichever hashes come last; most sets don't."""
     import numpy as np
